@@ -5,9 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.llm import lines as _lines
 from tessella.llm import mix as _mix
+from tessella.llm import quality as _quality
+from tessella.llm import signs as _signs
 from tessella.llm import tokens as _tokens
-from tessella.llm.common import table
+from tessella.llm import toxicity as _toxicity
+from tessella.llm.common import held_out, table
+
+
+def op1_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = _quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = _quality.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= _quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op4_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = _lines.remove_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+def op7_sign_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _signs.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op8_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = _toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = _toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,10 +50,16 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_ranking": op1_quality_ranking,
+    "op4_line_spread": op4_line_spread,
+    "op7_sign_hashing": op7_sign_hashing,
+    "op8_toxicity_nnpu": op8_toxicity_nnpu,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_source_mix": op10_source_mix,
 }
 
 ORACLE_SQL = {
+    "op4_line_spread": "WITH ld_docs AS (SELECT doc_id, text, source FROM documents), " + _lines.ORACLE_CTES + "SELECT doc_id, n_lines, n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM ld_kept",
+    "op7_sign_hashing": _signs.ORACLE,
     "op10_source_mix": "WITH mx_docs AS (SELECT * FROM documents), " + _mix.MIX_CTES + "SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken FROM mx_mixed",
 }
