@@ -39,6 +39,7 @@ def staged(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark._jvm
+    jvm.System.gc()  # Spark deletes the shuffle files of finished work when the driver collects its garbage
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     back = spark.read.schema(df.schema).parquet(path)

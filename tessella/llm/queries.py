@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.llm import jaccard as _jaccard
 from tessella.llm import lines as _lines
 from tessella.llm import mix as _mix
 from tessella.llm import quality as _quality
@@ -26,6 +27,10 @@ def op4_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_shingle_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_sign_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _signs.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -52,6 +57,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_ranking": op1_quality_ranking,
     "op4_line_spread": op4_line_spread,
+    "op5_shingle_jaccard": op5_shingle_jaccard,
     "op7_sign_hashing": op7_sign_hashing,
     "op8_toxicity_nnpu": op8_toxicity_nnpu,
     "op9_byte_bpe": op9_byte_bpe,
