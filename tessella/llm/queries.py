@@ -12,6 +12,7 @@ from tessella.llm import quality as _quality
 from tessella.llm import signs as _signs
 from tessella.llm import tokens as _tokens
 from tessella.llm import toxicity as _toxicity
+from tessella.llm import webp as _webp
 from tessella.llm.common import held_out, table
 
 
@@ -22,6 +23,10 @@ def op1_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= _quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op3_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _webp.media_columns(table(spark, sf_dir, "documents")).drop("media")
+
+
 def op4_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = _lines.remove_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
@@ -56,6 +61,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_ranking": op1_quality_ranking,
+    "op3_lossless_webp": op3_lossless_webp,
     "op4_line_spread": op4_line_spread,
     "op5_shingle_jaccard": op5_shingle_jaccard,
     "op7_sign_hashing": op7_sign_hashing,
