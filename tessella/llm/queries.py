@@ -10,6 +10,7 @@ from tessella.llm import lines as _lines
 from tessella.llm import mix as _mix
 from tessella.llm import quality as _quality
 from tessella.llm import signs as _signs
+from tessella.llm import suffixes as _suffixes
 from tessella.llm import tokens as _tokens
 from tessella.llm import toxicity as _toxicity
 from tessella.llm import webp as _webp
@@ -36,6 +37,11 @@ def op5_shingle_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op6_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = _suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 def op7_sign_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _signs.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -64,6 +70,7 @@ QUERIES = {
     "op3_lossless_webp": op3_lossless_webp,
     "op4_line_spread": op4_line_spread,
     "op5_shingle_jaccard": op5_shingle_jaccard,
+    "op6_suffix_family": op6_suffix_family,
     "op7_sign_hashing": op7_sign_hashing,
     "op8_toxicity_nnpu": op8_toxicity_nnpu,
     "op9_byte_bpe": op9_byte_bpe,
