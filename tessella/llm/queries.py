@@ -9,6 +9,7 @@ from tessella.llm import jaccard as _jaccard
 from tessella.llm import lines as _lines
 from tessella.llm import mix as _mix
 from tessella.llm import quality as _quality
+from tessella.llm import quotes as _quotes
 from tessella.llm import signs as _signs
 from tessella.llm import suffixes as _suffixes
 from tessella.llm import tokens as _tokens
@@ -24,6 +25,11 @@ def op1_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= _quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op2_quote_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _quotes.conversations(table(spark, sf_dir, "conversations"))
+    return found.withColumn("body_sha256", F.sha2(F.coalesce("body", F.lit("")).cast("binary"), 256)).drop("body")
+
+
 def op3_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _webp.media_columns(table(spark, sf_dir, "documents")).drop("media")
 
@@ -67,6 +73,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_ranking": op1_quality_ranking,
+    "op2_quote_threads": op2_quote_threads,
     "op3_lossless_webp": op3_lossless_webp,
     "op4_line_spread": op4_line_spread,
     "op5_shingle_jaccard": op5_shingle_jaccard,
