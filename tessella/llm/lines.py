@@ -60,7 +60,8 @@ def remove_boilerplate(docs: DataFrame, text: str = "text", site: str = "source"
     bad = boilerplate(docs, text, site, min_sites, min_chars)
     # which of its lines go, for each distinct text that has any
     own = docs.select(text_key(text).alias("ld_key"), F.explode(F.array_distinct(F.transform(F.filter(_lines(text), lambda x: _counted(x, min_chars)), _hash))).alias("h"))
-    hits = guarded_join(own, bad, "h").groupBy("ld_key").agg(F.collect_set("h").alias("ld_bad"))
+    # written first, so that the join below deals both sides out itself and can split a text that many rows share
+    hits = staged(guarded_join(own, bad, "h").groupBy("ld_key").agg(F.collect_set("h").alias("ld_bad")))
     joined = kept.withColumn("ld_own", text_key(text)).join(hits.hint("merge"), F.col("ld_own") == F.col("ld_key"), "left")
     lines = _lines(text)
     remaining = F.filter(lines, lambda x: ~(_counted(x, min_chars) & F.array_contains("ld_bad", _hash(x))))
