@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import textbytes as tb
-from tessella.llm.common import held_out, staged
+from tessella.llm.common import guarded_join, held_out, staged
 
 #: The classifier is fitted on a sample of so many rows at most, chosen by a hash of the id. Scores cover all rows.
 MAX_POSITIVE = 4000
@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     prior = min(0.5, max(0.01, (marked[1] or 0) / max(1, marked[0])))
     texts = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     chosen = _sampled(own.filter("y = 1").select("doc_id"), MAX_POSITIVE, 1)
-    positive = texts.join(chosen, "doc_id", "left_semi").withColumn("p", F.lit(1))
+    positive = guarded_join(texts, staged(chosen), "doc_id", "left_semi").withColumn("p", F.lit(1))
     unlabelled = _sampled(texts, MAX_UNLABELLED, 2).withColumn("p", F.lit(0))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
