@@ -28,18 +28,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import textbytes as tb
-from tessella.llm.common import guarded_join, staged
+from tessella.llm.common import drop_staged, guarded_join, staged
 from tessella.llm.components import components
 
 WORDS = 5
 #: Similarity in hundredths.
 PERCENT = 75
 #: Tokens listed by more rows are frequent.
-FREQUENT = 50
+FREQUENT = 3
 #: Turns in which a key's members are checked against one of them, before the rest is paired.
 TURNS = 3
-#: Frequent tokens are handed to tasks as one array if they are no more than this (8 MB); else they are joined.
-TOKENS_AT_ONCE = 1 << 20
+#: log2 of the most bits of the filter that marks frequent tokens (32 MB); it has 16 bits a token up to that. A token
+#: that it marks by mistake is frequent for all sets alike, so results don't depend on it.
+FILTER_BITS = 28
 #: Sets of fewer tokens are indexed by single tokens also where those are frequent.
 _SMALL = 16
 
@@ -131,58 +132,49 @@ def _signatures(docs: DataFrame, doc_id: str, text: str, words: int, percent: in
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, cid long, k2 long, n long, listed array<long>")
 
 
-def _frequent_index(docs: DataFrame, text: str, frequent: DataFrame, words: int, percent: int, at_once: int) -> DataFrame:
-    """Index 2: (key, cid, n)."""
-    rows = docs.select(F.col(text).alias("text"))
-    small = frequent.count() <= at_once
-    shared = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in frequent.collect()], np.int64).view(np.uint64))) if small else None
+def _marks(tokens: np.ndarray, width: int) -> list[np.ndarray]:
+    """Places of each token in a filter of 2**width bits: the top bits of three hashes."""
+    return [(tb.mix(tokens + np.uint64(k)) >> np.uint64(64 - width)).astype(np.int64) for k in (101, 202, 303)]
 
-    def emit(tokens: np.ndarray, often: np.ndarray, listed: int) -> list[int]:
-        return combinations(tokens, often, percent) if often[:listed].any() else []
 
-    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every = shared.value
-        for _, texts in tb.slices(batches):
-            tokens, n = shingles(texts, words)
-            ids, _ = _set_ids(tokens, n)
-            at = np.minimum(np.searchsorted(every, tokens), max(0, len(every) - 1))
-            often = every[at] == tokens if len(every) else np.zeros(len(tokens), bool)
-            ends = np.cumsum(n)
-            keys = [emit(tokens[e - m : e], often[e - m : e], m - -(-percent * m // 100) + 1) for e, m in zip(ends.tolist(), n.tolist(), strict=True)]
-            yield from _keyed(keys, ids, n)
-
-    def _keyed(keys: list[list[int]], ids: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        many = np.array(list(map(len, keys)))
-        flat = np.fromiter((k for ks in keys for k in ks), np.int64, many.sum() if len(many) else 0)
-        for begin in range(0, len(flat), 1 << 20):
-            part = slice(begin, begin + (1 << 20))
-            yield pa.RecordBatch.from_arrays([pa.array(flat[part]), pa.array(np.repeat(ids.view(np.int64), many)[part]), pa.array(np.repeat(n.astype(np.int64), many)[part])], names=["key", "cid", "n"])
-
-    schema = "key long, cid long, n long"
-    if small:
-        return rows.mapInArrow(known, schema)
+def _filter(frequent: DataFrame, most: int) -> tuple[np.ndarray, int]:
+    """A Bloom filter of a column of tokens, of at most 2**most bits, as 64-bit words; its bits are joined by Spark."""
+    width = min(most, max(10, (16 * frequent.count()).bit_length()))
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.concatenate(_marks(batch.column(0).to_numpy().view(np.uint64), width))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.left_shift(np.int64(1), at & 63))], names=["w", "b"])
+
+    words = frequent.mapInArrow(places, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(1 << (width - 6), np.int64)
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    return out, width
+
+
+def _frequent_index(docs: DataFrame, text: str, frequent: DataFrame, words: int, percent: int, most: int) -> DataFrame:
+    """Index 2: (key, cid, n)."""
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(frequent, most))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, width = shared.value
         for _, texts in tb.slices(batches):
             tokens, n = shingles(texts, words)
             ids, _ = _set_ids(tokens, n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids.view(np.int64), n)), pa.array(tokens.view(np.int64))], names=["cid", "tok"])
-
-    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, sizes = [], []
-            for one in batch.column("f"):
-                tokens = np.array([x["tok"] for x in one.as_py()], np.int64).view(np.uint64)
-                often = np.array([x["often"] for x in one.as_py()], bool)
-                order = np.argsort(tokens)
-                m = len(tokens)
-                sizes.append(m)
-                keys.append(emit(tokens[order], often[order], m - -(-percent * m // 100) + 1))
-            yield from _keyed(keys, batch.column("cid").to_numpy().view(np.uint64), np.array(sizes))
-
-    tokens = rows.mapInArrow(whole, "cid long, tok long").distinct()
-    marked = tokens.join(frequent.withColumn("often", F.lit(True)).hint("merge"), "tok", "left").select("cid", F.struct("tok", F.coalesce("often", F.lit(False)).alias("often")).alias("x"))
-    return marked.groupBy("cid").agg(F.collect_list("x").alias("f")).mapInArrow(grouped, schema)
+            often = np.ones(len(tokens), bool)
+            for at in _marks(tokens, width):
+                often &= (bits[at >> 6] >> (at & 63)) & 1 == 1
+            keys, ends = [], np.cumsum(n)
+            for e, m in zip(ends.tolist(), n.tolist(), strict=True):
+                mine = often[e - m : e]
+                keys.append(combinations(tokens[e - m : e], mine, percent) if mine[: m - -(-percent * m // 100) + 1].any() else [])
+            many = np.array(list(map(len, keys)))
+            flat = np.fromiter((k for ks in keys for k in ks), np.int64, many.sum() if len(many) else 0)
+            for begin in range(0, len(flat), 1 << 20):
+                part = slice(begin, begin + (1 << 20))
+                yield pa.RecordBatch.from_arrays([pa.array(flat[part]), pa.array(np.repeat(ids.view(np.int64), many)[part]), pa.array(np.repeat(n.astype(np.int64), many)[part])], names=["key", "cid", "n"])
+
+    return docs.select(F.col(text).alias("text")).mapInArrow(run, "key long, cid long, n long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -202,7 +194,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, frequent_over: int = FREQUENT, tokens_at_once: int = TOKENS_AT_ONCE) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, frequent_over: int = FREQUENT, filter_bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, cid, n) and links (a, b) between classes whose components are those of all links."""
     rows = staged(_signatures(docs, doc_id, text, words, percent))
     classes = staged(rows.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.max(F.col("doc_id").isNull()).alias("no_id"), F.min("k2").alias("k2"), F.max("k2").alias("k3")))
@@ -212,14 +204,16 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: in
     shared = staged(listed.groupBy("key").agg(F.count("*").alias("many"), F.min("cid").alias("c0"), F.max("cid").alias("c1")).filter("c0 <> c1").select("key", "many"))
     few = staged(shared.filter(F.col("many") <= frequent_over).select("key"))
     often = staged(shared.filter(F.col("many") > frequent_over).select("key").withColumnRenamed("key", "tok"))
-    index = guarded_join(listed, few, "key").select("key", "cid", "n")
+    entries = guarded_join(listed, few, "key", row_bytes=24).select("key", "cid", "n")
     if often.limit(1).count():
-        index = index.union(_frequent_index(docs, text, often, words, percent, tokens_at_once))
-    index = index.distinct()
-    index = staged(index)
+        entries = entries.union(_frequent_index(docs, text, often, words, percent, filter_bits))
+    # keys of more than one class; the entries are made twice rather than written, as most of them end here
+    keys = staged(entries.groupBy("key").agg(F.min("cid").alias("c0"), F.max("cid").alias("c1")).filter("c0 <> c1").select("key"))
+    index = staged(guarded_join(entries, keys, "key", row_bytes=24))
+    plain = staged(rows.select("doc_id", "cid", "n"))
+    for old in (rows, shared, few, often, keys):
+        drop_staged(old)
     # the whole sets of classes that share a key; a repeated id brings other texts too, which the second join drops
-    keys = staged(index.groupBy("key").agg(F.min("cid").alias("c0"), F.max("cid").alias("c1")).filter("c0 <> c1").select("key"))
-    index = staged(guarded_join(index, keys, "key"))
     cids = staged(index.select("cid").distinct().join(classes.select("cid", "rep", "no_id").hint("merge"), "cid").select("cid", "rep", "no_id"))
     wanted = docs.select(F.col(doc_id).alias("rep"), F.col(text).alias("text"))
     own = guarded_join(wanted.filter("rep is not null"), staged(cids.filter("rep is not null").select("rep").distinct()), "rep").select("text")
@@ -253,16 +247,18 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: in
             pairs = current.join(one.hint("merge"), "key").filter((F.col("root") != F.col("r")) & similar_size).select(F.least("cid", "c").alias("a"), F.greatest("cid", "c").alias("b"))
         else:
             other = current.select("key", F.col("cid").alias("c"), F.col("n").alias("m"), F.col("root").alias("r"))
-            pairs = current.join(other.hint("merge"), "key").filter((F.col("root") < F.col("r")) & similar_size).select(F.least("cid", "c").alias("a"), F.greatest("cid", "c").alias("b"))
-        new = staged(_verified(staged(pairs.distinct()), sets, percent))
+            pairs = current.distinct().join(other.distinct().hint("merge"), "key").filter((F.col("root") < F.col("r")) & similar_size).select(F.least("cid", "c").alias("a"), F.greatest("cid", "c").alias("b"))
+        pairs = staged(pairs.distinct())
+        new = staged(_verified(pairs, sets, percent))
+        drop_staged(pairs)
         found = new if found is None else staged(found.union(new).distinct())
         if turn < TURNS:
             member = components(found)
     empty = docs.sparkSession.createDataFrame([], "a long, b long")
-    return rows.select("doc_id", "cid", "n"), found if found is not None else empty
+    return plain, found if found is not None else empty
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, frequent_over: int = FREQUENT, tokens_at_once: int = TOKENS_AT_ONCE) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, frequent_over: int = FREQUENT, filter_bits: int = FILTER_BITS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, cid.
 
     Words are [^\\x20\\x09-\\x0D]+ with A-Z in lower case. A text of fewer than words words is one shingle; one without
@@ -270,7 +266,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     component, whatever ids repeat; it is null where no row of the component has one. cid is equal for equal sets. An
     empty table gives no rows.
     """
-    rows, found = links(docs, doc_id, text, words, percent, frequent_over, tokens_at_once)
+    rows, found = links(docs, doc_id, text, words, percent, frequent_over, filter_bits)
     member = components(found)
     owned = rows.filter("n > 0").join(member.withColumnRenamed("id", "cid").hint("merge"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     owned = staged(owned)
