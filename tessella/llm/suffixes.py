@@ -27,16 +27,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import textbytes as tb
-from tessella.llm.common import guarded_join, staged, text_key
+from tessella.llm.common import guarded_join, modest_batches, staged, text_key
 
 LENGTH = 200
 GRAM = 48
 #: Bytes of pieces that a task's family holds, about; tasks are as many as that takes.
-FAMILY_BYTES = 16 << 20
+FAMILY_BYTES = 4 << 20
 #: An anchor with more bytes of different pieces than this is dealt out by window.
-ANCHOR_BYTES = 4 << 20
+ANCHOR_BYTES = 1 << 20
 #: Windows of a batch that gets a suffix array.
-BATCH = 1 << 14
+BATCH = 1 << 17
+#: Windows of a level whose bytes are compared at once.
+BLOCK = 1 << 15
 #: Bytes of one text that are looked at together.
 _PART = 4 << 20
 
@@ -120,7 +122,7 @@ class Family:
         self.repeated = np.zeros(1 << 20, bool)
         self.levels: list[Level] = []
         self.waiting: list[np.ndarray] = []
-        self.starts: list[int] = []
+        self.n_waiting = 0
 
     def add(self, piece: bytes, known: bool) -> int:
         """Adds a piece and gives its place; known: all its windows are repeated already."""
@@ -134,7 +136,8 @@ class Family:
         self.repeated[at : at + windows] = known
         self.size += n
         self.waiting.append(np.arange(at, at + windows))
-        if sum(map(len, self.waiting[-1:])) and sum(len(w) for w in self.waiting) >= self.batch:
+        self.n_waiting += windows
+        if self.n_waiting >= self.batch:
             self.flush()
         return at
 
@@ -147,9 +150,9 @@ class Family:
         if not self.waiting:
             return
         starts = np.concatenate(self.waiting)
-        self.waiting = []
-        for at in range(0, len(starts), 2 * self.batch):
-            self._array(starts[at : at + 2 * self.batch])
+        self.waiting, self.n_waiting = [], 0
+        for at in range(0, len(starts), self.batch):
+            self._array(starts[at : at + self.batch])
 
     def _array(self, starts: np.ndarray) -> None:
         keys = self.keys(starts)
@@ -161,8 +164,11 @@ class Family:
         first = np.ones(len(starts), bool)
         first[same + 1] = False
         starts, keys = starts[first], keys[first]
-        for level in self.levels:
-            self.scan(level, starts, keys)
+        for level in self.levels:  # what a level has too is marked there and not kept again
+            fresh = self.scan(level, starts, keys)
+            starts, keys = starts[fresh], keys[fresh]
+        if not len(starts):
+            return
         new = Level(starts, 0)
         while self.levels and self.levels[-1].rank == new.rank:
             new = self.merged(self.levels.pop(), new)
@@ -170,7 +176,7 @@ class Family:
 
     def _blocks(self, level: Level, starts: np.ndarray, keys: np.ndarray) -> Iterator[tuple[slice, slice, np.ndarray]]:
         """Blocks of a level with the run of (sorted) windows that fall into each, and the block's keys."""
-        size = 2 * self.batch
+        size = BLOCK
         heads = self.keys(level.order[::size])
         cuts = np.searchsorted(keys, heads)
         cuts[0] = 0
@@ -178,8 +184,11 @@ class Family:
             block = slice(i * size, min((i + 1) * size, len(level.order)))
             yield block, slice(begin, end), self.keys(level.order[block]) if end > begin else np.zeros(0, keys.dtype)
 
-    def scan(self, level: Level, starts: np.ndarray, keys: np.ndarray) -> None:
-        """Marks windows that are in the level too, and those of the level."""
+    def scan(self, level: Level, starts: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Marks windows that are in the level too, and those of the level; True for the rest."""
+        fresh = np.ones(len(starts), bool)
+        if not len(starts):
+            return fresh
         for block, run, own in self._blocks(level, starts, keys):
             if not len(own):
                 continue
@@ -187,29 +196,21 @@ class Family:
             equal = own[at] == keys[run]
             self.repeated[starts[run][equal]] = True
             self.repeated[level.order[block][at[equal]]] = True
+            fresh[run][equal] = False
+        return fresh
 
     def merged(self, old: Level, new: Level) -> Level:
-        """Both levels' windows in order; equal ones, which the scan has marked, once."""
-        parts = []
-        keys = self.keys(new.order) if len(new.order) <= 8 * self.batch else None
-        if keys is None:  # a large level is taken in runs
-            at, size = 0, 4 * self.batch
-            rest = old.order
-            while at < len(new.order):
-                run = new.order[at : at + size]
-                run_keys = self.keys(run)
-                # of the old level, what comes before the next run
-                if at + size < len(new.order):
-                    bound = self.keys(new.order[at + size : at + size + 1])[0]
-                    cut = self._rank(rest, bound)
-                else:
-                    cut = len(rest)
-                parts.append(self._merge(Level(rest[:cut], 0), run, run_keys))
-                rest = rest[cut:]
-                at += size
-        else:
-            parts.append(self._merge(old, new.order, keys))
-        return Level(np.concatenate(parts), old.rank + 1)
+        """Both levels' windows in order, which have none in common; the new level is taken in runs of a batch."""
+        parts, rest = [], old.order
+        for at in range(0, len(new.order), self.batch):
+            run = new.order[at : at + self.batch]
+            # of the old level, what comes before the next run
+            cut = len(rest)
+            if at + self.batch < len(new.order):
+                cut = self._rank(rest, self.keys(new.order[at + self.batch : at + self.batch + 1])[0])
+            parts.append(self._merge(Level(rest[:cut], 0), run, self.keys(run)))
+            rest = rest[cut:]
+        return Level(np.concatenate([*parts, rest]), old.rank + 1)
 
     def _rank(self, order: np.ndarray, key: bytes) -> int:
         low, high = 0, len(order)
@@ -230,9 +231,7 @@ class Family:
             if run.start == run.stop:
                 out.append(mine)
                 continue
-            at = np.searchsorted(own, keys[run])
-            fresh = own[np.minimum(at, len(own) - 1)] != keys[run]
-            out.append(np.insert(mine, at[fresh], starts[run][fresh]))
+            out.append(np.insert(mine, np.searchsorted(own, keys[run]), starts[run]))
         return np.concatenate(out)
 
 
@@ -247,7 +246,7 @@ def runs(flags: np.ndarray, length: int) -> tuple[list[int], list[int]]:
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, family_bytes: int = FAMILY_BYTES, anchor_bytes: int = ANCHOR_BYTES) -> DataFrame:
     """(t, spans): for the key of each text that loses bytes, the covered runs (s, e), which may overlap."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), text_key(text).alias("t"), F.col(text).alias("text")).filter(F.octet_length("text") >= length)
+    rows = modest_batches(docs).select(F.col(doc_id).alias("doc_id"), text_key(text).alias("t"), F.col(text).alias("text")).filter(F.octet_length("text") >= length)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in tb.slices(batches):
