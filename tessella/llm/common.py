@@ -19,6 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of rows handed to a Python worker at once; rows may hold very long texts.
+ARROW_BYTES = 4 << 20
+
+
+def modest_batches(df: DataFrame) -> DataFrame:
+    """df, after its session's Arrow batches were limited to ARROW_BYTES (unless a lower limit is set)."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(conf.get(key, "67108864b")).rstrip("bB")) > ARROW_BYTES:
+        conf.set(key, f"{ARROW_BYTES}b")
+    return df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import textbytes as tb
-from tessella.llm.common import drop_staged, guarded_join, staged
+from tessella.llm.common import drop_staged, guarded_join, modest_batches, staged
 from tessella.llm.components import components
 
 WORDS = 5
@@ -196,6 +196,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, frequent_over: int = FREQUENT, filter_bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, cid, n) and links (a, b) between classes whose components are those of all links."""
+    modest_batches(docs)
     rows = staged(_signatures(docs, doc_id, text, words, percent))
     classes = staged(rows.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.max(F.col("doc_id").isNull()).alias("no_id"), F.min("k2").alias("k2"), F.max("k2").alias("k3")))
     if classes.filter("k2 <> k3").limit(1).count():

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import staged
+from tessella.llm.common import modest_batches, staged
 from tessella.llm.components import components
 
 COSINE = 0.95
@@ -107,7 +107,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     linked with each other, also under one id. A null id comes back as null, and its component_id is the smallest id
     that it reaches. An empty table gives no rows.
     """
-    keyed, classes = classes_of(vectors, vec_id, embedding)
+    keyed, classes = classes_of(modest_batches(vectors), vec_id, embedding)
     links = staged(pairs(classes, cosine))
     weight = classes.select(F.col("cid").alias("w_cid"), "m")
     ends = links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).toDF("cid", "other")

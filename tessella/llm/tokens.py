@@ -23,6 +23,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.common import modest_batches
+
 #: Distinct matches given to one recursive query: about 8 rows each, and fewer for every round.
 WORDS_AT_ONCE = 20_000
 #: Words and pieces remembered by a task; beyond that it keeps those of its present slice only, so memory is bounded.
@@ -261,7 +263,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id",
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = modest_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
@@ -270,7 +272,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", into: s
     replaced."""
     from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-    kept = docs.drop(into)
+    kept = modest_batches(docs).drop(into)
     schema = StructType([*kept.schema.fields, StructField(into, ArrayType(IntegerType(), False), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +290,7 @@ def decode(rows: DataFrame, path: str, pattern: str, ids: str = "ids", into: str
     vocabulary doesn't have raises."""
     from pyspark.sql.types import BinaryType, StructField, StructType
 
-    kept = rows.drop(into)
+    kept = modest_batches(rows).drop(into)
     schema = StructType([*kept.schema.fields, StructField(into, BinaryType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import textbytes as tb
-from tessella.llm.common import guarded_join, held_out, staged
+from tessella.llm.common import guarded_join, held_out, modest_batches, staged
 
 #: The classifier is fitted on a sample of so many rows at most, chosen by a hash of the id. Scores cover all rows.
 MAX_POSITIVE = 4000
@@ -139,6 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     Only rows outside the held-out fold are learnt from. Labels that are null are no labels; repeated ones count once.
     The prior is the share of positives among the labelled rows outside the fold, between 0.01 and 0.5.
     """
+    modest_batches(docs)
     own = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("y").alias("y"))
     marked = own.agg(F.count("*"), F.sum("y")).first()
     prior = min(0.5, max(0.01, (marked[1] or 0) / max(1, marked[0])))
@@ -187,7 +188,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
     are independent, so ties and repeated rows get equal scores; a column named into is replaced."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    kept = docs.drop(into)
+    kept = modest_batches(docs).drop(into)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # MAX_FEATURES weights at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import textbytes as tb
+from tessella.llm.common import modest_batches
 
 #: Fixed values of the format: the order in which code length code lengths are stored.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -637,7 +638,7 @@ def media_columns(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=names)
 
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media"]
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = modest_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media binary")
 
 
@@ -649,7 +650,7 @@ def pixel_arrays(files: DataFrame, media: str = "media") -> DataFrame:
     """
     from pyspark.sql.types import BinaryType, IntegerType, StringType, StructField, StructType
 
-    kept = files.drop("width", "height", "pixels", "error")
+    kept = modest_batches(files).drop("width", "height", "pixels", "error")
     schema = StructType([*kept.schema.fields, StructField("width", IntegerType()), StructField("height", IntegerType()), StructField("pixels", BinaryType()), StructField("error", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
