@@ -38,9 +38,10 @@ PERCENT = 75
 FREQUENT = 3
 #: Turns in which a key's members are checked against one of them, before the rest is paired.
 TURNS = 3
-#: log2 of the most bits of the filter that marks frequent tokens (32 MB); it has 16 bits a token up to that. A token
-#: that it marks by mistake is frequent for all sets alike, so results don't depend on it.
-FILTER_BITS = 28
+#: log2 of the most bits of a Bloom filter (16 MB); it has 16 bits an entry up to that. One marks frequent tokens: one
+#: that it marks by mistake is frequent for all sets alike. Others leave out index entries that meet nothing: one that
+#: stays by mistake costs a check. Results don't depend on either.
+FILTER_BITS = 27
 #: Sets of fewer tokens are indexed by single tokens also where those are frequent.
 _SMALL = 16
 
@@ -152,29 +153,59 @@ def _filter(frequent: DataFrame, most: int) -> tuple[np.ndarray, int]:
     return out, width
 
 
-def _frequent_index(docs: DataFrame, text: str, frequent: DataFrame, words: int, percent: int, most: int) -> DataFrame:
-    """Index 2: (key, cid, n)."""
-    shared = docs.sparkSession.sparkContext.broadcast(_filter(frequent, most))
+def _in(filter_: tuple[np.ndarray, int], tokens: np.ndarray) -> np.ndarray:
+    """Which tokens a filter has, or seems to have."""
+    bits, width = filter_
+    found = np.ones(len(tokens), bool)
+    for at in _marks(tokens, width):
+        found &= (bits[at >> 6] >> (at & 63)) & 1 == 1
+    return found
+
+
+def _listed_index(rows: DataFrame, few: DataFrame, most: int) -> DataFrame:
+    """Index 1: (key, cid, n) of listed tokens (listed) that few has."""
+    shared = rows.sparkSession.sparkContext.broadcast(_filter(few, most))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, width = shared.value
-        for _, texts in tb.slices(batches):
-            tokens, n = shingles(texts, words)
-            ids, _ = _set_ids(tokens, n)
-            often = np.ones(len(tokens), bool)
-            for at in _marks(tokens, width):
-                often &= (bits[at >> 6] >> (at & 63)) & 1 == 1
-            keys, ends = [], np.cumsum(n)
-            for e, m in zip(ends.tolist(), n.tolist(), strict=True):
-                mine = often[e - m : e]
-                keys.append(combinations(tokens[e - m : e], mine, percent) if mine[: m - -(-percent * m // 100) + 1].any() else [])
-            many = np.array(list(map(len, keys)))
-            flat = np.fromiter((k for ks in keys for k in ks), np.int64, many.sum() if len(many) else 0)
-            for begin in range(0, len(flat), 1 << 20):
-                part = slice(begin, begin + (1 << 20))
-                yield pa.RecordBatch.from_arrays([pa.array(flat[part]), pa.array(np.repeat(ids.view(np.int64), many)[part]), pa.array(np.repeat(n.astype(np.int64), many)[part])], names=["key", "cid", "n"])
-
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "key long, cid long, n long")
+        for batch in batches:
+            lists = batch.column("listed")
+            many = lists.value_lengths().to_numpy()
+            tokens = lists.flatten().to_numpy()
+            keep = _in(shared.value, tokens.view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[keep]), *[pa.array(np.repeat(batch.column(c).to_numpy(), many)[keep]) for c in ("cid", "n")]], names=["key", "cid", "n"])
+
+    return rows.filter("n > 0").select("cid", "n", "listed").mapInArrow(run, "key long, cid long, n long")
+
+
+def _frequent_index(docs: DataFrame, text: str, frequent: DataFrame, words: int, percent: int, most: int) -> DataFrame:
+    """Index 2: (key, cid, n) of keys that more than one class has. The entries are made twice rather than written, as
+    most of them meet nothing."""
+    context = docs.sparkSession.sparkContext
+    marked = context.broadcast(_filter(frequent, most))
+
+    def entries(met) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, texts in tb.slices(batches):
+                tokens, n = shingles(texts, words)
+                ids, _ = _set_ids(tokens, n)
+                often = _in(marked.value, tokens)
+                keys, ends = [], np.cumsum(n)
+                for e, m in zip(ends.tolist(), n.tolist(), strict=True):
+                    mine = often[e - m : e]
+                    keys.append(combinations(tokens[e - m : e], mine, percent) if mine[: m - -(-percent * m // 100) + 1].any() else [])
+                many = np.array(list(map(len, keys)))
+                flat = np.fromiter((k for ks in keys for k in ks), np.int64, many.sum() if len(many) else 0)
+                keep = _in(met.value, flat.view(np.uint64)) if met is not None else np.ones(len(flat), bool)
+                columns = [flat[keep], np.repeat(ids.view(np.int64), many)[keep], np.repeat(n.astype(np.int64), many)[keep]]
+                for begin in range(0, len(columns[0]), 1 << 18):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[begin : begin + (1 << 18)]) for c in columns], names=["key", "cid", "n"])
+
+        return docs.select(F.col(text).alias("text")).mapInArrow(run, "key long, cid long, n long")
+
+    met = staged(entries(None).groupBy("key").agg(F.min("cid").alias("c0"), F.max("cid").alias("c1")).filter("c0 <> c1").select("key"))
+    found = entries(context.broadcast(_filter(met, most)))
+    drop_staged(met)
+    return found
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -205,14 +236,12 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: in
     shared = staged(listed.groupBy("key").agg(F.count("*").alias("many"), F.min("cid").alias("c0"), F.max("cid").alias("c1")).filter("c0 <> c1").select("key", "many"))
     few = staged(shared.filter(F.col("many") <= frequent_over).select("key"))
     often = staged(shared.filter(F.col("many") > frequent_over).select("key").withColumnRenamed("key", "tok"))
-    entries = guarded_join(listed, few, "key", row_bytes=24).select("key", "cid", "n")
+    entries = _listed_index(rows, few, filter_bits)
     if often.limit(1).count():
         entries = entries.union(_frequent_index(docs, text, often, words, percent, filter_bits))
-    # keys of more than one class; the entries are made twice rather than written, as most of them end here
-    keys = staged(entries.groupBy("key").agg(F.min("cid").alias("c0"), F.max("cid").alias("c1")).filter("c0 <> c1").select("key"))
-    index = staged(guarded_join(entries, keys, "key", row_bytes=24))
+    index = staged(entries)
     plain = staged(rows.select("doc_id", "cid", "n"))
-    for old in (rows, shared, few, often, keys):
+    for old in (rows, shared, few, often):
         drop_staged(old)
     # the whole sets of classes that share a key; a repeated id brings other texts too, which the second join drops
     cids = staged(index.select("cid").distinct().join(classes.select("cid", "rep", "no_id").hint("merge"), "cid").select("cid", "rep", "no_id"))
@@ -230,26 +259,35 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: in
 
     sets = staged(own.mapInArrow(whole, "cid long, f array<long>").join(cids.select("cid").hint("merge"), "cid", "left_semi"))
     found = None
-    similar_size = (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
     member = None
+    sizes = staged(index.select("cid", "n").distinct())
     for turn in range(TURNS + 1):
         if member is None:
-            current = index.withColumn("root", F.col("cid"))
+            current, known = index.select("key", "cid"), sizes.withColumn("root", F.col("cid"))
         else:
-            current = index.join(member.withColumnRenamed("id", "cid").hint("merge"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-            unsettled = staged(current.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key"))
-            current = staged(guarded_join(current, unsettled, "key"))
-            if not current.limit(1).count():
+            known = sizes.join(member.withColumnRenamed("id", "cid").hint("merge"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+            rooted = index.select("key", "cid").join(known.select("cid", "root").hint("merge"), "cid")
+            unsettled = staged(rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key"))
+            if not unsettled.limit(1).count():
                 break
+            last, index = index, staged(guarded_join(index, unsettled, "key", row_bytes=24))
+            drop_staged(last)
+            current = index.select("key", "cid")
         if turn < TURNS:
-            order = F.xxhash64("cid", F.lit(turn))
-            one = current.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("cid").alias("c"), F.col("n").alias("m"), F.col("root").alias("r"))).alias("one"))
-            one = one.select("key", F.col("one.c").alias("c"), F.col("one.m").alias("m"), F.col("one.r").alias("r"))
-            pairs = current.join(one.hint("merge"), "key").filter((F.col("root") != F.col("r")) & similar_size).select(F.least("cid", "c").alias("a"), F.greatest("cid", "c").alias("b"))
+            # another order each turn, of which the first member comes back by the same exclusive or
+            turned = F.lit(int(tb.mix(np.array([turn + 1], np.uint64)).view(np.int64)[0]))
+            other = current.groupBy("key").agg(F.min(F.col("cid").bitwiseXOR(turned)).alias("c")).select("key", F.col("c").bitwiseXOR(turned).alias("c"))
+            pairs = current.join(other.hint("merge"), "key").filter("cid <> c")
         else:
-            other = current.select("key", F.col("cid").alias("c"), F.col("n").alias("m"), F.col("root").alias("r"))
-            pairs = current.distinct().join(other.distinct().hint("merge"), "key").filter((F.col("root") < F.col("r")) & similar_size).select(F.least("cid", "c").alias("a"), F.greatest("cid", "c").alias("b"))
-        pairs = staged(pairs.distinct())
+            rooted = current.distinct().join(known.select("cid", "root").hint("merge"), "cid")
+            other = rooted.select("key", F.col("cid").alias("c"), F.col("root").alias("r"))
+            pairs = rooted.join(other.hint("merge"), "key").filter("root < r")
+        pairs = pairs.select(F.least("cid", "c").alias("a"), F.greatest("cid", "c").alias("b")).distinct()
+        one = known.select(F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("r_a"))
+        two = known.select(F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("r_b"))
+        pairs = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b")
+        pairs = pairs.filter((F.col("r_a") != F.col("r_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))).select("a", "b")
+        pairs = staged(pairs)
         new = staged(_verified(pairs, sets, percent))
         drop_staged(pairs)
         found = new if found is None else staged(found.union(new).distinct())
