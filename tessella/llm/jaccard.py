@@ -208,28 +208,58 @@ def _frequent_index(docs: DataFrame, text: str, frequent: DataFrame, words: int,
     return found
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose sets (cid, f) are similar."""
+def _paired(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b) whose sets (cid, f) may be similar; with whole tokens, those that are. Of narrow tokens all
+    that seem common count, so that no similar pair is left out."""
     left = pairs.join(sets.select(F.col("cid").alias("a"), F.col("f").alias("fa")).hint("merge"), "a")
     both = left.join(sets.select(F.col("cid").alias("b"), F.col("f").alias("fb")).hint("merge"), "b").select("a", "b", "fa", "fb")
+    narrow = sets.schema["f"].dataType.elementType.typeName() == "short"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        has = np.zeros(1 << 16, bool)
         for batch in batches:
             good = []
             for x, y in zip(batch.column("fa"), batch.column("fb"), strict=True):
                 p, q = np.asarray(x.values), np.asarray(y.values)
-                common = len(np.intersect1d(p, q, assume_unique=True))
+                if narrow:
+                    p, q = p.view(np.uint16), q.view(np.uint16)
+                    has[q] = True
+                    common = int(has[p].sum())
+                    has[q] = False
+                else:
+                    common = len(np.intersect1d(p, q, assume_unique=True))
                 good.append(100 * common >= percent * (len(p) + len(q) - common))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long")
 
 
+def _sets(docs: DataFrame, doc_id: str, text: str, cids: DataFrame, words: int, narrow: bool) -> DataFrame:
+    """(cid, f): the sets of some classes (cid, rep), read from the documents named by rep; narrow: 16 bits of each
+    token. A repeated id brings other texts too, which the join with the classes drops."""
+    wanted = docs.select(F.col(doc_id).alias("rep"), F.col(text).alias("text"))
+    own = guarded_join(wanted.filter("rep is not null"), staged(cids.filter("rep is not null").select("rep").distinct()), "rep", row_bytes=24).select("text")
+    if cids.filter("rep is null").limit(1).count():
+        own = own.union(wanted.filter("rep is null").select("text"))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in tb.slices(batches):
+            tokens, n = shingles(texts, words)
+            ids, _ = _set_ids(tokens, n)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+            values = (tokens >> np.uint64(48)).astype(np.uint16).view(np.int16) if narrow else tokens.view(np.int64)
+            some = pa.array(n > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)).filter(some), pa.ListArray.from_arrays(offsets, pa.array(values)).filter(some)], names=["cid", "f"])
+
+    found = own.mapInArrow(whole, f"cid long, f array<{'smallint' if narrow else 'long'}>")
+    return staged(guarded_join(found, staged(cids.select("cid")), "cid", "left_semi", row_bytes=24))
+
+
 def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, frequent_over: int = FREQUENT, filter_bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, cid, n) and links (a, b) between classes whose components are those of all links."""
     modest_batches(docs)
     rows = staged(_signatures(docs, doc_id, text, words, percent))
-    classes = staged(rows.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.max(F.col("doc_id").isNull()).alias("no_id"), F.min("k2").alias("k2"), F.max("k2").alias("k3")))
+    classes = staged(rows.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.min("k2").alias("k2"), F.max("k2").alias("k3")))
     if classes.filter("k2 <> k3").limit(1).count():
         raise ValueError("two different sets have one 64-bit hash; change the constant of textbytes.mix")
     listed = rows.select(F.explode("listed").alias("key"), "cid", "n")
@@ -243,21 +273,8 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: in
     plain = staged(rows.select("doc_id", "cid", "n"))
     for old in (rows, shared, few, often):
         drop_staged(old)
-    # the whole sets of classes that share a key; a repeated id brings other texts too, which the second join drops
-    cids = staged(index.select("cid").distinct().join(classes.select("cid", "rep", "no_id").hint("merge"), "cid").select("cid", "rep", "no_id"))
-    wanted = docs.select(F.col(doc_id).alias("rep"), F.col(text).alias("text"))
-    own = guarded_join(wanted.filter("rep is not null"), staged(cids.filter("rep is not null").select("rep").distinct()), "rep").select("text")
-    if cids.filter("rep is null").limit(1).count():
-        own = own.union(wanted.filter("rep is null").select("text"))
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in tb.slices(batches):
-            tokens, n = shingles(texts, words)
-            ids, _ = _set_ids(tokens, n)
-            some = n > 0
-            yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)[some]), _lists(tokens, n).filter(pa.array(some))], names=["cid", "f"])
-
-    sets = staged(own.mapInArrow(whole, "cid long, f array<long>").join(cids.select("cid").hint("merge"), "cid", "left_semi"))
+    cids = staged(index.select("cid").distinct().join(classes.select("cid", "rep").hint("merge"), "cid").select("cid", "rep"))
+    narrow = _sets(docs, doc_id, text, cids, words, True)
     found = None
     member = None
     sizes = staged(index.select("cid", "n").distinct())
@@ -288,8 +305,14 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: in
         pairs = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b")
         pairs = pairs.filter((F.col("r_a") != F.col("r_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))).select("a", "b")
         pairs = staged(pairs)
-        new = staged(_verified(pairs, sets, percent))
+        # most pairs end at the narrow sets; the whole ones are read for the rest only
+        likely = staged(_paired(pairs, narrow, percent))
         drop_staged(pairs)
+        ends = staged(likely.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
+        sets = _sets(docs, doc_id, text, staged(cids.join(ends.hint("merge"), "cid", "left_semi")), words, False)
+        new = staged(_paired(likely, sets, percent))
+        drop_staged(sets)
+        drop_staged(likely)
         found = new if found is None else staged(found.union(new).distinct())
         if turn < TURNS:
             member = components(found)
