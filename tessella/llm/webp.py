@@ -14,6 +14,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import heapq
+import itertools
 import struct
 from collections.abc import Iterator
 
@@ -75,14 +76,14 @@ def code_table(lengths: tuple[int, ...]) -> tuple[int, np.ndarray, np.ndarray]:
     used = np.array(lengths, np.int64)
     symbols = np.flatnonzero(used)
     if len(symbols) == 1:
-        return 0, symbols.astype(np.int32), np.zeros(1, np.int32)
+        return 0, symbols.astype(np.intp), np.zeros(1, np.intp)
     if not len(symbols) or (2.0 ** -used[symbols]).sum() != 1:
         raise ValueError("a prefix code that is not complete")
     width = int(used.max())
     order = symbols[np.argsort(used[symbols], kind="stable")]
     spans = 1 << (width - used[order])
     back = _reversals(width)
-    return width, np.repeat(order, spans)[back].astype(np.int32), np.repeat(used[order], spans)[back].astype(np.int32)
+    return width, np.repeat(order, spans)[back].astype(np.intp), np.repeat(used[order], spans)[back].astype(np.intp)
 
 
 def _read_lengths(bits: Bits, size: int) -> tuple[int, ...]:
@@ -173,10 +174,10 @@ def _read_literals(bits: Bits, n: int, codes: list) -> np.ndarray:
         first = bits.at >> 3
         data = np.frombuffer(bits.data, np.uint8)[first : first + (_RUN >> 3) + 8]
         own = (bits.at & 7) + (n - done) * longest
-        data = np.concatenate([data[: (own >> 3) + 1], np.zeros(12, np.uint8)]).astype(np.uint32)
-        spots = (len(data) - 12) * 8
+        data = np.concatenate([data[: (own >> 3) + 1], np.zeros(24, np.uint8)]).astype(np.intp)
+        spots = (len(data) - 24) * 8
         three = data[:-2] | data[1:-1] << 8 | data[2:] << 16
-        windows = (three[:, None] >> np.arange(8, dtype=np.uint32)[None, :]).ravel() & 0x7FFF
+        windows = (three[:, None] >> np.arange(8)[None, :]).ravel() & 0x7FFF
         tables = [(c[1], c[2], (1 << c[0]) - 1) for c in codes[:4]]
         lengths = {}
         for symbols, used, mask in tables:
@@ -186,11 +187,12 @@ def _read_literals(bits: Bits, n: int, codes: list) -> np.ndarray:
 
         def after(place: np.ndarray, k: int) -> np.ndarray:
             step = lengths[id(tables[k][1])]
-            return place if step is None else np.minimum(place + step[place], last)
+            return place if step is None else place + step[place]
 
-        place = np.arange(spots + 64, dtype=np.int32)
+        place = np.arange(spots + 64)
         for k in range(4):
             place = after(place, k)
+        place = np.minimum(place, last)
         # the next colour's place, eight at a time
         one = place
         eight = one
@@ -201,7 +203,7 @@ def _read_literals(bits: Bits, n: int, codes: list) -> np.ndarray:
         while at < end and 8 * len(starts) < n - done:
             starts.append(at)
             at = jump[at]
-        rows = np.empty((len(starts), 8), np.int32)
+        rows = np.empty((len(starts), 8), np.intp)
         rows[:, 0] = starts
         for j in range(1, 8):
             rows[:, j] = one[rows[:, j - 1]]
@@ -497,26 +499,27 @@ class Writer:
 
 
 def _put_lengths(out: Writer, lengths: list[int]) -> None:
-    """A prefix code: simple if it has one small symbol, else with runs of zeros as 17 and 18 and the rest as it is."""
+    out.put(*_length_bits(tuple(lengths)))
+
+
+@functools.lru_cache(maxsize=64)
+def _length_bits(lengths: tuple[int, ...]) -> tuple[int, int]:
+    """A prefix code's bits and their number: simple if it has one small symbol, else with runs of zeros as 17 and 18
+    and the rest as it is."""
+    out = Writer()
     used = [s for s, n in enumerate(lengths) if n]
     if len(used) <= 1 and (not used or used[0] < 256):
         out.put(0b101, 3)  # simple, one symbol, of 8 bits
         out.put(used[0] if used else 0, 8)
-        return
-    tokens, at = [], 0
-    while at < len(lengths):
-        n = lengths[at]
-        run = 1
-        while not n and at + run < len(lengths) and not lengths[at + run] and run < 138:
-            run += 1
-        if run >= 11:
-            tokens.append((18, run - 11, 7))
-        elif run >= 3:
-            tokens.append((17, run - 3, 3))
-        else:
-            run = 1
-            tokens.append((n, 0, 0))
-        at += run
+        return out.value, out.size
+    tokens: list[tuple[int, int, int]] = []
+    for n, same in itertools.groupby(lengths):
+        run = sum(1 for _ in same)
+        while not n and run >= 3:
+            some = min(run, 138)
+            tokens.append((18, some - 11, 7) if some >= 11 else (17, some - 3, 3))
+            run -= some
+        tokens += [(n, 0, 0)] * run
     counts = np.bincount([t[0] for t in tokens], minlength=19)
     inner = code_lengths(counts, 7)
     if np.count_nonzero(counts) == 1:
@@ -528,9 +531,12 @@ def _put_lengths(out: Writer, lengths: list[int]) -> None:
     for i in range(max(4, last + 1)):
         out.put(inner[LENGTH_ORDER[i]], 3)
     out.put(0, 1)
+    value = at = 0
     for symbol, extra, n in tokens:
-        out.put(words[symbol], inner[symbol])
-        out.put(extra, n)
+        value |= (words[symbol] | extra << inner[symbol]) << at
+        at += inner[symbol] + n
+    out.put(value, at)
+    return out.value, out.size
 
 
 def _put_literals(out: Writer, colours: np.ndarray, one_code: bool, top: bool) -> bytes:
@@ -553,9 +559,9 @@ def _put_literals(out: Writer, colours: np.ndarray, one_code: bool, top: bool) -
             words[k], sizes[k] = code_words(lengths) if k in (0, 3) or not one_code else words[0], lengths
     w, n = words[np.arange(4), planes].ravel(), sizes[np.arange(4), planes].ravel()
     w, n = w[n > 0], n[n > 0]
-    owner = np.repeat(np.arange(len(n), dtype=np.int32), n)
-    inside = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-    body = ((w[owner] >> inside) & 1).astype(np.uint8)
+    n = n.astype(np.int32)
+    inside = np.arange(n.sum(), dtype=np.int32) - np.repeat(np.cumsum(n, dtype=np.int32) - n, n)
+    body = ((np.repeat(w.astype(np.int32), n) >> inside) & 1).astype(np.uint8)
     head = np.unpackbits(np.frombuffer(out.value.to_bytes((out.size + 7) // 8, "little"), np.uint8), bitorder="little")[: out.size]
     return np.packbits(np.concatenate([head, body]), bitorder="little").tobytes()
 
