@@ -22,7 +22,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that occur on many sites; n_chars follows."""
-    return lines.remove_boilerplate(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return lines.remove_boilerplate(docs, min_chars=lines.EVERY_LINE).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,8 +14,10 @@ from tessella.llm.common import guarded_join, staged, text_key
 
 #: A line on so many sites is boilerplate.
 MIN_SITES = 8
-#: Shorter lines never are.
+#: Shorter lines never are, unless the caller says otherwise.
 MIN_CHARS = 10
+#: What op4 and the pipeline ask for: every line that isn't blank.
+EVERY_LINE = 1
 #: log2 of the sketch's registers; up to 128 sites are listed exactly, beyond that the standard error is 3.3 %.
 LOG_REGISTERS = 10
 #: Estimates within this share of the threshold are counted exactly (6 standard errors).

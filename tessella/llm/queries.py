@@ -35,7 +35,7 @@ def op3_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = _lines.remove_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    kept = _lines.remove_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), min_chars=_lines.EVERY_LINE)
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
