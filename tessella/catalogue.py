@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -93,13 +94,22 @@ class _Case:
         return placement.replicas(placement.scored(self.shards()[2]), WORKERS)
 
 
+#: The share of a _twentieth query: every row whose id is divisible by 20.
+TWENTIETH = 20
+
+
 def _add(name: str, sql: str | None, **case):
-    """Registers a query made from its fixture."""
+    """Registers a query made from its fixture. A search by the 1 % sample is also registered as name_twentieth, by every
+    row whose id is divisible by 20."""
 
     def take(f: Callable[[_Case], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: f(_Case(spark, sf_dir, **case))
         if sql is not None:
             ORACLE_SQL[name] = sql
+            # q stands where it is made; anything that reads it names it again
+            if "every" not in case and len(re.findall(r"\bq\b", sql)) > 1:
+                QUERIES[f"{name}_twentieth"] = lambda spark, sf_dir: f(_Case(spark, sf_dir, **case, every=TWENTIETH))
+                ORACLE_SQL[f"{name}_twentieth"] = sql.replace("id % 100 = 0", f"id % {TWENTIETH} = 0")
         return f
 
     return take

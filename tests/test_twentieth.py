@@ -1,0 +1,36 @@
+"""The searches by every row whose id is divisible by 20, against their SQL."""
+
+import duckdb
+import pytest
+
+import __spark_entry__
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_the_query_set_is_every_twentieth_id(spark):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{SF}/lineitem.parquet'")
+    n = con.sql("SELECT count(*) FROM lineitem").fetchall()[0][0]
+    qids = [r.qid for r in __spark_entry__.queries()["sampled_queries_twentieth"](spark, SF).select("qid").collect()]
+    assert sorted(qids) == list(range(len(qids))) and abs(len(qids) - n / 20) <= 1
+
+
+def test_every_search_of_the_sample_has_one():
+    known, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
+    searches = [n for n, s in sql.items() if "id % 100 = 0" in s and s.count("q.") > 0]
+    assert len(searches) > 30
+    for n in searches:
+        assert "id % 20 = 0" in sql[f"{n}_twentieth"] and "id % 100 = 0" not in sql[f"{n}_twentieth"] and f"{n}_twentieth" in known
+
+
+@pytest.mark.parametrize("name", ["range_count_index_twentieth", "region_hits_twentieth", "routed_counts_block_twentieth"])
+def test_matches_sql(spark, name):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{SF}/lineitem.parquet'")
+    got = __spark_entry__.queries()[name](spark, SF)
+    want = con.sql(__spark_entry__.oracle_sql()[name])
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    rows = lambda it: sorted(map(str, it))
+    assert rows(tuple(r[c] for c in columns) for r in got.collect()) == rows(want.select(*columns).fetchall())
