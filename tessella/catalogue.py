@@ -169,6 +169,24 @@ b AS (SELECT *, CASE WHEN no < (n % w) * (n // w + 1) THEN no // (n // w + 1) EL
 c AS (SELECT *, count(*) OVER (PARTITION BY slab) AS m, row_number() OVER (PARTITION BY slab ORDER BY cy, id) - 1 AS ry FROM b),
 d AS (SELECT *, greatest(1, least(8, round(m * k / n::DOUBLE)))::BIGINT AS g FROM c)"""
 _add("grid_split", _with(_base(), _GRID) + "SELECT id, slab::BIGINT AS slab, (CASE WHEN ry < (m % g) * (m // g + 1) THEN ry // (m // g + 1) ELSE m % g + (ry - (m % g) * (m // g + 1)) // greatest(1, m // g) END)::BIGINT AS part FROM d")(lambda c: ix.grid_split(c.objects, LEAF, FANOUT))
+
+
+def _grid_levels(leaf: int = LEAF, fanout: int = FANOUT, depth: int = 8) -> str:
+    """s{depth}: objects with path and n of their leaf, one split a level."""
+    out = ["s0 AS MATERIALIZED (SELECT *, trunc((xmin::BIGINT + xmax) / 2) AS cx, trunc((ymin::BIGINT + ymax) / 2) AS cy, '0' AS path, count(*) OVER () AS n FROM obj)"]
+    even = "CASE WHEN {no} < ({n} % {w}) * ({n} // {w} + 1) THEN {no} // ({n} // {w} + 1) ELSE {n} % {w} + ({no} - ({n} % {w}) * ({n} // {w} + 1)) // greatest(1, {n} // {w}) END"
+    for j in range(depth):
+        out.append(f"""sa{j} AS (SELECT *, greatest(1, floor(sqrt(k)))::BIGINT AS w, row_number() OVER (PARTITION BY path ORDER BY cx, id) - 1 AS rx FROM (SELECT *, least(ceil(n / {leaf}.0), {fanout})::BIGINT AS k FROM s{j} WHERE n > {leaf})),
+sb{j} AS (SELECT *, {even.format(no="rx", n="n", w="w")} AS slab FROM sa{j}),
+sc{j} AS (SELECT *, greatest(1, round(m / n::DOUBLE * k))::BIGINT AS g FROM (SELECT *, count(*) OVER (PARTITION BY path, slab) AS m, row_number() OVER (PARTITION BY path, slab ORDER BY cy, id) - 1 AS ry FROM sb{j})),
+sd{j} AS (SELECT path, slab, coalesce(sum(g) OVER (PARTITION BY path ORDER BY slab ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM (SELECT DISTINCT path, slab, g FROM sc{j})),
+s{j + 1} AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY path) AS n FROM (SELECT id, xmin, ymin, xmax, ymax, cx, cy, path || '.' || (before + {even.format(no="ry", n="m", w="g")}) AS path FROM sc{j} JOIN sd{j} USING (path, slab)) UNION ALL BY NAME SELECT * FROM s{j} WHERE n <= {leaf})""")
+    return ",\n".join(out)
+
+
+_GRID_NODES = f"SELECT list_aggregate(p[:u], 'string_agg', '.') AS path, u - 1 AS level, bool_or(u = len(p)) AS is_leaf, CASE WHEN bool_or(u = len(p)) THEN count(*) ELSE count(DISTINCT p[u + 1]) END AS cnt, {_BOX} FROM (SELECT *, unnest(generate_series(1, len(p))) AS u FROM (SELECT *, string_split(path, '.') AS p FROM s8)) GROUP BY 1, 2"
+_add("grid_split_leaves", _with(_base(), _grid_levels()) + "SELECT id, path, n AS cnt FROM s8")(lambda c: ix.grid_leaves(c.objects, LEAF, FANOUT).select("id", "path", "cnt"))
+_add("grid_split_nodes", _with(_base(), _grid_levels()) + _GRID_NODES)(lambda c: ix.grid_nodes(ix.grid_leaves(c.objects, LEAF, FANOUT)))
 _bits = " + ".join(f"((((cx >> {i}) & 1) << {2 * i}) + (((cy >> {i}) & 1) << {2 * i + 1}))" for i in range(16))
 _add("morton_order", _with(_base()) + f"SELECT qid, (CASE WHEN z >= 2147483648 THEN z - 4294967296 ELSE z END)::INT AS z, row_number() OVER (ORDER BY CASE WHEN z >= 2147483648 THEN z - 4294967296 ELSE z END, qid) - 1 AS place FROM (SELECT qid, {_bits} AS z FROM (SELECT qid, trunc((xmin::BIGINT + xmax) / 2)::BIGINT AS cx, trunc((ymin::BIGINT + ymax) / 2)::BIGINT AS cy FROM q))")(
     lambda c: c.queries.select("qid", morton(centre("xmin", "xmax"), centre("ymin", "ymax")).alias("z")).withColumn("place", (F.row_number().over(Window.orderBy("z", "qid")) - 1).cast("long"))

@@ -10,11 +10,11 @@ import dataclasses
 import functools
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.geometry import SIDES, bounding, centre
-from tessella.operators.ranks import global_row_number
+from tessella.operators.ranks import ONE_TASK, global_row_number
 
 LEAF = 128
 FANOUT = 2540
@@ -181,3 +181,74 @@ def grid_split(objects: DataFrame, leaf: int = LEAF, fanout: int = FANOUT, n: in
     more = F.col("m") % F.col("g")
     part = F.when(F.col("ry") < more * (small + 1), F.floor(F.col("ry") / (small + 1))).otherwise(more + F.floor((F.col("ry") - more * (small + 1)) / F.greatest(F.lit(1), small)))
     return ranked.select("id", "slab", part.cast("long").alias("part"))
+
+
+def _even_sizes(n: int, parts: int) -> list[int]:
+    return [n // parts + (i < n % parts) for i in range(parts)]
+
+
+def _child_sizes(n: int, leaf: int, fanout: int) -> list[int]:
+    """Objects of each child of a group of n, as _split_groups makes them."""
+    k = min(-(-n // leaf), fanout)
+    out: list[int] = []
+    for m in _even_sizes(n, max(1, math.isqrt(k))):
+        out += _even_sizes(m, min(max(1, math.floor(m / n * k + 0.5)), fanout - len(out)))
+    return out
+
+
+def _numbered(rows: DataFrame, by: list[str], order: list[str], name: str, biggest: int, n: int) -> DataFrame:
+    """rows with a number from 0 in order inside each group of by; groups beyond a million rows span ranges."""
+    if biggest <= ONE_TASK:
+        return rows.withColumn(name, (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("long"))
+    ranked = global_row_number(rows, [*by, *order], name, n)
+    # sizes of a level are about even, so its groups are few while one is that large
+    first = ranked.groupBy(*by).agg(F.min(name).alias("first_no"))
+    return ranked.join(F.broadcast(first), by).withColumn(name, F.col(name) - F.col("first_no")).drop("first_no")
+
+
+def _place(no: Column, n: Column, parts: Column) -> Column:
+    """Which of an even number of parts row no of n is in; the first n % parts have one more."""
+    size, extra = F.floor(n / parts), n % parts
+    bound = extra * (size + 1)
+    return F.when(no < bound, F.floor(no / (size + 1))).otherwise(extra + F.floor((no - bound) / F.greatest(F.lit(1), size))).cast("long")
+
+
+def _split_groups(rows: DataFrame, leaf: int, fanout: int, biggest: int, total: int) -> DataFrame:
+    """Every group (path) of more than leaf rows (n), split once: path and n are those of the child."""
+    n = F.col("n")
+    k = F.least(F.ceil(n / leaf), F.lit(fanout))
+    rows = _numbered(rows.withColumn("k", k).withColumn("sx", F.greatest(F.lit(1), F.floor(F.sqrt("k")))), ["path"], ["cx", "id"], "rx", biggest, total)
+    size, extra = F.floor(n / F.col("sx")), n % F.col("sx")
+    rows = rows.withColumn("slab", _place(F.col("rx"), n, F.col("sx"))).withColumn("m", size + F.when(F.col("slab") < extra, 1).otherwise(0))
+    rows = _numbered(rows, ["path", "slab"], ["cy", "id"], "ry", biggest, total)
+    share = lambda m: F.greatest(F.lit(1), F.round(m / n * F.col("k")).cast("long"))
+    rows = rows.withColumn("before", F.least("slab", extra) * share(size + 1) + F.greatest(F.col("slab") - extra, F.lit(0)) * share(size))
+    rows = rows.withColumn("g", F.least(share(F.col("m")), F.lit(fanout) - F.col("before"))).withColumn("part", _place(F.col("ry"), F.col("m"), F.col("g")))
+    child = F.concat("path", F.lit("."), (F.col("before") + F.col("part")).cast("string"))
+    held = F.floor(F.col("m") / F.col("g")) + F.when(F.col("part") < F.col("m") % F.col("g"), 1).otherwise(0)
+    return rows.select("id", *SIDES, "cx", "cy", F.when(n > leaf, child).otherwise(F.col("path")).alias("path"), F.when(n > leaf, held).otherwise(n).cast("long").alias("n"))
+
+
+def grid_leaves(objects: DataFrame, leaf: int = LEAF, fanout: int = FANOUT, n: int | None = None) -> DataFrame:
+    """id, corners, path and cnt: the top-down split, level by level, until no group has more than leaf objects. path has
+    the numbers of the children from the root ("0") down to the leaf, cnt is the leaf's size. The sizes of all groups
+    follow from n, so levels are looped without counting. (The reference's split into halves is for a node without
+    children, which a group of more than leaf objects never is.)"""
+    if leaf < 1 or fanout < 2:
+        raise ValueError("leaf must be 1 at least and fanout 2")
+    n = objects.count() if n is None else n
+    rows = objects.select("id", *SIDES, centre("xmin", "xmax").alias("cx"), centre("ymin", "ymax").alias("cy"), F.lit("0").alias("path"), F.lit(n).cast("long").alias("n"))
+    sizes = {n}
+    while max(sizes) > leaf:
+        rows = _split_groups(rows, leaf, fanout, max(sizes), n)
+        sizes = {s for m in sizes for s in (_child_sizes(m, leaf, fanout) if m > leaf else [m])}
+    return rows.select("id", *SIDES, "path", F.col("n").alias("cnt"))
+
+
+def grid_nodes(leaves: DataFrame) -> DataFrame:
+    """path, level (root 0), is_leaf, cnt (objects of a leaf, children of others) and corners of grid_leaves' nodes."""
+    boxes = leaves.groupBy("path").agg(F.count("*").alias("own"), *bounding()).withColumn("steps", F.split("path", r"\."))
+    each = boxes.select("*", F.explode(F.sequence(F.lit(1), F.size("steps"))).alias("upto"))
+    each = each.withColumn("node", F.array_join(F.slice("steps", F.lit(1), F.col("upto")), ".")).withColumn("child", F.get("steps", F.col("upto")).cast("long"))
+    found = each.groupBy(F.col("node").alias("path"), (F.col("upto") - 1).cast("long").alias("level")).agg(F.max(F.col("child").isNull()).alias("is_leaf"), F.max(F.coalesce(F.col("child") + 1, F.col("own"))).cast("long").alias("cnt"), *bounding())
+    return found.select("path", "level", "is_leaf", "cnt", *SIDES)
