@@ -137,3 +137,18 @@ counts AS (SELECT rid, count(*)::BIGINT AS n_lines, count(*) FILTER (level > 0):
 SELECT s.conv_id, s.turn, s.role, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_quoted, 0)::BIGINT AS n_quoted, coalesce(max_level, 0)::BIGINT AS max_level, p.parent_turn, coalesce(r.root_turn, s.turn) AS root_turn
 FROM src s LEFT JOIN counts c USING (rid) LEFT JOIN parent p ON p.conv_id = s.conv_id AND p.turn = s.turn LEFT JOIN roots r ON r.conv_id = s.conv_id AND r.turn = s.turn
 """
+
+_CTES, _SELECT = ORACLE.rsplit("SELECT s.conv_id", 1)
+#: ORACLE with the digest of the body.
+BODY_ORACLE = (
+    _CTES.rstrip()
+    + r""",
+cut AS (SELECT DISTINCT conv_id, turn, level, plain FROM (SELECT conv_id, turn, level, unnest(string_split(u, chr(10))) AS plain FROM found)),
+bodies AS (
+  SELECT l.rid, trim(coalesce(string_agg(raw, chr(10) ORDER BY i) FILTER (l.level = 0 OR c.plain IS NULL AND l.plain <> ''), ''), ' ') AS body
+  FROM lv l JOIN parent k ON k.conv_id = l.conv_id AND k.turn = l.turn LEFT JOIN cut c ON c.conv_id = l.conv_id AND c.turn = l.turn AND c.level = l.level AND c.plain = l.plain GROUP BY l.rid
+)
+SELECT s.conv_id"""
+    + _SELECT.replace("AS root_turn\n", "AS root_turn, sha256(coalesce(b.body, s.text, '')) AS body_sha256\n").rstrip()
+    + " LEFT JOIN bodies b ON b.rid = s.rid\n"
+)
