@@ -1,21 +1,27 @@
 """Jaccard join of word-shingle sets by token-combination prefixes.
 
-Tokens are 64-bit hashes of shingles; equal sets are one class. If two sets of sizes n <= n' have similarity t, the
-smaller lacks at most n - ceil(t n) of its tokens in the other, and so has the larger of its own. Two indexes use this:
-
-1. Every class lists its first floor((1-t) n) + 1 tokens in hash order. Two similar classes share one of them. Tokens
-   listed by few rows are indexed as they are.
-2. Classes that list a frequent token are indexed again with an extended prefix: rare tokens first, then frequent ones
-   by token class (a hash of the token, with about four tokens of a set in each class). A rare token is a key of its
-   own; of frequent ones, each pair inside a token class is. A class with m tokens in the prefix can lose m - 1 of them
-   before no pair is left, so the prefix goes on until the rare tokens plus the (m - 1) of all classes exceed the
-   number of tokens that can be missing. If two similar sets share no rare token of index 1, both list a frequent one,
-   and then they share a key of index 2. As token classes depend on the size, a set is indexed at its own size level (a
-   power of two) and, if a similar one can reach it, the next.
-
-Candidates are checked on the whole sets. Inside a key, all members are first checked against one of them, by turns of
-a changing order, and components are formed; only members that are still in different components are then paired, so a
-key's pairs are not all made. Links found this way have the same components as all links.
+Tokens are 64-bit hashes of shingles; equal sets are one class, and classes, not documents, are joined.
+
+1. Sieve. At most floor((1-t) n) of a set's n tokens are missing in a similar one. A class lists its first tokens in
+   hash order, by l more than that, where l is an eighth of n and 1. The first l tokens that two similar sets share are
+   listed by both, with the lesser of their two l. So a class leaves, as it has no partner, unless as many listed
+   tokens as the l of the least set that can be similar to it are listed by other classes too.
+2. Order. Of the classes left, all tokens are counted. A token that one class alone has is dead: it is missing in every
+   partner. Tokens are ordered by rising count, so dead and rare ones come first.
+3. Extended prefixes. A rare token is a key of its own; of frequent ones, each pair inside a token class is (a hash of
+   the token, about four tokens of a set in each class). A token class with m tokens in the prefix can lose m - 1 of
+   them before no pair is left, so the prefix goes on until dead tokens, rare tokens and the (m - 1) of all token
+   classes exceed the number of tokens that can be missing. As token classes depend on the size, a set is indexed at
+   its own size level (a power of two) and, if a similar one can reach it, the next. Of two similar sets the smaller
+   lacks at most floor((1-t)/(1+t) n) tokens; keys up to that number are marked, and a pair needs the mark of its
+   smaller set.
+4. Pairing. Inside a key, members are checked against one of them, by turns of a changing choice (first the one with
+   the least share of dead tokens), and components are formed, until a turn merges few. Members still in different
+   components are then paired, if sizes, dead tokens and the difference of two 512-bit parity maps (each differing bit
+   is a differing token) leave similarity possible. All filters are exact bounds: none loses a pair.
+5. Verification on the whole sets. Dead tokens count by number only.
+
+Links found this way have the same components as all links; links(every=True) leaves the turns out and gives all.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import textbytes as tb
@@ -34,16 +40,16 @@ from tessella.llm.components import components
 WORDS = 5
 #: Similarity in hundredths.
 PERCENT = 75
-#: Tokens listed by more rows are frequent.
+#: Tokens of more classes are frequent.
 FREQUENT = 3
-#: Turns in which a key's members are checked against one of them, before the rest is paired.
-TURNS = 3
-#: log2 of the most bits of a Bloom filter (16 MB); it has 16 bits an entry up to that. One marks frequent tokens: one
-#: that it marks by mistake is frequent for all sets alike. Others leave out index entries that meet nothing: one that
-#: stays by mistake costs a check. Results don't depend on either.
+#: A set lists one token, and one for every LISTED of its own, beyond those that can be missing.
+LISTED = 8
+#: log2 of the most bits of the Bloom filter (16 MB) that carries shared tokens to the listed ones, at 16 bits a token;
+#: beyond that they are joined. A token that the filter takes for shared by mistake costs work, never a result.
 FILTER_BITS = 27
-#: Sets of fewer tokens are indexed by single tokens also where those are frequent.
-_SMALL = 16
+#: Turns end when one merges less than a share of 1 / FEW of the classes that still meet others.
+FEW = 50
+_MAP = 8  # longs of a parity map
 
 
 def shingles(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -89,33 +95,47 @@ def _lists(values: np.ndarray, n: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(values.view(np.int64)))
 
 
-def combinations(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> list[int]:
-    """Keys of index 2 of one set, from its tokens and whether each is frequent."""
-    n = len(tokens)
-    missing = n - -(-percent * n // 100)
-    level = n.bit_length() - 1
-    keys: list[int] = []
-    for at in (level, level + 1) if 100 * n >= percent << (level + 1) else (level,):
-        salt = tb.mix(np.array([at], np.uint64))[0]
-        rare = np.sort(tokens if 1 << at < _SMALL else tokens[~frequent])[: missing + 1]
-        keys += tb.mix(rare ^ salt).view(np.int64).tolist()
-        left = missing + 1 - len(rare)
-        if left <= 0 or 1 << at < _SMALL:
-            continue
-        often = tokens[frequent]
-        group = tb.mix(often + salt) % np.uint64((1 << at) // 4)
-        order = np.lexsort((often, group))
-        often, group = often[order], group[order]
-        begins = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        for begin, end in zip(begins, [*begins[1:], len(often)], strict=True):
-            # the last token class may be cut where enough is reached
-            end = min(end, begin + 1 + left)
-            a, b = np.triu_indices(end - begin, 1)
-            keys += tb.mix(tb.mix(often[begin + a] + salt) * np.uint64(3) + often[begin + b]).view(np.int64).tolist()
-            left -= end - begin - 1
-            if left <= 0:
-                break
-    return keys
+def missing(n, percent: int = PERCENT):
+    """How many of n tokens a similar set can lack, whatever its size."""
+    return n - -(-percent * n // 100)
+
+
+def missing_in_larger(n, percent: int = PERCENT):
+    """How many of n tokens a similar set of n tokens or more can lack."""
+    return n - -(-2 * percent * n // (100 + percent))
+
+
+def needed(n, percent: int = PERCENT):
+    """How many listed tokens of a set of n tokens other classes list if it has a partner."""
+    return 1 + (n - missing(n, percent)) // LISTED
+
+
+def combinations(tokens: np.ndarray, counts: np.ndarray, n: int, percent: int = PERCENT, frequent_over: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of one set and whether each is marked, from its live tokens in the common order, how many classes have each
+    and the size with dead tokens."""
+    dead = n - len(tokens)
+    most, marked = missing(n, percent) + 1 - dead, missing_in_larger(n, percent) + 1 - dead
+    rare = tokens[counts <= frequent_over][: max(0, most)]
+    keys, marks = [tb.mix(rare)], [np.arange(len(rare)) < marked]
+    often = tokens[counts > frequent_over]
+    if len(rare) < most and len(often):
+        level = n.bit_length() - 1
+        for at in (level, level + 1) if 100 * n >= percent << (level + 1) else (level,):
+            salt = tb.mix(np.array([at], np.uint64))[0]
+            group = tb.mix(often + salt) % np.uint64(max(1, (1 << at) // 4))
+            order = np.lexsort((often, group))
+            own, group = often[order], group[order]
+            begins = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            used = len(rare)
+            for begin, end in zip(begins, [*begins[1:], len(own)], strict=True):
+                end = min(end, begin + 1 + most - used)  # the last token class is cut where enough is reached
+                a, b = np.triu_indices(end - begin, 1)
+                keys.append(tb.mix(tb.mix(own[begin + a] + salt) * np.uint64(3) + own[begin + b]))
+                marks.append(used + b - 1 < marked)  # a pair is complete at its later token
+                used += end - begin - 1
+                if used >= most:
+                    break
+    return np.concatenate(keys), np.concatenate(marks)
 
 
 def _signatures(docs: DataFrame, doc_id: str, text: str, words: int, percent: int) -> DataFrame:
@@ -125,7 +145,7 @@ def _signatures(docs: DataFrame, doc_id: str, text: str, words: int, percent: in
         for rows, texts in tb.slices(batches):
             tokens, n = shingles(texts, words)
             a, b = _set_ids(tokens, n)
-            listed = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
+            listed = np.minimum(n, missing(n, percent) + 1 + n // LISTED)
             prefix = tokens[_place(n) < np.repeat(listed, n)]
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(n.astype(np.int64)), _lists(prefix, listed)], names=["doc_id", "cid", "k2", "n", "listed"])
 
@@ -138,201 +158,263 @@ def _marks(tokens: np.ndarray, width: int) -> list[np.ndarray]:
     return [(tb.mix(tokens + np.uint64(k)) >> np.uint64(64 - width)).astype(np.int64) for k in (101, 202, 303)]
 
 
-def _filter(frequent: DataFrame, most: int) -> tuple[np.ndarray, int]:
-    """A Bloom filter of a column of tokens, of at most 2**most bits, as 64-bit words; its bits are joined by Spark."""
-    width = min(most, max(10, (16 * frequent.count()).bit_length()))
+def _filter(tokens: DataFrame, width: int) -> np.ndarray:
+    """A Bloom filter of a column of tokens, of 2**width bits, as 64-bit words; its bits are joined by Spark."""
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = np.concatenate(_marks(batch.column(0).to_numpy().view(np.uint64), width))
             yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.left_shift(np.int64(1), at & 63))], names=["w", "b"])
 
-    words = frequent.mapInArrow(places, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    words = tokens.mapInArrow(places, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(1 << (width - 6), np.int64)
     out[words.column("w").to_numpy()] = words.column("b").to_numpy()
-    return out, width
+    return out
 
 
-def _in(filter_: tuple[np.ndarray, int], tokens: np.ndarray) -> np.ndarray:
+def _in(bits: np.ndarray, width: int, tokens: np.ndarray) -> np.ndarray:
     """Which tokens a filter has, or seems to have."""
-    bits, width = filter_
     found = np.ones(len(tokens), bool)
     for at in _marks(tokens, width):
         found &= (bits[at >> 6] >> (at & 63)) & 1 == 1
     return found
 
 
-def _listed_index(rows: DataFrame, few: DataFrame, most: int) -> DataFrame:
-    """Index 1: (key, cid, n) of listed tokens (listed) that few has."""
-    shared = rows.sparkSession.sparkContext.broadcast(_filter(few, most))
+def _sieved(rows: DataFrame, percent: int, most_bits: int) -> DataFrame:
+    """cid of the classes that may have a partner, by the listed tokens that other classes list too."""
+    listed = rows.filter("n > 0").select(F.explode("listed").alias("key"), "cid")
+    shared = staged(listed.groupBy("key").agg(F.min("cid").alias("c0"), F.max("cid").alias("c1")).filter("c0 <> c1").select("key"))
+    width = max(10, (16 * shared.count()).bit_length())
+    if width <= most_bits:
+        bits = rows.sparkSession.sparkContext.broadcast(_filter(shared, width))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("listed")
-            many = lists.value_lengths().to_numpy()
-            tokens = lists.flatten().to_numpy()
-            keep = _in(shared.value, tokens.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[keep]), *[pa.array(np.repeat(batch.column(c).to_numpy(), many)[keep]) for c in ("cid", "n")]], names=["key", "cid", "n"])
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lists, n = batch.column("listed"), batch.column("n").to_numpy()
+                many = lists.value_lengths().to_numpy()
+                known = _in(bits.value, width, lists.flatten().to_numpy().view(np.uint64))
+                upto = np.concatenate([[0], np.cumsum(known)])
+                ends = np.cumsum(many)
+                yield batch.select(["cid"]).filter(pa.array(upto[ends] - upto[ends - many] >= needed(n, percent)))
+
+        found = staged(rows.filter("n > 0").select("cid", "n", "listed").mapInArrow(run, "cid long").distinct())
+        bits.unpersist()
+    else:
+        hits = listed.join(shared.hint("merge"), "key", "left_semi").groupBy("cid").agg(F.count("*").alias("hits"))
+        needs = F.expr(f"1 + (({percent} * n + 99) div 100) div {LISTED}")
+        sizes = rows.filter("n > 0").groupBy("cid").agg(F.sum(needs).alias("needs"))  # over all copies, as hits are
+        found = staged(hits.join(sizes.hint("merge"), "cid").filter("hits >= needs").select("cid"))
+    drop_staged(shared)
+    return found
 
-    return rows.filter("n > 0").select("cid", "n", "listed").mapInArrow(run, "key long, cid long, n long")
 
+def _sets(docs: DataFrame, doc_id: str, text: str, cids: DataFrame, words: int) -> DataFrame:
+    """(cid, n, tokens): the sets of some classes (cid, k2, rep), read from the documents named by rep. A repeated id
+    brings other texts too, which the join with the classes drops."""
+    wanted = docs.select(F.col(doc_id).alias("rep"), F.col(text).alias("text"))
+    own = guarded_join(wanted.filter("rep is not null"), staged(cids.filter("rep is not null").select("rep").distinct()), "rep", row_bytes=24).select("text")
+    if cids.filter("rep is null").limit(1).count():
+        own = own.union(wanted.filter("rep is null").select("text"))
 
-def _frequent_index(docs: DataFrame, text: str, frequent: DataFrame, words: int, percent: int, most: int) -> DataFrame:
-    """Index 2: (key, cid, n) of keys that more than one class has. The entries are made twice rather than written, as
-    most of them meet nothing."""
-    context = docs.sparkSession.sparkContext
-    marked = context.broadcast(_filter(frequent, most))
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in tb.slices(batches):
+            tokens, n = shingles(texts, words)
+            a, b = (pa.array(h.view(np.int64)) for h in _set_ids(tokens, n))
+            yield pa.RecordBatch.from_arrays([a, b, pa.array(n.astype(np.int64)), _lists(tokens, n)], names=["set", "k2", "n", "tokens"]).filter(pa.array(n > 0))
 
-    def entries(met) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for _, texts in tb.slices(batches):
-                tokens, n = shingles(texts, words)
-                ids, _ = _set_ids(tokens, n)
-                often = _in(marked.value, tokens)
-                keys, ends = [], np.cumsum(n)
-                for e, m in zip(ends.tolist(), n.tolist(), strict=True):
-                    mine = often[e - m : e]
-                    keys.append(combinations(tokens[e - m : e], mine, percent) if mine[: m - -(-percent * m // 100) + 1].any() else [])
-                many = np.array(list(map(len, keys)))
-                flat = np.fromiter((k for ks in keys for k in ks), np.int64, many.sum() if len(many) else 0)
-                keep = _in(met.value, flat.view(np.uint64)) if met is not None else np.ones(len(flat), bool)
-                columns = [flat[keep], np.repeat(ids.view(np.int64), many)[keep], np.repeat(n.astype(np.int64), many)[keep]]
-                for begin in range(0, len(columns[0]), 1 << 18):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[begin : begin + (1 << 18)]) for c in columns], names=["key", "cid", "n"])
-
-        return docs.select(F.col(text).alias("text")).mapInArrow(run, "key long, cid long, n long")
-
-    met = staged(entries(None).groupBy("key").agg(F.min("cid").alias("c0"), F.max("cid").alias("c1")).filter("c0 <> c1").select("key"))
-    found = entries(context.broadcast(_filter(met, most)))
-    drop_staged(met)
-    return found
+    found = own.mapInArrow(whole, "set long, k2 long, n long, tokens array<long>")
+    known = staged(cids.select("cid", "set", "k2"))
+    sets = staged(guarded_join(found, known, ["set", "k2"], row_bytes=40).select("cid", "n", "tokens"))
+    if sets.count() > known.count():  # texts that repeat with their ids
+        sets = staged(sets.dropDuplicates(["cid"]))
+    return sets
+
+
+def _ordered(sets: DataFrame, percent: int) -> DataFrame:
+    """(cid, n, live): per class its live tokens and how many classes have each; classes with too few of them leave."""
+    tokens = sets.select(F.explode("tokens").alias("key"), "cid", "n")
+    counts = tokens.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1")
+    live = tokens.join(counts.hint("merge"), "key").groupBy("cid", "n").agg(F.collect_list(F.struct("many", "key")).alias("live"))
+    return staged(live.filter(F.size("live") * 100 >= percent * F.col("n")))
 
 
-def _paired(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose sets (cid, f) may be similar; with whole tokens, those that are. Of narrow tokens all
-    that seem common count, so that no similar pair is left out."""
-    left = pairs.join(sets.select(F.col("cid").alias("a"), F.col("f").alias("fa")).hint("merge"), "a")
-    both = left.join(sets.select(F.col("cid").alias("b"), F.col("f").alias("fb")).hint("merge"), "b").select("a", "b", "fa", "fb")
-    narrow = sets.schema["f"].dataType.elementType.typeName() == "short"
+def _traits(lists: DataFrame) -> DataFrame:
+    """(cid, n, dead, m0..): size, number of dead tokens and the parity map of the live ones."""
+    names = [f"m{i}" for i in range(_MAP)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        has = np.zeros(1 << 16, bool)
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column("fa"), batch.column("fb"), strict=True):
-                p, q = np.asarray(x.values), np.asarray(y.values)
-                if narrow:
-                    p, q = p.view(np.uint16), q.view(np.uint16)
-                    has[q] = True
-                    common = int(has[p].sum())
-                    has[q] = False
-                else:
-                    common = len(np.intersect1d(p, q, assume_unique=True))
-                good.append(100 * common >= percent * (len(p) + len(q) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            keys = batch.column("keys")
+            many = keys.value_lengths().to_numpy()
+            bit = (tb.mix(keys.flatten().to_numpy().view(np.uint64) + np.uint64(7)) >> np.uint64(64 - 9)).astype(np.int64)
+            odd = np.bincount(np.repeat(np.arange(len(many)), many) * (64 * _MAP) + bit, minlength=len(many) * 64 * _MAP) & 1
+            maps = np.packbits(odd.astype(bool).reshape(len(many), 64 * _MAP), axis=1).view(np.int64)
+            dead = batch.column("n").to_numpy() - many
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("n"), pa.array(dead), *[pa.array(np.ascontiguousarray(maps[:, i])) for i in range(_MAP)]], names=["cid", "n", "dead", *names])
 
-    return both.mapInArrow(run, "a long, b long")
+    kind = "cid long, n long, dead long, " + ", ".join(f"{m} long" for m in names)
+    return staged(lists.select("cid", "n", F.col("live.key").alias("keys")).mapInArrow(run, kind))
 
 
-def _sets(docs: DataFrame, doc_id: str, text: str, cids: DataFrame, words: int, narrow: bool) -> DataFrame:
-    """(cid, f): the sets of some classes (cid, rep), read from the documents named by rep; narrow: 16 bits of each
-    token. A repeated id brings other texts too, which the join with the classes drops."""
-    wanted = docs.select(F.col(doc_id).alias("rep"), F.col(text).alias("text"))
-    own = guarded_join(wanted.filter("rep is not null"), staged(cids.filter("rep is not null").select("rep").distinct()), "rep", row_bytes=24).select("text")
-    if cids.filter("rep is null").limit(1).count():
-        own = own.union(wanted.filter("rep is null").select("text"))
+def _index(lists: DataFrame, percent: int, frequent_over: int) -> DataFrame:
+    """(key, cid, mark) of all classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, counts = (batch.column(c).flatten().to_numpy() for c in ("keys", "counts"))
+            many, sizes = batch.column("keys").value_lengths().to_numpy(), batch.column("n").to_pylist()
+            ends = np.cumsum(many)
+            cids = batch.column("cid").to_numpy()
+            for i, (begin, end) in enumerate(zip((ends - many).tolist(), ends.tolist(), strict=True)):
+                t, c = keys[begin:end].view(np.uint64), counts[begin:end]
+                order = np.lexsort((t, c))
+                found, marks = combinations(t[order], c[order], sizes[i], percent, frequent_over)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.full(len(found), cids[i])), pa.array(marks)], names=["key", "cid", "mark"])
+
+    return lists.select("cid", "n", F.col("live.key").alias("keys"), F.col("live.many").alias("counts")).mapInArrow(run, "key long, cid long, mark boolean")
+
+
+def _possible(percent: int) -> Column:
+    """Whether two classes, with traits of suffixes _a and _b, may be similar: an upper bound of what they share."""
+    n = F.col("n_a") + F.col("n_b")
+    apart = F.col("dead_a") + F.col("dead_b")
+    for i in range(_MAP):
+        apart = apart + F.bit_count(F.col(f"m{i}_a").bitwiseXOR(F.col(f"m{i}_b")))
+    live = F.least(F.col("n_a") - F.col("dead_a"), F.col("n_b") - F.col("dead_b"))
+    # with s shared tokens of n in all, similarity is s / (n - s); twice s is n without those apart
+    return ((100 + percent) * (n - apart) >= 2 * percent * n) & ((100 + percent) * live >= percent * n)
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in tb.slices(batches):
-            tokens, n = shingles(texts, words)
-            ids, _ = _set_ids(tokens, n)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
-            values = (tokens >> np.uint64(48)).astype(np.uint16).view(np.int16) if narrow else tokens.view(np.int64)
-            some = pa.array(n > 0)
-            yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)).filter(some), pa.ListArray.from_arrays(offsets, pa.array(values)).filter(some)], names=["cid", "f"])
 
-    found = own.mapInArrow(whole, f"cid long, f array<{'smallint' if narrow else 'long'}>")
-    return staged(guarded_join(found, staged(cids.select("cid")), "cid", "left_semi", row_bytes=24))
+def _suffixed(traits: DataFrame, suffix: str, cid: str) -> DataFrame:
+    return traits.select([F.col(c).alias(cid if c == "cid" else c + suffix) for c in traits.columns])
 
 
-def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, frequent_over: int = FREQUENT, filter_bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, cid, n) and links (a, b) between classes whose components are those of all links."""
+def _verified(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b) whose sets are similar."""
+    sets = lists.select("cid", "n", F.col("live.key").alias("f"))
+    left = pairs.join(sets.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("f").alias("fa")).hint("merge"), "a")
+    both = left.join(sets.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("f").alias("fb")).hint("merge"), "b").select("a", "b", "na", "nb", "fa", "fb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            common = [len(np.intersect1d(np.asarray(x.values), np.asarray(y.values), assume_unique=True)) for x, y in zip(batch.column("fa"), batch.column("fb"), strict=True)]
+            common = np.array(common, np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array(100 * common >= percent * (n - common)))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def _unsettled(index: DataFrame, known: DataFrame) -> tuple[DataFrame, int]:
+    """Entries (key, cid, mark, root) of keys whose members are in different components, and how many classes have any."""
+    rooted = index.select("key", "cid", "mark").join(known.select("cid", "root").hint("merge"), "cid")
+    keys = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("mark").alias("some")).filter("r0 <> r1 and some").select("key")
+    left = staged(guarded_join(rooted, staged(keys), "key", row_bytes=16))
+    return left, left.select("cid").distinct().count()
+
+
+def _turn(entries: DataFrame, known: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of each member with one of its key: in the first turn the one with the least share of dead tokens,
+    later such a one of a component taken by its hash."""
+    first = F.lit(0) if turn == 0 else F.xxhash64("root", F.lit(turn))
+    rooted = entries.join(known.select("cid", (F.col("dead") / F.col("n")).alias("part")).hint("merge"), "cid")
+    chosen = rooted.groupBy("key").agg(F.min(F.struct(first.alias("o"), "part", F.xxhash64("cid", F.lit(turn)).alias("h"), "cid", "root")).alias("c"))
+    pairs = rooted.join(chosen.select("key", F.col("c.cid").alias("c"), F.col("c.root").alias("r")).hint("merge"), "key").filter("root <> r")
+    pairs = pairs.select(F.least("cid", "c").alias("a"), F.greatest("cid", "c").alias("b")).distinct()
+    traits = known.drop("root")
+    both = pairs.join(_suffixed(traits, "_a", "a").hint("merge"), "a").join(_suffixed(traits, "_b", "b").hint("merge"), "b")
+    return both.filter(_possible(percent)).select("a", "b")
+
+
+def _rest(entries: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of a key's members in different components that may be similar."""
+    traits = known.drop("root")
+    one, two = (entries.join(traits.hint("merge"), "cid") for _ in range(2))
+    one, two = _suffixed(one, "_a", "a").withColumnRenamed("key_a", "key"), _suffixed(two, "_b", "b").withColumnRenamed("key_b", "key")
+    smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
+    marked = F.col("mark_a") | ((F.col("n_a") == F.col("n_b")) & F.col("mark_b"))
+    pairs = one.join(two.hint("merge"), (one["key"] == two["key"]) & (F.col("root_a") != F.col("root_b")) & smaller & marked & _possible(percent))
+    return pairs.select("a", "b").distinct()
+
+
+def _untangled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows with cid (from set) made different for different sets of one 64-bit hash, and the classes
+    (cid, set, k2, rep). Such sets are told apart by their second hash, which becomes the id of all but one."""
+    classes = staged(rows.filter("n > 0").groupBy("set", "k2").agg(F.min("doc_id").alias("rep")))
+    twice = staged(classes.groupBy("set").agg(F.min("k2").alias("k0"), F.count("*").alias("many")).filter("many > 1").select("set", "k0"))
+    if not twice.limit(1).count():
+        return rows.withColumn("cid", F.col("set")), classes.withColumn("cid", F.col("set"))
+    cid = F.when(F.col("k0").isNull() | (F.col("k0") == F.col("k2")), F.col("set")).otherwise(F.col("k2")).alias("cid")
+    return tuple(guarded_join(t, twice, "set", "left", row_bytes=24).select(*t.columns, cid) for t in (rows, classes))
+
+
+def links(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT,
+    frequent_over: int = FREQUENT, filter_bits: int = FILTER_BITS, every: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, cid, n) and links (a, b) between classes whose components are those of all links; with every, all
+    links. percent is at least 60: below, two-token combinations can miss pairs."""
+    if percent < 60:
+        raise ValueError("percent must be 60 or more")
     modest_batches(docs)
-    rows = staged(_signatures(docs, doc_id, text, words, percent))
-    classes = staged(rows.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.min("k2").alias("k2"), F.max("k2").alias("k3")))
-    if classes.filter("k2 <> k3").limit(1).count():
-        raise ValueError("two different sets have one 64-bit hash; change the constant of textbytes.mix")
-    listed = rows.select(F.explode("listed").alias("key"), "cid", "n")
-    shared = staged(listed.groupBy("key").agg(F.count("*").alias("many"), F.min("cid").alias("c0"), F.max("cid").alias("c1")).filter("c0 <> c1").select("key", "many"))
-    few = staged(shared.filter(F.col("many") <= frequent_over).select("key"))
-    often = staged(shared.filter(F.col("many") > frequent_over).select("key").withColumnRenamed("key", "tok"))
-    entries = _listed_index(rows, few, filter_bits)
-    if often.limit(1).count():
-        entries = entries.union(_frequent_index(docs, text, often, words, percent, filter_bits))
-    index = staged(entries)
+    signed = staged(_signatures(docs, doc_id, text, words, percent).withColumnRenamed("cid", "set"))
+    rows, classes = _untangled(signed)
+    sieved = _sieved(rows, percent, filter_bits)
     plain = staged(rows.select("doc_id", "cid", "n"))
-    for old in (rows, shared, few, often):
-        drop_staged(old)
-    cids = staged(index.select("cid").distinct().join(classes.select("cid", "rep").hint("merge"), "cid").select("cid", "rep"))
-    narrow = _sets(docs, doc_id, text, cids, words, True)
-    found = None
-    member = None
-    sizes = staged(index.select("cid", "n").distinct())
-    for turn in range(TURNS + 1):
-        if member is None:
-            current, known = index.select("key", "cid"), sizes.withColumn("root", F.col("cid"))
-        else:
-            known = sizes.join(member.withColumnRenamed("id", "cid").hint("merge"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-            rooted = index.select("key", "cid").join(known.select("cid", "root").hint("merge"), "cid")
-            unsettled = staged(rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key"))
-            if not unsettled.limit(1).count():
-                break
-            last, index = index, staged(guarded_join(index, unsettled, "key", row_bytes=24))
-            drop_staged(last)
-            current = index.select("key", "cid")
-        if turn < TURNS:
-            # another order each turn, of which the first member comes back by the same exclusive or
-            turned = F.lit(int(tb.mix(np.array([turn + 1], np.uint64)).view(np.int64)[0]))
-            other = current.groupBy("key").agg(F.min(F.col("cid").bitwiseXOR(turned)).alias("c")).select("key", F.col("c").bitwiseXOR(turned).alias("c"))
-            pairs = current.join(other.hint("merge"), "key").filter("cid <> c")
-        else:
-            rooted = current.distinct().join(known.select("cid", "root").hint("merge"), "cid")
-            other = rooted.select("key", F.col("cid").alias("c"), F.col("root").alias("r"))
-            pairs = rooted.join(other.hint("merge"), "key").filter("root < r")
-        pairs = pairs.select(F.least("cid", "c").alias("a"), F.greatest("cid", "c").alias("b")).distinct()
-        one = known.select(F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("r_a"))
-        two = known.select(F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("r_b"))
-        pairs = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b")
-        pairs = pairs.filter((F.col("r_a") != F.col("r_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))).select("a", "b")
-        pairs = staged(pairs)
-        # most pairs end at the narrow sets; the whole ones are read for the rest only
-        likely = staged(_paired(pairs, narrow, percent))
+    cids = staged(classes.join(sieved.hint("merge"), "cid"))
+    drop_staged(signed)
+    sets = _sets(docs, doc_id, text, cids, words)
+    lists = _ordered(sets, percent)
+    drop_staged(sets)
+    traits = _traits(lists)
+    index = staged(_index(lists, percent, frequent_over))
+    found = docs.sparkSession.createDataFrame([], "a long, b long")
+    known, merged, turn = traits.withColumn("root", F.col("cid")), 1, 0
+    while True:
+        last, (index, meet) = index, _unsettled(index, known)
+        drop_staged(last)
+        if not meet:
+            break
+        final = every or FEW * merged < meet
+        pairs = staged(_rest(index, known, percent) if final else _turn(index, known, turn, percent))
+        new = staged(_verified(pairs, lists, percent))
         drop_staged(pairs)
-        ends = staged(likely.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
-        sets = _sets(docs, doc_id, text, staged(cids.join(ends.hint("merge"), "cid", "left_semi")), words, False)
-        new = staged(_paired(likely, sets, percent))
-        drop_staged(sets)
-        drop_staged(likely)
-        found = new if found is None else staged(found.union(new).distinct())
-        if turn < TURNS:
-            member = components(found)
-    empty = docs.sparkSession.createDataFrame([], "a long, b long")
-    return plain, found if found is not None else empty
-
-
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, frequent_over: int = FREQUENT, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, cid.
+        found, before = staged(found.union(new).distinct()), found
+        drop_staged(before)
+        if final:
+            break
+        member = components(found)
+        links_now = member.filter("id <> root").count()
+        merged, total, turn = links_now - (total if turn else 0), links_now, turn + 1
+        known = traits.join(member.withColumnRenamed("id", "cid").hint("merge"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    return plain, found
+
+
+def near_duplicates(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT,
+    frequent_over: int = FREQUENT, filter_bits: int = FILTER_BITS, count_links: bool = False,
+) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, cid; with count_links also n_links, the number of other
+    rows linked directly.
 
     Words are [^\\x20\\x09-\\x0D]+ with A-Z in lower case. A text of fewer than words words is one shingle; one without
     words (or null) has none, is linked with nothing and is its own component. component_id is the least id of the
     component, whatever ids repeat; it is null where no row of the component has one. cid is equal for equal sets. An
-    empty table gives no rows.
-    """
-    rows, found = links(docs, doc_id, text, words, percent, frequent_over, filter_bits)
+    empty table gives no rows. Of docs, only doc_id and text are read, so further columns, whatever their names, change
+    nothing. A very long text is hashed in parts, but its tokens (8 bytes a word) are held at once.
+    """
+    rows, found = links(docs, doc_id, text, words, percent, frequent_over, filter_bits, every=count_links)
     member = components(found)
     owned = rows.filter("n > 0").join(member.withColumnRenamed("id", "cid").hint("merge"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    if count_links:
+        copies = staged(rows.filter("n > 0").groupBy("cid").agg(F.count("*").alias("copies")))
+        both = found.union(found.select("b", "a")).withColumnRenamed("b", "cid")
+        partners = both.join(copies.hint("merge"), "cid").groupBy(F.col("a").alias("cid")).agg(F.sum("copies").alias("others"))
+        many = copies.join(partners.hint("merge"), "cid", "left").select("cid", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+        owned = owned.join(many.hint("merge"), "cid")
     owned = staged(owned)
     least = owned.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    linked = owned.join(least.hint("merge"), "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "cid")
-    alone = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "cid")
+    more = ["n_links"] if count_links else []
+    linked = owned.join(least.hint("merge"), "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "cid", *more)
+    alone = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "cid", *[F.lit(0).cast("long").alias(c) for c in more])
     return linked.union(alone)

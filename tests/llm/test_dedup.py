@@ -133,19 +133,75 @@ def test_jaccard_odd_ids_and_no_rows(spark):
     assert jaccard.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_combinations_meet_for_every_similar_pair():
+def test_jaccard_counts_links(spark, near_rows):
+    rows = [*near_rows, *[(n + 10_000, t) for n, t in near_rows[::7]]]
+    sets = shingle_sets(rows)
+    want = dict.fromkeys(range(len(rows)), 0)
+    for i, j in similar_pairs(sets):
+        want[i] += 1
+        want[j] += 1
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), count_links=True)
+    assert {r.doc_id: r.n_links for r in got.collect()} == {rows[i][0]: n for i, n in want.items()}
+
+
+def test_jaccard_of_many_copies_and_near_copies(spark):
+    rng = random.Random(11)
+    base, other = ([f"v{rng.randrange(3000)}" for _ in range(160)] for _ in range(2))
+    rows = [(n, " ".join(base)) for n in range(20_000)]
+    for group in (base[:10] + other[10:], other):
+        for _ in range(1_000):
+            own = list(group)
+            for _ in range(rng.choice([1, 2, 3, 4, 5, 6, 7])):
+                own[rng.randrange(160)] = f"x{rng.random()}"
+            rows.append((len(rows), " ".join(own)))
+    distinct: dict[str, int] = {}
+    for i, t in rows:
+        distinct.setdefault(t, i)
+    texts = list(distinct)
+    sets = shingle_sets([(0, t) for t in texts])
+    number = {w: i for i, w in enumerate(sorted({w for x in sets for w in x}))}
+    has = np.zeros((len(sets), len(number)), np.float32)
+    for i, x in enumerate(sets):
+        has[i, [number[w] for w in x]] = 1
+    common, n = has @ has.T, has.sum(1)
+    a, b = np.nonzero(np.triu(100 * common >= 75 * (n[:, None] + n - common), 1))
+    want = roots(range(len(sets)), zip(a.tolist(), b.tolist(), strict=True))
+    at = {t: distinct[texts[want[i]]] for i, t in enumerate(texts)}
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in got.collect()} == {i: at[t] for i, t in rows}
+
+
+def test_sets_of_one_hash_stay_apart(spark):
+    rows = spark.createDataFrame([(1, 7, 100, 5), (2, 7, 200, 6), (3, 7, 100, 5), (4, 8, 300, 2), (5, 0, 0, 0)], "doc_id long, set long, k2 long, n long")
+    told, classes = jaccard._untangled(rows)
+    assert {r.doc_id: r.cid for r in told.collect()} == {1: 7, 2: 200, 3: 7, 4: 8, 5: 0}
+    assert sorted((r.cid, r.set, r.k2, r.rep) for r in classes.collect()) == [(7, 7, 100, 1), (8, 8, 300, 4), (200, 7, 200, 2)]
+
+
+@pytest.mark.parametrize("percent", [60, 75, 90])
+def test_combinations_meet_for_every_similar_pair(percent):
     rng = np.random.default_rng(2)
-    for _ in range(300):
-        n = int(rng.integers(4, 200))
+    met = 0
+    for _ in range(1000):
+        n = int(rng.integers(2, 200 if rng.random() < 0.5 else 12))
         base = tb.mix(rng.integers(0, 1 << 62, n).astype(np.uint64))
         other = base.copy()
-        change = int(rng.integers(0, n // 7 + 1))
+        change = int(rng.integers(0, n // 4 + 1))
         other[:change] = tb.mix(rng.integers(0, 1 << 62, change).astype(np.uint64))
-        other = other[int(rng.integers(0, 2)) :]
+        other = other[int(rng.integers(0, n // 3 + 1)) :]
         common = len(np.intersect1d(base, other))
-        if 100 * common >= 75 * (len(base) + len(other) - common):
-            often = lambda x: x % np.uint64(10) < 8
-            assert set(jaccard.combinations(np.sort(base), often(np.sort(base)))) & set(jaccard.combinations(np.sort(other), often(np.sort(other))))
+        if len(other) and 100 * common >= percent * (len(base) + len(other) - common) and common < max(len(base), len(other)):
+            keys = []
+            for x, y in ((base, other), (other, base)):
+                # a token that the other lacks may be dead, or live by a third set
+                live = np.sort(x[np.isin(x, y) | (x % np.uint64(3) > 0)])
+                counts = np.where(live % np.uint64(10) < 8, 9, live % np.uint64(10) - 7).astype(np.int64)
+                order = np.lexsort((live, counts))
+                keys.append(jaccard.combinations(live[order], counts[order], len(x), percent))
+            (k1, m1), (k2, m2) = keys if len(base) <= len(other) else keys[::-1]
+            assert set(k1[m1].tolist()) & set(k2.tolist())
+            met += 1
+    assert met > 50
 
 
 def test_long_text_in_parts():
