@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,10 +45,21 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if n > 1 << 22:  # a single word of megabytes: not kept
+        return _powers.__wrapped__(n)
     up, down = _powers(1 << max(21, (n - 1).bit_length()))
     return up[:n], down[:n]
 
 
+def release() -> None:
+    """Gives memory that nothing uses any more back to the system; Python workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Rows with their texts as UTF-8 (null: empty), about limit bytes of text at a time."""
     for batch in batches:

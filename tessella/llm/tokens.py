@@ -2,9 +2,16 @@
 
 A text is split at places where no match of the pattern can cross: between a character that isn't white space and a
 space before another such character. A partition meets few distinct pieces, so each piece is encoded once and
-remembered. New pieces go, some thousands at a time, to a DuckDB table of (piece, position, token) rows. A recursive
-query joins neighbouring tokens with the merge table, contracts each piece's leftmost pair of least rank and repeats
-until no pair merges. Decoding joins ids with the vocabulary and concatenates in order by an ordered aggregate.
+remembered, up to REMEMBER bytes. New pieces go, some thousands at a time, to a DuckDB table of (piece, position, token)
+rows. A recursive query joins neighbouring tokens with the merge table, contracts each piece's leftmost pair of least
+rank and repeats until no pair merges. Decoding joins ids with the vocabulary and concatenates in order by an ordered
+aggregate.
+
+A match of more than SHORT bytes is contracted in parts, which are then joined two and two: the tokens next to the seam
+are contracted anew, and where the outermost two of them come out as they were, the rest stays as it is, since a row of
+tokens is what merging leaves if each two neighbours are. Otherwise twice as many are taken. Bytes taken anew that are
+more than SHORT go to a second query, which contracts all occurrences of the pair in a round where no pair of a lesser
+rank can come from them. So time grows almost in proportion to a match's length.
 
 The vocabulary file's path is a parameter; the file must be readable at the same path on every executor (it is part of
 an installed package there).
@@ -13,7 +20,7 @@ an installed package there).
 from __future__ import annotations
 
 import base64
-import functools
+import contextlib
 import hashlib
 from collections.abc import Iterator
 
@@ -23,12 +30,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm import textbytes as tb
 from tessella.llm.common import modest_batches
 
 #: Distinct matches given to one recursive query: about 8 rows each, and fewer for every round.
 WORDS_AT_ONCE = 20_000
-#: Words and pieces remembered by a task; beyond that it keeps those of its present slice only, so memory is bounded.
-REMEMBER = 600_000
+#: Bytes of words, pieces and ids (with what Python needs to hold them) remembered by a task; beyond that it starts anew.
+REMEMBER = 64 << 20
+_HELD = 180  # bytes of a dictionary's entry besides its texts
+#: Bytes of a match that is contracted in one go.
+SHORT = 32
 
 # place is word * 2**32 + position; positions stay dense, so a token's neighbour is at place + 1
 _CONTRACT = """
@@ -49,6 +60,32 @@ WITH RECURSIVE step(round, place, token) AS (
 SELECT step.place, step.token FROM step JOIN ended ON step.round = ended.round AND step.place >> 32 = ended.word ORDER BY step.place
 """
 
+# as above, with all occurrences of a word's pair: of a run of overlapping ones every other; alone: only the leftmost
+_CONTRACT_RUNS = """
+WITH RECURSIVE step(round, place, token) AS (
+  SELECT 0, place, token FROM start
+  UNION ALL
+  (
+    WITH pair AS (
+      SELECT a.place, m.rank * 2 + m.alone AS made
+      FROM step a JOIN step b ON b.place = a.place + 1 JOIN merges m ON m.pair = a.token * 65536 + b.token
+    ), best AS (SELECT place >> 32 AS word, min(made) AS made FROM pair GROUP BY 1
+    ), here AS (
+      SELECT p.place, p.made, row_number() OVER (PARTITION BY p.place >> 32 ORDER BY p.place) AS nth
+      FROM pair p JOIN best b ON b.word = p.place >> 32 AND b.made = p.made
+    ), taken AS (
+      SELECT place, made >> 1 AS token
+      FROM (SELECT *, place - min(place) OVER (PARTITION BY place >> 32, place - nth) AS inside FROM here)
+      WHERE inside % 2 = 0 AND (made % 2 = 0 OR nth = 1)
+    )
+    SELECT round + 1, ((s.place >> 32) << 32) + row_number() OVER (PARTITION BY s.place >> 32 ORDER BY s.place) - 1, coalesce(t.token, s.token)
+    FROM step s JOIN best ON best.word = s.place >> 32 LEFT JOIN taken t ON t.place = s.place LEFT JOIN taken before ON before.place = s.place - 1
+    WHERE before.place IS NULL
+  )
+), ended AS (SELECT place >> 32 AS word, max(round) AS round FROM step GROUP BY 1)
+SELECT step.place, step.token FROM step JOIN ended ON step.round = ended.round AND step.place >> 32 = ended.word ORDER BY step.place
+"""
+
 _SPACES = [c for c in map(chr, range(0x3001)) if c.isspace()]
 
 _DECODE = "SELECT given.word, string_agg(v.hex, '' ORDER BY given.pos) AS hex FROM given JOIN vocabulary v ON v.id = given.id GROUP BY given.word"
@@ -73,6 +110,7 @@ class Codec:
         self.words_known: dict[str, bytes] = {}
         self.pieces_known: dict[str, bytes] = {}
         self.decoded_known: dict[bytes, bytes] = {}
+        self.held = 0
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB"})
         # all ways to put a token together from two tokens: the rank of a pair is that of what it makes
         pairs, made = [], []
@@ -84,8 +122,11 @@ class Codec:
                     made.append(rank)
         if max(self.bytes_of) >= 65536:
             raise ValueError("ranks of 65536 and more aren't supported")
+        pair, rank = np.array(pairs, np.int64), np.array(made, np.int64)
+        # a token that can be part of one of a lesser rank is merged alone, as that would come next
+        part, whole = np.concatenate([pair >> 16, pair & 65535]), np.concatenate([rank, rank])
         tables = {
-            "merges": pa.table({"pair": pa.array(pairs, pa.int64()), "rank": pa.array(made, pa.int64())}),
+            "merges": pa.table({"pair": pair, "rank": rank, "alone": np.isin(rank, part[whole < part]).astype(np.int64)}),
             "vocabulary": pa.table({"id": pa.array(list(self.bytes_of), pa.int64()), "hex": pa.array([t.hex() for t in self.bytes_of.values()])}),
         }
         for name, rows in tables.items():
@@ -93,17 +134,25 @@ class Codec:
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM rows_in")
             self.db.unregister("rows_in")
 
-    def contract(self, words: list[bytes]) -> list[bytes]:
-        """Little-endian ids of each word: its own rank if it is a token, else what merging leaves."""
-        found = [self.ranks[w].to_bytes(4, "little") if w in self.ranks else b"" for w in words]
-        rest = [i for i, ids in enumerate(found) if not ids and words[i]]
-        for part in _parts(rest, [len(words[i]) for i in rest]):
+    def close(self) -> None:
+        self.db.close()
+        self.forget()
+
+    def forget(self) -> None:
+        for known in (self.words_known, self.pieces_known, self.decoded_known):
+            known.clear()
+        self.held = 0
+
+    def _merged(self, words: list[bytes], query: str) -> list[bytes]:
+        """Little-endian ids of what merging leaves of each word."""
+        found = [b""] * len(words)
+        for part in _parts(list(range(len(words))), list(map(len, words))):
             lengths = np.array([len(words[i]) for i in part])
             starts = np.cumsum(lengths) - lengths
             tokens = self.rank_of_byte[np.frombuffer(b"".join([words[i] for i in part]), np.uint8)]
             place = (np.repeat(np.arange(len(part)), lengths) << 32) + np.arange(len(tokens)) - np.repeat(starts, lengths)
             self.db.register("start", pa.table({"place": place, "token": tokens}))
-            got = self.db.execute(_CONTRACT).fetchnumpy()
+            got = self.db.execute(query).fetchnumpy()
             self.db.unregister("start")
             ids = np.asarray(got["token"], "<u4").tobytes()
             ends = 4 * np.searchsorted(np.asarray(got["place"]) >> 32, np.arange(len(part)), side="right")
@@ -113,23 +162,60 @@ class Codec:
                 begin = end
         return found
 
+    def _joined(self, seams: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+        """What merging leaves of each two neighbouring texts, from what it leaves of either."""
+        done: list = [None] * len(seams)
+        left, width = list(range(len(seams))), 4
+        while left:
+            own = {i: (seams[i][0][-width:], seams[i][1][:width]) for i in left}
+            texts = [b"".join([self.bytes_of[t] for t in np.concatenate(own[i]).tolist()]) for i in left]
+            short = [len(t) <= SHORT for t in texts]
+            new: dict[int, bytes] = {}
+            for few, query in ((True, _CONTRACT), (False, _CONTRACT_RUNS)):
+                which = [k for k, s in enumerate(short) if s is few]
+                new |= dict(zip(which, self._merged([texts[k] for k in which], query), strict=True))
+            again = []
+            for k, i in enumerate(left):
+                (a, b), (x, y), ids = seams[i], own[i], np.frombuffer(new[k], "<u4")
+                if (len(x) == len(a) or ids[0] == x[0]) and (len(y) == len(b) or ids[-1] == y[-1]):
+                    done[i] = np.concatenate([a[: len(a) - len(x)], ids, b[len(y) :]])
+                else:
+                    again.append(i)
+            left, width = again, 2 * width
+        return done
+
+    def contract(self, words: list[bytes]) -> list[bytes]:
+        """Little-endian ids of each word: its own rank if it is a token, else what merging leaves."""
+        found = [self.ranks[w].to_bytes(4, "little") if w in self.ranks else b"" for w in words]
+        rest = [i for i, ids in enumerate(found) if not ids and 0 < len(words[i]) <= SHORT]
+        for i, ids in zip(rest, self._merged([words[i] for i in rest], _CONTRACT), strict=True):
+            found[i] = ids
+        for i, ids in enumerate(found):
+            if not ids and len(words[i]) > SHORT:
+                word = words[i]
+                parts = self._merged([word[at : at + SHORT] for at in range(0, len(word), SHORT)], _CONTRACT)
+                rows = [np.frombuffer(p, "<u4") for p in parts]
+                while len(rows) > 1:
+                    odd = rows[len(rows) & ~1 :]
+                    rows = self._joined(list(zip(rows[::2], rows[1::2], strict=False))) + odd
+                found[i] = rows[0].tobytes()
+        return found
+
     def learn(self, pieces: list[str]) -> list[bytes]:
         """Little-endian ids of each piece, each match of the pattern encoded separately."""
-        if max(len(self.pieces_known), len(self.words_known)) > REMEMBER:
-            self.pieces_known.clear()
-            self.words_known.clear()
+        if self.held > REMEMBER:
+            self.forget()
         new = [p for p in pieces if p not in self.pieces_known]
         split = [self.matches(p) for p in new]
         words = list(set().union(*split) - self.words_known.keys())
         self.words_known.update(zip(words, self.contract([w.encode() for w in words]), strict=True))
         known = self.words_known
         self.pieces_known.update((piece, b"".join([known[w] for w in ws])) for piece, ws in zip(new, split, strict=True))
+        self.held += sum(len(w) + len(known[w]) for w in words) + sum(len(p) + len(self.pieces_known[p]) for p in new) + _HELD * (len(words) + len(new))
         return [self.pieces_known[p] for p in pieces]
 
     def decode(self, coded: list[bytes]) -> list[bytes]:
         """The bytes of each sequence of little-endian ids."""
-        if len(self.decoded_known) > REMEMBER:
-            self.decoded_known.clear()
         new = list(set(coded) - self.decoded_known.keys())
         for part in _parts(new, [len(c) // 4 for c in new]):
             lengths = np.array([len(c) // 4 for c in part])
@@ -141,6 +227,7 @@ class Codec:
             self.db.unregister("given")
             for i, text in zip(got["word"].tolist(), got["hex"].tolist(), strict=True):
                 self.decoded_known[part[i]] = bytes.fromhex(text)
+        self.held += sum(len(c) + len(self.decoded_known[c]) + _HELD for c in new)
         return [self.decoded_known[c] for c in coded]
 
 
@@ -221,10 +308,16 @@ def cut(text: str) -> list[str]:
     return out
 
 
-@functools.lru_cache(maxsize=2)
-def codec(path: str, pattern: str) -> Codec:
-    """One for each Python worker and vocabulary."""
-    return Codec(path, pattern)
+@contextlib.contextmanager
+def codec(path: str, pattern: str) -> Iterator[Codec]:
+    """One for a task: it and all that it remembers go when the task ends, as workers live on."""
+    own = Codec(path, pattern)
+    try:
+        yield own
+    finally:
+        own.close()
+        del own
+        tb.release()
 
 
 #: Bytes of text taken through the codec at once.
@@ -247,21 +340,24 @@ def _slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa
 def round_trip(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256 and decoded_sha256. Null counts as an empty text, which has no tokens.
 
-    Rows are independent, so repeated ids, ties and extra columns change nothing; an empty table gives no rows.
+    Rows are independent, so repeated ids, ties and extra columns change nothing; an empty table gives no rows. A very
+    long text is held at once with its ids; a very long match is contracted in parts. pattern must be one of the family
+    that cut() is right for: no match goes from a character that isn't white space over a space to another. Ranks of
+    65,536 and more raise a ValueError.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
-        for rows, texts in _slices(batches, "text"):
-            pieces, order, ends = pieces_of(texts)
-            coded = own.learn(pieces)
-            ids = Sequences(coded, order, ends).joined()
-            back = Sequences(own.decode(coded), order, ends).joined()
-            yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i in ids]), pa.array([hashlib.sha256(b).hexdigest() for b in back])],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+        with codec(path, pattern) as own:
+            for rows, texts in _slices(batches, "text"):
+                pieces, order, ends = pieces_of(texts)
+                coded = own.learn(pieces)
+                ids = Sequences(coded, order, ends).joined()
+                back = Sequences(own.decode(coded), order, ends).joined()
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("doc_id"), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i in ids]), pa.array([hashlib.sha256(b).hexdigest() for b in back])],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
 
     rows = modest_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -276,11 +372,11 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", into: s
     schema = StructType([*kept.schema.fields, StructField(into, ArrayType(IntegerType(), False), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
-        for rows, texts in _slices(batches, text):
-            pieces, order, ends = pieces_of(texts)
-            ids = [np.frombuffer(coded, "<i4") for coded in Sequences(own.learn(pieces), order, ends).joined()]
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*rows.schema.names, into])
+        with codec(path, pattern) as own:
+            for rows, texts in _slices(batches, text):
+                pieces, order, ends = pieces_of(texts)
+                ids = [np.frombuffer(coded, "<i4") for coded in Sequences(own.learn(pieces), order, ends).joined()]
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*rows.schema.names, into])
 
     return kept.mapInArrow(run, schema)
 
@@ -294,12 +390,14 @@ def decode(rows: DataFrame, path: str, pattern: str, ids: str = "ids", into: str
     schema = StructType([*kept.schema.fields, StructField(into, BinaryType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
-        for batch in batches:
-            given = batch.column(ids).to_pylist()
-            if bad := [i for one in given for i in one or () if i not in own.bytes_of]:
-                raise ValueError(f"ids outside the vocabulary: {bad[:5]}")
-            back = own.decode([np.array(one or [], "<u4").tobytes() for one in given])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(back, pa.binary())], names=[*batch.schema.names, into])
+        with codec(path, pattern) as own:
+            for batch in batches:
+                given = batch.column(ids).to_pylist()
+                if bad := [i for one in given for i in one or () if i not in own.bytes_of]:
+                    raise ValueError(f"ids outside the vocabulary: {bad[:5]}")
+                if own.held > REMEMBER:
+                    own.forget()
+                back = own.decode([np.array(one or [], "<u4").tobytes() for one in given])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(back, pa.binary())], names=[*batch.schema.names, into])
 
     return kept.mapInArrow(run, schema)

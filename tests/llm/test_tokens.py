@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import public_tokenizers as public
 import pytest
@@ -44,6 +45,38 @@ def test_encode_and_decode_columns(spark, encoding):
         tokens.decode(spark.createDataFrame([([70_000],)], "ids array<int>"), PATH, public.PATTERN).collect()
 
 
+def test_long_matches(encoding):
+    rng = random.Random(8)
+    own = tokens.Codec(PATH, public.PATTERN)
+    vocabulary = list(own.ranks)
+    for n in (31, 32, 33, 64, 65, 300, 2000):
+        words = [bytes(rng.choice(b"abcdefghijklmnopqrstuvwxyz") for _ in range(n)), bytes(rng.randrange(256) for _ in range(n)), bytes(rng.choice(b"ab") for _ in range(n))]
+        words += [(one * n)[:n] for one in (b"x", b"=", b"ha", b"aab", b"\xd0\xb0", b" ", b"0")]
+        words.append(b"".join(rng.choice(vocabulary) for _ in range(n // 4)))
+        for word, ids in zip(words, own.contract(words), strict=True):
+            want = [own.ranks[word]] if word in own.ranks else encoding._core_bpe.encode_single_piece(word)
+            assert [int.from_bytes(ids[i : i + 4], "little") for i in range(0, len(ids), 4)] == want
+    own.close()
+
+
+def test_a_match_of_a_megabyte(spark, encoding):
+    rng = random.Random(9)
+    text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))
+    begin = time.perf_counter()
+    got = tokens.round_trip(spark.createDataFrame([(1, text)], "doc_id long, text string"), PATH, public.PATTERN).first()
+    assert time.perf_counter() - begin < 60
+    ids = encoding.encode_ordinary(text)
+    assert got.ids_sha256 == hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in ids)).hexdigest()
+    assert got.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_null_rows_in_columns(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "a")], "k long, text string")
+    assert [r.ids for r in tokens.encode(df, PATH, public.PATTERN).orderBy("k").collect()][:2] == [[], []]
+    back = tokens.decode(spark.createDataFrame([(1, None), (2, [])], "k long, ids array<int>"), PATH, public.PATTERN)
+    assert [bytes(r.decoded) for r in back.collect()] == [b"", b""]
+
+
 def test_memory_is_bounded(monkeypatch):
     monkeypatch.setattr(tokens, "REMEMBER", 5)
     own = tokens.Codec(PATH, public.PATTERN)
