@@ -67,7 +67,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = _mix.mix(table(spark, sf_dir, "documents"))
+    mixed = _mix.mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 

@@ -50,10 +50,37 @@ def test_mix(spark):
     assert mix.mix(df.limit(0)).count() == 0
 
 
-def test_pareto_ranks_are_those_of_the_odds():
-    u = [0.1, 0.4, 0.9]
-    rank = lambda x, p: (x / (1 - x)) / (p / (1 - p))
-    assert sorted(u) == sorted(u, key=lambda x: rank(x, 0.3))
+def test_pareto_order_is_that_of_the_odds(spark):
+    rows = [(u / 10, o) for u in range(1, 10) for o in (0.2, 1.0, 3.0)] + [(0.5, None), (0.5, 0.0)]
+    df = spark.createDataFrame(rows, "u double, odds double").withColumn("t", mix.pareto_order(F.col("u") * F.lit(float(2**52)), F.col("odds")))
+    for r in df.collect():
+        if r.odds:
+            rank = (r.u / (1 - r.u)) / r.odds
+            assert r.t == pytest.approx(rank / (1 + rank))
+        else:
+            assert r.t is None
+
+
+def test_inclusion_frequencies_follow_the_odds(spark):
+    """Over many seeds, documents of 9 words have 1.5 times the odds of those of 4, which have twice those of 1."""
+    sizes = [1] * 200 + [4] * 200 + [9] * 200
+    rows = [(i, " ".join(["w"] * n), "b" if i % 2 else "a") for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    more = {1: 0, 4: 0, 9: 0}
+    sure = {}
+    seeds = range(6)
+    for seed in seeds:
+        got = mix.mix(df, seed=seed, keep=["doc_id", "source"]).collect()
+        for name in "ab":
+            own = [r for r in got if r.source == name]
+            assert abs(sum(r["size"] * r.copies for r in own) - own[0].target) <= 4.5
+            sure[name] = int(own[0].target / own[0].source_size)
+        for r in got:
+            more[r["size"]] += r.copies - sure[r.source]
+    share = {n: m / (200 * len(seeds)) for n, m in more.items()}
+    odds = {n: p / (1 - p) for n, p in share.items()}
+    # the sources' own odds differ a little, so the ratios are near those of the roots of the sizes
+    assert 1.5 < odds[4] / odds[1] < 2.7 and 1.15 < odds[9] / odds[4] < 2.0
 
 
 MESSAGES = [
