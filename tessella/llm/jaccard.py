@@ -369,13 +369,13 @@ def links(
     traits = _traits(lists)
     index = staged(_index(lists, percent, frequent_over))
     found = docs.sparkSession.createDataFrame([], "a long, b long")
-    known, merged, turn = traits.withColumn("root", F.col("cid")), 1, 0
+    known, merged, total, turn = traits.withColumn("root", F.col("cid")), 0, 0, 0
     while True:
         last, (index, meet) = index, _unsettled(index, known)
         drop_staged(last)
         if not meet:
             break
-        final = every or FEW * merged < meet
+        final = every or (turn > 0 and FEW * merged < meet)
         pairs = staged(_rest(index, known, percent) if final else _turn(index, known, turn, percent))
         new = staged(_verified(pairs, lists, percent))
         drop_staged(pairs)
@@ -384,8 +384,8 @@ def links(
         if final:
             break
         member = components(found)
-        links_now = member.filter("id <> root").count()
-        merged, total, turn = links_now - (total if turn else 0), links_now, turn + 1
+        inner = member.filter("id <> root").count()
+        merged, total, turn = inner - total, inner, turn + 1
         known = traits.join(member.withColumnRenamed("id", "cid").hint("merge"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     return plain, found
 
