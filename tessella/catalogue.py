@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
-import re
+import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella import fixtures as fx
-from tessella.functions.geometry import SIDES, centre, centre_point, morton
+from tessella.functions.geometry import SIDES, centre, centre_point, morton, normalised
 from tessella.operators import batching, joins, metrics, placement, verify
 from tessella.operators import index as ix
+from tessella.operators.ranks import global_row_number
+from tessella.plans import run as whole
 from tessella.plans.planner import range_count
-from tessella.sources.rects import sampled_queries
+from tessella.sources.rects import query_sets, sampled_queries
+from tessella.storage import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 #: Small capacities, so that small tables give deep trees.
 LEAF, FANOUT, WORKERS, SHARD_CAP = 16, 8, 600, 4
+#: Searches ask for every row whose id is divisible by this.
+EVERY = 20
 
 # ---- SQL that the oracles share ----
 
@@ -27,7 +32,7 @@ _HIT = "q.xmin <= o.xmax AND q.xmax >= o.xmin AND q.ymin <= o.ymax AND q.ymax >=
 _BOX = "min(xmin) AS xmin, min(ymin) AS ymin, max(xmax) AS xmax, max(ymax) AS ymax"
 
 
-def _base(table: str = "lineitem", every: int = 100) -> str:
+def _base(table: str = "lineitem", every: int = EVERY) -> str:
     return f"obj AS MATERIALIZED ({fx.SQL[table]}),\nq AS MATERIALIZED (SELECT row_number() OVER (ORDER BY id) - 1 AS qid, xmin, ymin, xmax, ymax FROM obj WHERE id % {every} = 0)"
 
 
@@ -73,43 +78,44 @@ slots AS (SELECT row_number() OVER (ORDER BY shard, r) - 1 AS slot, shard, l1_id
 
 
 class _Case:
-    """The fixture of one sf_dir."""
+    """The fixture of one sf_dir. What several steps read is stored when it is first asked for."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, leaf: int = LEAF, fanout: int = FANOUT, table=fx.line_items, every: int = 100):
-        self.objects = table(spark, sf_dir)
-        self.queries = sampled_queries(self.objects, every)
+    def __init__(self, spark: SparkSession, sf_dir: str, leaf: int = LEAF, fanout: int = FANOUT, table=fx.line_items, every: int = EVERY):
+        self.spark, self.sf_dir, self.table, self.every = spark, sf_dir, table, every
         self.leaf, self.fanout = leaf, fanout
 
-    @property
+    @functools.cached_property
+    def objects(self) -> DataFrame:
+        return stored(self.table(self.spark, self.sf_dir), "objects")
+
+    @functools.cached_property
+    def queries(self) -> DataFrame:
+        return stored(sampled_queries(self.objects, self.every), "queries")
+
+    @functools.cached_property
     def index(self) -> ix.Index:
         return ix.build(self.objects, self.leaf, self.fanout)
 
-    def shards(self) -> tuple[ix.Index, DataFrame, DataFrame]:
-        index = self.index
-        leaves = placement.base_shards(joins.leaves_of_regions(index), SHARD_CAP)
-        hits = joins.region_hits(self.queries, joins.regions(index))
-        return index, leaves, placement.shard_table(leaves, hits)
-
-    def placed(self) -> DataFrame:
-        return placement.replicas(placement.scored(self.shards()[2]), WORKERS)
+    @functools.cached_property
+    def leaves(self) -> DataFrame:
+        return stored(placement.base_shards(joins.leaves_of_regions(self.index), SHARD_CAP), "leaves")
 
+    @functools.cached_property
+    def shards(self) -> DataFrame:
+        return stored(placement.shard_table(self.leaves, joins.region_hits(self.queries, self.index)), "shards")
 
-#: The share of a _twentieth query: every row whose id is divisible by 20.
-TWENTIETH = 20
+    @functools.cached_property
+    def placed(self) -> DataFrame:
+        return stored(placement.replicas(placement.scored(self.shards), WORKERS), "placed")
 
 
 def _add(name: str, sql: str | None, **case):
-    """Registers a query made from its fixture. A search by the 1 % sample is also registered as name_twentieth, by every
-    row whose id is divisible by 20."""
+    """Registers a query made from its fixture."""
 
     def take(f: Callable[[_Case], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: f(_Case(spark, sf_dir, **case))
         if sql is not None:
             ORACLE_SQL[name] = sql
-            # q stands where it is made; anything that reads it names it again
-            if "every" not in case and len(re.findall(r"\bq\b", sql)) > 1:
-                QUERIES[f"{name}_twentieth"] = lambda spark, sf_dir: f(_Case(spark, sf_dir, **case, every=TWENTIETH))
-                ORACLE_SQL[f"{name}_twentieth"] = sql.replace("id % 100 = 0", f"id % {TWENTIETH} = 0")
         return f
 
     return take
@@ -141,10 +147,10 @@ _SPLIT = "own AS (SELECT node_id AS leaf_id, " + _EVEN.format(w=32) + " AS worke
 _WORKER = f"part AS (SELECT w.worker, q.qid, count(*) AS cnt FROM packed o JOIN own w USING (leaf_id) JOIN q ON {_HIT} GROUP BY ALL)"
 _add("partitioned_counts", _with(_base(), _tree(), _SPLIT, _WORKER) + "SELECT * FROM part")(lambda c: joins.partitioned_counts(c.queries, c.index, 32))
 _add("merged_counts", _with(_base()) + f"SELECT q.qid, count(*) AS cnt FROM q JOIN obj o ON {_HIT} GROUP BY q.qid")(lambda c: joins.merged(joins.partitioned_counts(c.queries, c.index, 8)))
-_add("region_hits", _with(_base(), _tree(), _SHARDS) + "SELECT l1_id, hits FROM hits")(lambda c: joins.region_hits(c.queries, joins.regions(c.index)))
+_add("region_hits", _with(_base(), _tree(), _SHARDS) + "SELECT l1_id, hits FROM hits")(lambda c: joins.region_hits(c.queries, c.index))
 _TOUCH = """sm AS (SELECT * FROM q WHERE qid % 10 = 0), th AS (SELECT s.shard, count(DISTINCT q.qid) AS h FROM shl s LEFT JOIN sm q ON q.xmin <= s.xmax AND q.xmax >= s.xmin AND q.ymin <= s.ymax AND q.ymax >= s.ymin GROUP BY s.shard),
 touch AS (SELECT shard, ((h * (SELECT count(*) FROM q) + (SELECT count(*) FROM sm) // 2) // (SELECT count(*) FROM sm))::BIGINT AS hits FROM th)"""
-_add("shard_touches", _with(_base(), _tree(), _SHARDS, _TOUCH) + "SELECT * FROM touch")(lambda c: joins.shard_touches(c.queries, c.shards()[1]))
+_add("shard_touches", _with(_base(), _tree(), _SHARDS, _TOUCH) + "SELECT * FROM touch")(lambda c: joins.shard_touches(c.queries, c.leaves, c.index))
 
 # ---- the index ----
 
@@ -189,7 +195,7 @@ _add("grid_split_leaves", _with(_base(), _grid_levels()) + "SELECT id, path, n A
 _add("grid_split_nodes", _with(_base(), _grid_levels()) + _GRID_NODES)(lambda c: ix.grid_nodes(ix.grid_leaves(c.objects, LEAF, FANOUT)))
 _bits = " + ".join(f"((((cx >> {i}) & 1) << {2 * i}) + (((cy >> {i}) & 1) << {2 * i + 1}))" for i in range(16))
 _add("morton_order", _with(_base()) + f"SELECT qid, (CASE WHEN z >= 2147483648 THEN z - 4294967296 ELSE z END)::INT AS z, row_number() OVER (ORDER BY CASE WHEN z >= 2147483648 THEN z - 4294967296 ELSE z END, qid) - 1 AS place FROM (SELECT qid, {_bits} AS z FROM (SELECT qid, trunc((xmin::BIGINT + xmax) / 2)::BIGINT AS cx, trunc((ymin::BIGINT + ymax) / 2)::BIGINT AS cy FROM q))")(
-    lambda c: c.queries.select("qid", morton(centre("xmin", "xmax"), centre("ymin", "ymax")).alias("z")).withColumn("place", (F.row_number().over(Window.orderBy("z", "qid")) - 1).cast("long"))
+    lambda c: c.queries.select("qid", morton(centre("xmin", "xmax"), centre("ymin", "ymax")).alias("z")).transform(lambda df: global_row_number(df, ["z", "qid"], "place"))
 )
 _add("centre_points", _with(_base()) + "SELECT id, trunc((xmin::BIGINT + xmax) / 2)::BIGINT AS xmin, trunc((ymin::BIGINT + ymax) / 2)::BIGINT AS ymin, trunc((xmin::BIGINT + xmax) / 2)::BIGINT AS xmax, trunc((ymin::BIGINT + ymax) / 2)::BIGINT AS ymax FROM obj")(lambda c: c.objects.select("id", *centre_point()))
 _add("scaled_rects", _with(_base("embeddings")) + "SELECT * FROM obj", table=fx.embeddings)(lambda c: c.objects.select("id", *SIDES))
@@ -218,20 +224,20 @@ _add("region_rects", _with(_base(), _tree()) + "SELECT parent_id AS l1_id, sum(c
 _PLACE = (_base(), _tree(), _SHARDS)
 _add("leaf_split", _with(_base(), _tree(), _SPLIT) + "SELECT leaf_id, worker::BIGINT AS worker FROM own")(lambda c: placement.even_split(c.index.leaves.select(F.col("node_id").alias("leaf_id")), 32, "leaf_id"))
 _add("merged_regions", _with(_base(), _tree()) + "SELECT l1_id, CASE WHEN n <= 99 THEN no ELSE no // ((n + 98) // 99) END AS merged_id FROM (SELECT node_id AS l1_id, row_number() OVER (ORDER BY node_id) - 1 AS no, count(*) OVER () AS n FROM nodes WHERE level = 1)")(lambda c: placement.merged_regions(joins.regions(c.index), 100))
-_add("base_shards", _with(*_PLACE) + "SELECT leaf_id, l1_id, shard FROM shl")(lambda c: c.shards()[1].select("leaf_id", "l1_id", "shard"))
+_add("base_shards", _with(*_PLACE) + "SELECT leaf_id, l1_id, shard FROM shl")(lambda c: c.leaves.select("leaf_id", "l1_id", "shard"))
 for _policy, _value in {"uniform": "1::BIGINT", "query": "hits", "data": "rects", "combined": "(hits + 1) * (rects + 1)"}.items():
-    _add(f"shard_scores_{_policy}", _with(*_PLACE) + f"SELECT sh.*, {_value} AS work FROM sh")(lambda c, p=_policy: placement.scored(c.shards()[2], p))
-_add("hot_regions", _with(*_PLACE) + "SELECT * FROM hits ORDER BY hits DESC, l1_id LIMIT 4")(lambda c: placement.hottest(joins.region_hits(c.queries, joins.regions(c.index))))
+    _add(f"shard_scores_{_policy}", _with(*_PLACE) + f"SELECT sh.*, {_value} AS work FROM sh")(lambda c, p=_policy: placement.scored(c.shards, p))
+_add("hot_regions", _with(*_PLACE) + "SELECT * FROM hits ORDER BY hits DESC, l1_id LIMIT 4")(lambda c: placement.hottest(joins.region_hits(c.queries, c.index)))
 _add("drilled_shards", _with(*_PLACE, _TOUCH, "hot AS (SELECT l1_id FROM hits ORDER BY hits DESC, l1_id LIMIT 4)") + "SELECT shard, l1_id, n_leaves, rects, CASE WHEN l1_id IN (SELECT l1_id FROM hot) AND t.hits > 0 THEN t.hits ELSE sh.hits END AS hits FROM sh JOIN touch t USING (shard)")(
-    lambda c: placement.drilled((s := c.shards())[2], placement.hottest(s[2].select("l1_id", "hits").distinct()), joins.shard_touches(c.queries, s[1]))
+    lambda c: placement.drilled(c.shards, placement.hottest(c.shards.select("l1_id", "hits").distinct()), joins.shard_touches(c.queries, c.leaves, c.index))
 )
-_add("replicas", _with(*_PLACE) + "SELECT shard, hits AS work, replicas FROM rep")(lambda c: c.placed().select("shard", "work", "replicas"))
-_add("uniform_replicas", _with(*_PLACE) + "SELECT shard, 1 + e // n + CASE WHEN shard < e % n THEN 1 ELSE 0 END AS replicas FROM sh, spare")(lambda c: placement.uniform_replicas(c.shards()[2], WORKERS).select("shard", "replicas"))
-_add("slots", _with(*_PLACE) + "SELECT *, slot % 2 AS set_no FROM slots")(lambda c: placement.slots(c.placed()))
-_add("set_estimates", _with(*_PLACE) + "SELECT slot % 2 AS set_no, sum(hits / replica_count) AS estimate FROM slots JOIN sh USING (shard) GROUP BY 1")(lambda c: placement.set_estimate(placement.slots(p := c.placed()), p))
-_add("region_report", _with(*_PLACE) + "SELECT l1_id, h AS hits, r AS rects, shards, reps AS replicas, (h + 1) * (r + 1) / reps AS est FROM (SELECT l1_id, max(hits) AS h, sum(rects)::BIGINT AS r, count(*) AS shards, sum(replicas)::BIGINT AS reps FROM rep GROUP BY l1_id)")(lambda c: placement.region_report(c.placed()))
+_add("replicas", _with(*_PLACE) + "SELECT shard, hits AS work, replicas FROM rep")(lambda c: c.placed.select("shard", "work", "replicas"))
+_add("uniform_replicas", _with(*_PLACE) + "SELECT shard, 1 + e // n + CASE WHEN shard < e % n THEN 1 ELSE 0 END AS replicas FROM sh, spare")(lambda c: placement.uniform_replicas(c.shards, WORKERS).select("shard", "replicas"))
+_add("slots", _with(*_PLACE) + "SELECT *, slot % 2 AS set_no FROM slots")(lambda c: placement.slots(c.placed))
+_add("set_estimates", _with(*_PLACE) + "SELECT slot % 2 AS set_no, sum(hits / replica_count) AS estimate FROM slots JOIN sh USING (shard) GROUP BY 1")(lambda c: placement.set_estimate(placement.slots(c.placed), c.placed))
+_add("region_report", _with(*_PLACE) + "SELECT l1_id, h AS hits, r AS rects, shards, reps AS replicas, (h + 1) * (r + 1) / reps AS est FROM (SELECT l1_id, max(hits) AS h, sum(rects)::BIGINT AS r, count(*) AS shards, sum(replicas)::BIGINT AS reps FROM rep GROUP BY l1_id)")(lambda c: placement.region_report(c.placed))
 _add("capacity_check", _with(*_PLACE) + f"SELECT n AS shards, (SELECT count(*) FROM lv) AS leaves, {WORKERS}::BIGINT AS workers, n <= least((SELECT count(*) FROM lv), {WORKERS}) AS fits FROM spare")(
-    lambda c: (s := c.shards())[2].agg(F.count("*").alias("shards")).select("shards", F.lit(s[0].levels[0]).cast("long").alias("leaves"), F.lit(WORKERS).cast("long").alias("workers"), (F.col("shards") <= min(s[0].levels[0], WORKERS)).alias("fits"))
+    lambda c: c.shards.agg(F.count("*").alias("shards")).select("shards", F.lit(c.index.levels[0]).cast("long").alias("leaves"), F.lit(WORKERS).cast("long").alias("workers"), (F.col("shards") <= min(c.index.levels[0], WORKERS)).alias("fits"))
 )
 
 # ---- batches and routing ----
@@ -243,10 +249,9 @@ for _policy, _value in {"block": "(qid // 64) % replicas", "range": "((qid + 1)
     _sql = f"SELECT slot, c.qid, count(*) AS cnt FROM (SELECT *, {_value} AS replica_rank FROM cand) c JOIN slots s ON s.shard = c.shard AND s.replica_rank = c.replica_rank JOIN packed o ON o.leaf_id = c.leaf_id JOIN q ON q.qid = c.qid AND {_HIT} GROUP BY ALL"
 
     def _routed(c: _Case, p: str = _policy) -> DataFrame:
-        index, leaves, table = c.shards()
-        slots = placement.slots(placement.replicas(placement.scored(table), WORKERS))
-        found = joins.leaf_candidates(c.queries, index)
-        return batching.routed_counts(found, index.objects, leaves, slots, c.queries.count(), "block" if p == "dense" else p, 64, p == "dense")
+        slots = stored(placement.slots(c.placed), "slots")
+        found = joins.leaf_candidates(c.queries, c.index)
+        return batching.routed_counts(found, c.index.objects, c.leaves, slots, c.queries.count(), "block" if p == "dense" else p, 64, p == "dense")
 
     _add(f"routed_counts_{_policy}", _with(*_PLACE, _CAND) + _sql)(_routed)
 _add("tasklets", _with(_base()) + "SELECT qid, (qid // 64 // 3) % 11 AS tasklet FROM q")(lambda c: c.queries.select("qid", batching.tasklet_of(F.col("qid"), F.lit(3), 11, 64).alias("tasklet")))
@@ -257,4 +262,44 @@ _add("block_and_chunk_sizes", _with(_base()) + "SELECT count(*) AS queries, CASE
 # ---- checks ----
 
 _add("check_totals", _with(_base()) + f"SELECT count(*) AS total_a, count(*) AS total_b, true AS equal FROM q JOIN obj o ON {_HIT}")(lambda c: verify.totals_equal(joins.counts_nested(c.queries, c.objects), joins.counts_dense(c.queries, c.index)))
-_add("check_per_query", _with(_base()) + "SELECT count(*) AS compared, 0::BIGINT AS mismatches, 0::BIGINT AS abs_diff FROM q")(lambda c: verify.per_query(joins.counts_nested(c.queries, c.objects), joins.merged(joins.partitioned_counts(c.queries, c.index, 8))))
+_add("check_per_query", _with(_base(), _tree(), _SPLIT.replace("32", "8"), _WORKER, f"flat AS ({_COUNT})", "merged AS (SELECT qid, sum(cnt)::BIGINT AS cnt FROM part GROUP BY qid)")
+     + "SELECT count(*) AS compared, count(*) FILTER (flat.cnt <> coalesce(merged.cnt, 0)) AS mismatches, sum(abs(flat.cnt - coalesce(merged.cnt, 0)))::BIGINT AS abs_diff FROM flat LEFT JOIN merged USING (qid)")(lambda c: verify.per_query(joins.counts_nested(c.queries, c.objects), joins.merged(joins.partitioned_counts(c.queries, c.index, 8))))
+_COUNTERS = " UNION ALL ".join(f"SELECT '{c}' AS counter, {c} AS value_a, {c} AS value_b, true AS equal FROM work" for c in verify.COUNTERS)
+_add("check_counters", _with(_base(), _tree(), _WORK) + _COUNTERS)(lambda c: verify.counters_equal(metrics.work(c.queries, c.index, 99), metrics.work(c.queries, c.index, 1)))
+
+# ---- traffic, sets and tasklets ----
+
+_READ = f"""rd AS (SELECT n.node_id AS leaf_id, sum(32 + 16 * n.cnt) AS b FROM q JOIN nodes n ON n.is_leaf AND {_NH} GROUP BY n.node_id),
+tr AS (SELECT worker, coalesce(sum(b), 0)::BIGINT AS bytes FROM own LEFT JOIN rd USING (leaf_id) GROUP BY worker)"""
+_add("worker_traffic", _with(_base(), _tree(), _SPLIT, _READ) + "SELECT worker::BIGINT AS worker, bytes FROM tr")(lambda c: metrics.worker_traffic(c.queries, c.index, 32))
+_add("search_traffic_dispersion", _with(_base(), _tree(), _SPLIT, _READ) + "SELECT sum(bytes)::BIGINT AS total, avg(bytes) AS mean, stddev_pop(bytes) AS stdev, CASE WHEN avg(bytes) = 0 THEN 0 ELSE stddev_pop(bytes) / avg(bytes) END AS cv, max(bytes)::BIGINT AS max FROM tr")(
+    lambda c: metrics.dispersion(metrics.worker_traffic(c.queries, c.index, 32))
+)
+_SETS = "SELECT slot, shard, l1_id, replica_rank, replica_count, CASE WHEN slot < 2 * {a} THEN slot % 2 ELSE 1 END AS set_no, CASE WHEN slot < 2 * {a} THEN slot // 2 ELSE slot - {a} END AS place FROM slots"
+_add("two_sets", _with(*_PLACE) + _SETS.format(a=100))(lambda c: placement.two_sets(placement.slots(c.placed), 100, 100_000))
+_add("even_tasklets", _with(_base()) + "SELECT qid, qid // 1000 AS batch, ntile(11) OVER (PARTITION BY qid // 1000 ORDER BY qid) - 1 AS tasklet FROM q")(
+    lambda c: batching.even_tasklets(batching.batched(c.queries.select("qid"), 1000).select("qid", "batch"), "batch", "qid", 11)
+)
+_add("region_runs", _with(_base(), _tree(ix.LEAF, ix.FANOUT, 4)) + f"SELECT node_id // 8 AS l1_id, count(*) AS n_leaves, {_BOX} FROM nodes WHERE level = 0 GROUP BY 1", table=fx.events, leaf=ix.LEAF, fanout=ix.FANOUT)(lambda c: joins.regions(c.index, 8))
+ORACLE_SQL["region_runs"] = ORACLE_SQL["region_runs"].replace(fx.SQL["lineitem"], fx.SQL["events"])
+
+# ---- sources ----
+
+SHARES = {"1": 100, "5": 20, "10": 10, "25": 4, "50": 2, "100": 1}
+_add("query_sets", _with(_base()) + " UNION ALL ".join(f"SELECT '{share}' AS share, count(*) AS queries, sum(id)::BIGINT AS ids FROM obj WHERE id % {every} = 0" for share, every in SHARES.items()))(lambda c: query_sets(c.objects, SHARES))
+_add("corner_order", _with(_base("embeddings")) + "SELECT id, least(xmax, xmin) AS xmin, least(ymin, ymax) AS ymin, greatest(xmax, xmin) AS xmax, greatest(ymin, ymax) AS ymax FROM obj", table=fx.embeddings)(
+    lambda c: c.objects.select("id", *normalised("xmax", "ymin", "xmin", "ymax"))
+)
+
+# ---- whole runs ----
+
+_CONFIG = whole.Config(leaf=LEAF, fanout=FANOUT, workers=WORKERS, shard_cap=SHARD_CAP, hot=0, block=64, launch=1000, logical=70)
+_add("run_counts", _with(_base()) + _COUNT)(lambda c: whole.run(c.queries, c.objects, _CONFIG).counts)
+_add("run_batches", _with(_base(), f"per AS ({_COUNT})") + "SELECT qid // 1000 AS batch, count(*) AS queries, count(DISTINCT qid // 70) AS logical_batches, sum(cnt)::BIGINT AS overlaps, count(*) FILTER (cnt > 0) AS touched FROM per GROUP BY 1")(
+    lambda c: whole.run(c.queries, c.objects, _CONFIG).batches
+)
+_ANSWERS = f"ans AS (SELECT slot, count(*) AS answers, sum(cnt)::BIGINT AS met FROM ({ORACLE_SQL['routed_counts_block'].split(_CAND)[1].strip()}) GROUP BY slot)"
+_add("run_workers", _with(*_PLACE, _CAND, _ANSWERS) + "SELECT slot, shard, replica_rank, slot % 2 AS set_no, coalesce(answers, 0) AS answers, coalesce(met, 0)::BIGINT AS overlaps FROM slots LEFT JOIN ans USING (slot)")(
+    lambda c: whole.run(c.queries, c.objects, _CONFIG).workers
+)
+_add("run_check", _with(_base()) + "SELECT count(*) AS compared, 0::BIGINT AS mismatches, 0::BIGINT AS abs_diff FROM q")(lambda c: whole.run(c.queries, c.objects, _CONFIG).check)

@@ -26,7 +26,7 @@ def centre(low: Column | str, high: Column | str) -> Column:
     """Middle of two sides in 64 bits, truncated toward zero."""
     low, high = (F.col(c) if isinstance(c, str) else c for c in (low, high))
     both = low.cast("long") + high.cast("long")
-    return F.when(both >= 0, F.floor(both / 2)).otherwise(F.ceil(both / 2)).cast("long")
+    return F.when(both >= 0, F.shiftright(both, 1)).otherwise(-F.shiftright(-both, 1))
 
 
 def centre_point() -> list[Column]:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.geometry import SIDES, overlaps
+from tessella.storage import sized_join, stored
+
 LAUNCH = 720_000
 LOGICAL = 50_000
 
@@ -48,14 +51,17 @@ def tasklet_of(qid: Column, replicas: Column, tasklets: int, block: int = 256) -
     return (F.floor(F.floor(qid / block) / replicas) % tasklets).cast("long")
 
 
+def even_tasklets(rows: DataFrame, group: str, order: str, tasklets: int) -> DataFrame:
+    """rows with tasklet: each group's rows in order, in even runs, of which the first n mod tasklets have one more."""
+    return rows.withColumn("tasklet", (F.ntile(tasklets).over(Window.partitionBy(group).orderBy(order)) - 1).cast("long"))
+
+
 def routed_counts(candidates: DataFrame, objects: DataFrame, leaf_shards: DataFrame, slots: DataFrame, n_queries: int, policy: str = "block", block: int = 256, dense: bool = False) -> DataFrame:
     """(slot, qid, cnt): each candidate (qid, leaf) goes to one replica of the leaf's shard. The replica's number salts
     the join, so a hot shard's queries spread over as many tasks as it has replicas."""
-    from tessella.functions.geometry import SIDES, overlaps
-
     own = candidates.join(leaf_shards.select("leaf_id", "shard"), "leaf_id")
-    counts = slots.groupBy("shard").agg(F.max("replica_count").alias("replicas"))
-    own = own.join(F.broadcast(counts), "shard").withColumn("replica_rank", replica_of(F.col("qid"), F.col("replicas"), n_queries, policy, block, dense))
+    counts = stored(slots.groupBy("shard").agg(F.max("replica_count").alias("replicas")))
+    own = sized_join(own, counts, "shard", row_bytes=16).withColumn("replica_rank", replica_of(F.col("qid"), F.col("replicas"), n_queries, policy, block, dense))
     held = slots.select("slot", "shard", "replica_rank").join(leaf_shards.select("leaf_id", "shard"), "shard").join(objects.select("id", "leaf_id", *SIDES), "leaf_id")
     joined = own.alias("q").join(held.alias("o"), (F.col("q.leaf_id") == F.col("o.leaf_id")) & (F.col("q.replica_rank") == F.col("o.replica_rank")) & overlaps("q", "o"))
     return joined.groupBy("o.slot", "q.qid").agg(F.count("*").alias("cnt"))

@@ -10,14 +10,18 @@ import dataclasses
 import functools
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.geometry import SIDES, bounding, centre
-from tessella.operators.ranks import ONE_TASK, global_row_number
+from tessella.operators.ranks import ONE_TASK, global_row_number, global_sums_before
+from tessella.storage import stored
 
 LEAF = 128
 FANOUT = 2540
+NODES = "node_id long, level int, parent_id long, pos long, is_leaf boolean, cnt long, xmin int, ymin int, xmax int, ymax int"
 
 
 def slices(n: int, cap: int) -> tuple[int, int]:
@@ -66,6 +70,21 @@ class Index:
     def level(self, k: int) -> DataFrame:
         return self.nodes.filter(F.col("level") == k)
 
+    def write(self, path: str) -> None:
+        """Writes the index under path, which must not exist: nodes in a folder a level, objects by leaf."""
+        spark = self.nodes.sparkSession
+        self.objects.sortWithinPartitions("leaf_id").write.parquet(f"{path}/objects")
+        self.nodes.write.partitionBy("level").parquet(f"{path}/nodes")
+        spark.createDataFrame([(self.levels, self.leaf, self.fanout)], "levels array<long>, leaf long, fanout long").coalesce(1).write.parquet(f"{path}/about")
+
+    @staticmethod
+    def read(spark: SparkSession, path: str) -> Index:
+        """An index that was written: built once, it answers any number of batches."""
+        about = spark.read.parquet(f"{path}/about").first()
+        objects = spark.read.parquet(f"{path}/objects")
+        nodes = spark.read.schema(NODES).parquet(f"{path}/nodes").select("node_id", "level", "parent_id", "pos", "is_leaf", "cnt", *SIDES)
+        return Index(objects, nodes, list(about["levels"]), about["leaf"], about["fanout"])
+
 
 def pack_leaves(objects: DataFrame, n: int, leaf: int = LEAF) -> DataFrame:
     """objects with leaf_id."""
@@ -73,33 +92,66 @@ def pack_leaves(objects: DataFrame, n: int, leaf: int = LEAF) -> DataFrame:
     return _tiled(keyed, n, leaf, "cx", "cy", "id").select("id", *SIDES, F.col("group_no").alias("leaf_id"), F.col("in_group").alias("pos"))
 
 
+def _grouped(level: pa.Table, cap: int) -> tuple[np.ndarray, np.ndarray]:
+    """_tiled of a bounded level's nodes by the sums of their sides: (group_no, in_group) of each."""
+    n = level.num_rows
+    x, y = (level.column(f"{c}min").to_numpy().astype(np.int64) + level.column(f"{c}max").to_numpy() for c in "xy")
+    key = level.column("node_no").to_numpy()
+    _, size = slices(n, cap)
+    slice_ = np.empty(n, np.int64)
+    slice_[np.lexsort((key, x))] = np.arange(n) // size
+    order = np.lexsort((key, y, slice_))
+    inside = np.empty(n, np.int64)
+    inside[order] = np.arange(n) - slice_[order] * size  # all slices before are full
+    return slice_ * -(-size // cap) + inside // cap, inside % cap
+
+
+def _upper(level: pa.Table, sizes: list[int], fanout: int, k: int, base: int) -> pa.Table:
+    """The nodes of level k, of ONE_TASK rows at most, and of all above it."""
+    parts = []
+    for at in range(k, len(sizes)):
+        have = sizes[at]
+        number = level.column("node_no").to_numpy()
+        parent, pos = (np.zeros(have, np.int64), number) if have <= fanout else _grouped(level, fanout)
+        up = pa.array(parent + base + have) if have > 1 else pa.nulls(have, pa.int64())
+        parts.append(pa.table({"node_id": number + base, "level": np.full(have, at, np.int32), "parent_id": up, "pos": pos, "is_leaf": np.full(have, at == 0), **{c: level.column(c) for c in ("cnt", *SIDES)}}))
+        level = level.append_column("parent_no", pa.array(parent)).group_by("parent_no").aggregate([("xmin", "min"), ("ymin", "min"), ("xmax", "max"), ("ymax", "max"), ("cnt", "count")]).sort_by("parent_no")
+        level = level.select(["parent_no", "cnt_count", "xmin_min", "ymin_min", "xmax_max", "ymax_max"]).rename_columns(["node_no", "cnt", *SIDES])
+        base += have
+    return pa.concat_tables(parts)
+
+
 def build(objects: DataFrame, leaf: int = LEAF, fanout: int = FANOUT, n: int | None = None) -> Index:
     """The index of objects; no objects give no nodes. Ties go by id, so the index is the same whatever the partitions.
 
-    Sums of the sides order upper levels, as the centres would. A level that fits into one node keeps its order."""
+    Sums of the sides order upper levels, as the centres would. A level that fits into one node keeps its order. Packed
+    objects and large levels are stored as they are made, so whatever reads the index doesn't build it again; from the
+    first level of at most ONE_TASK nodes on, the levels are put together in the driver, which needs a few MB."""
     n = objects.count() if n is None else n
     sizes = shape(n, leaf, fanout) if n else []
-    packed = pack_leaves(objects, max(1, n), leaf)
-    level = packed.groupBy(F.col("leaf_id").alias("node_no")).agg(F.count("*").alias("cnt"), *bounding()).withColumn("is_leaf", F.lit(True))
-    base, parts = 0, []
-    for k, have in enumerate(sizes):
-        if have == 1:
-            grouped = level.withColumn("parent_no", F.lit(None).cast("long")).withColumn("pos", F.lit(0).cast("long"))
-        elif have <= fanout:
+    packed = stored(pack_leaves(objects, max(1, n), leaf), "index")
+    spark = objects.sparkSession
+    if not sizes:
+        return Index(packed, spark.createDataFrame([], NODES), sizes, leaf, fanout)
+    level = packed.groupBy(F.col("leaf_id").alias("node_no")).agg(F.count("*").alias("cnt"), *bounding())
+    base, k, parts = 0, 0, []
+    while sizes[k] > ONE_TASK:
+        have = sizes[k]
+        if have <= fanout:
             grouped = level.withColumn("parent_no", F.lit(0).cast("long")).withColumn("pos", F.col("node_no"))
         else:
             keyed = level.withColumn("sx", F.col("xmin").cast("long") + F.col("xmax")).withColumn("sy", F.col("ymin").cast("long") + F.col("ymax"))
             grouped = _tiled(keyed, have, fanout, "sx", "sy", "node_no").withColumnRenamed("group_no", "parent_no").withColumnRenamed("in_group", "pos").drop("sx", "sy")
+        grouped = stored(grouped, "index")
         parts.append(
             grouped.select(
-                (F.col("node_no") + base).alias("node_id"), F.lit(k).alias("level"), (F.col("parent_no") + base + have).alias("parent_id"), F.col("pos").cast("long").alias("pos"), "is_leaf", "cnt", *SIDES
+                (F.col("node_no") + base).alias("node_id"), F.lit(k).alias("level"), (F.col("parent_no") + base + have).alias("parent_id"), F.col("pos").cast("long").alias("pos"), F.lit(k == 0).alias("is_leaf"), "cnt", *SIDES
             )
         )
-        if have > 1:
-            level = grouped.groupBy(F.col("parent_no").alias("node_no")).agg(F.count("*").alias("cnt"), *bounding()).withColumn("is_leaf", F.lit(False))
-        base += have
-    if not parts:
-        parts = [level.select(F.col("node_no").alias("node_id"), F.lit(0).alias("level"), F.lit(None).cast("long").alias("parent_id"), F.lit(0).cast("long").alias("pos"), "is_leaf", "cnt", *SIDES).filter("false")]
+        level = grouped.groupBy(F.col("parent_no").alias("node_no")).agg(F.count("*").alias("cnt"), *bounding())
+        base, k = base + have, k + 1
+    small = level.select("node_no", "cnt", *SIDES).toArrow().sort_by("node_no")
+    parts.append(spark.createDataFrame(_upper(small, sizes, fanout, k, base), NODES))
     return Index(packed, functools.reduce(DataFrame.union, parts), sizes, leaf, fanout)
 
 
@@ -154,11 +206,9 @@ def depth_first(index: Index) -> DataFrame:
 def flattened(index: Index) -> DataFrame:
     """Compressed rows in breadth-first order: bfs, is_leaf, first_child, child_cnt, first_rect, rect_cnt."""
     ranked = index.nodes.join(breadth_first(index), "node_id")
-    before = Window.orderBy("bfs").rowsBetween(Window.unboundedPreceding, -1)
     kids, rects = F.when(F.col("is_leaf"), F.lit(0)).otherwise(F.col("cnt")), F.when(F.col("is_leaf"), F.col("cnt")).otherwise(F.lit(0))
-    return ranked.select(
-        "bfs", "is_leaf", F.coalesce(F.sum(kids).over(before), F.lit(0)).alias("first_child"), kids.cast("long").alias("child_cnt"), F.coalesce(F.sum(rects).over(before), F.lit(0)).alias("first_rect"), rects.cast("long").alias("rect_cnt")
-    )
+    own = ranked.select("bfs", "is_leaf", kids.cast("long").alias("child_cnt"), rects.cast("long").alias("rect_cnt"))
+    return global_sums_before(own, ["bfs"], {"first_child": F.col("child_cnt"), "first_rect": F.col("rect_cnt")}, sum(index.levels))
 
 
 def grid_split(objects: DataFrame, leaf: int = LEAF, fanout: int = FANOUT, n: int | None = None) -> DataFrame:
@@ -197,7 +247,7 @@ def _child_sizes(n: int, leaf: int, fanout: int) -> list[int]:
 
 
 def _numbered(rows: DataFrame, by: list[str], order: list[str], name: str, biggest: int, n: int) -> DataFrame:
-    """rows with a number from 0 in order inside each group of by; groups beyond a million rows span ranges."""
+    """rows with a number from 0 in order inside each group of by; groups beyond ONE_TASK rows span ranges."""
     if biggest <= ONE_TASK:
         return rows.withColumn(name, (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("long"))
     ranked = global_row_number(rows, [*by, *order], name, n)

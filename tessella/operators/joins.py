@@ -10,8 +10,8 @@ from tessella.operators.index import Index
 
 #: A node level is compared with all queries at once (broadcast) if it has no more nodes than this, about 4 MB.
 BROADCAST_NODES = 1 << 16
-#: ... and the comparisons are no more than this for each query row read in a task's second or so.
-COMPARISONS = 2_000_000_000
+#: ... and the comparisons are no more than this.
+COMPARISONS = 200_000_000
 
 
 def pairs_nested(queries: DataFrame, objects: DataFrame) -> DataFrame:
@@ -33,21 +33,26 @@ def start_level(index: Index, n_queries: int) -> int:
     return len(index.levels) - 1
 
 
-def leaf_candidates(queries: DataFrame, index: Index, n_queries: int | None = None, from_level: int | None = None) -> DataFrame:
-    """(qid, sides of the query, leaf_id, leaf_cnt) of overlapping leaves.
+def candidates(queries: DataFrame, index: Index, to_level: int = 0, n_queries: int | None = None, from_level: int | None = None) -> DataFrame:
+    """(qid, sides of the query, node_id, cnt) of the overlapping nodes of a level.
 
     One level is compared with all queries by a broadcast join whose size start_level bounds; from there each level
     joins its children by node id and drops what doesn't overlap."""
     n = queries.count() if n_queries is None else n_queries
-    k = start_level(index, n) if from_level is None else min(from_level, len(index.levels) - 1)
+    k = max(to_level, start_level(index, n) if from_level is None else min(from_level, len(index.levels) - 1))
     top = index.level(k).select("node_id", "cnt", *SIDES)
     found = queries.alias("q").join(F.broadcast(top).alias("n"), overlaps("q", "n")).select("q.qid", *[F.col(f"q.{s}") for s in SIDES], "n.node_id", "n.cnt")
-    while k > 0:
+    while k > to_level:
         k -= 1
         child = index.level(k).select(F.col("node_id").alias("child_id"), F.col("parent_id").alias("up"), F.col("cnt").alias("child_cnt"), *SIDES)
         joined = found.alias("q").join(child.alias("n"), (F.col("q.node_id") == F.col("n.up")) & overlaps("q", "n"))
         found = joined.select("q.qid", *[F.col(f"q.{s}") for s in SIDES], F.col("n.child_id").alias("node_id"), F.col("n.child_cnt").alias("cnt"))
-    return found.withColumnRenamed("node_id", "leaf_id").withColumnRenamed("cnt", "leaf_cnt")
+    return found
+
+
+def leaf_candidates(queries: DataFrame, index: Index, n_queries: int | None = None, from_level: int | None = None) -> DataFrame:
+    """(qid, sides of the query, leaf_id, leaf_cnt) of overlapping leaves."""
+    return candidates(queries, index, 0, n_queries, from_level).withColumnRenamed("node_id", "leaf_id").withColumnRenamed("cnt", "leaf_cnt")
 
 
 def pairs_index(queries: DataFrame, index: Index, n_queries: int | None = None, from_level: int | None = None) -> DataFrame:
@@ -92,10 +97,15 @@ def leaves_of_regions(index: Index, fanout: int = 256) -> DataFrame:
     return index.leaves.select(own.alias("l1_id"), F.col("node_id").alias("leaf_id"), pos.alias("pos"), "cnt", *SIDES)
 
 
-def region_hits(queries: DataFrame, regions_: DataFrame) -> DataFrame:
-    """(l1_id, hits): queries that overlap each region, zeros included. Regions are a few thousand at most: broadcast."""
-    found = queries.alias("q").join(F.broadcast(regions_).alias("r"), overlaps("q", "r")).groupBy("r.l1_id").agg(F.count("*").alias("h"))
-    return regions_.select("l1_id").join(found, "l1_id", "left").select("l1_id", F.coalesce("h", F.lit(0)).cast("long").alias("hits"))
+def region_hits(queries: DataFrame, index: Index, fanout: int = 256) -> DataFrame:
+    """(l1_id, hits): queries that overlap each region, zeros included. Regions that are nodes are found by descent;
+    runs of leaves are compared with all queries, which are a root's leaves over fanout, ten or so."""
+    own = regions(index, fanout)
+    if len(index.levels) > 2:
+        found = candidates(queries, index, 1).groupBy(F.col("node_id").alias("l1_id")).agg(F.count("*").alias("h"))
+    else:
+        found = queries.alias("q").join(F.broadcast(own).alias("r"), overlaps("q", "r")).groupBy("r.l1_id").agg(F.count("*").alias("h"))
+    return own.select("l1_id").join(found, "l1_id", "left").select("l1_id", F.coalesce("h", F.lit(0)).cast("long").alias("hits"))
 
 
 def subtree_counts(queries: DataFrame, index: Index) -> DataFrame:
@@ -110,15 +120,18 @@ def subtree_counts(queries: DataFrame, index: Index) -> DataFrame:
 
 
 def touched(queries: DataFrame, index: Index) -> DataFrame:
-    """qids with at least one overlap."""
-    return pairs_index(queries, index).select("qid").distinct()
+    """qids with at least one overlap: a candidate leaf stays if it holds an overlapping object."""
+    found = leaf_candidates(queries, index)
+    held = found.alias("q").join(index.objects.alias("o"), (F.col("q.leaf_id") == F.col("o.leaf_id")) & overlaps("q", "o"), "left_semi")
+    return held.select("qid").distinct()
 
 
-def shard_touches(queries: DataFrame, leaves: DataFrame, every: int = 10) -> DataFrame:
-    """(shard, hits): of every every-th query, how many overlap a leaf of the shard, scaled back and rounded."""
+def shard_touches(queries: DataFrame, leaves: DataFrame, index: Index, every: int = 10) -> DataFrame:
+    """(shard, hits): of every every-th query, how many overlap a leaf of the shard, scaled back and rounded. leaves has
+    leaf_id and shard."""
     sample = queries.filter(F.pmod("qid", F.lit(every)) == 0)
     total, taken = queries.agg(F.count("*").alias("n_all")), sample.agg(F.count("*").alias("n_some"))
-    found = sample.alias("q").join(leaves.alias("n"), overlaps("q", "n")).select("n.shard", "q.qid").distinct().groupBy("shard").agg(F.count("*").alias("h"))
+    found = leaf_candidates(sample, index).join(leaves.select("leaf_id", "shard"), "leaf_id").select("shard", "qid").distinct().groupBy("shard").agg(F.count("*").alias("h"))
     scaled = F.when(F.col("n_some") > 0, F.floor((F.col("h") * F.col("n_all") + F.floor(F.col("n_some") / 2)) / F.col("n_some"))).otherwise(F.lit(0))
     # total and taken have one row each
     return leaves.select("shard").distinct().join(found, "shard", "left").withColumn("h", F.coalesce("h", F.lit(0))).join(F.broadcast(total)).join(F.broadcast(taken)).select("shard", scaled.cast("long").alias("hits"))

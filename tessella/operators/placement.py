@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.operators.ranks import global_row_number
+from tessella.operators.ranks import global_row_number, global_sums_before
 
 
 def even_split(df: DataFrame, workers: int, order: str, n: int | None = None) -> DataFrame:
@@ -36,8 +36,7 @@ def base_shards(leaves: DataFrame, cap: int) -> DataFrame:
     small, more = F.floor(F.col("m") / F.col("g")), F.col("m") % F.col("g")
     part = F.when(F.col("no") < more * (small + 1), F.floor(F.col("no") / (small + 1))).otherwise(more + F.floor((F.col("no") - more * (small + 1)) / small))
     ranked = ranked.withColumn("part", part.cast("long"))
-    first = ranked.groupBy("l1_id").agg(F.first("g").alias("g2"))
-    first = first.withColumn("base", F.coalesce(F.sum("g2").over(Window.orderBy("l1_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    first = global_sums_before(ranked.groupBy("l1_id").agg(F.first("g").alias("g2")), ["l1_id"], {"base": F.col("g2")})
     return ranked.join(first, "l1_id").withColumn("shard", (F.col("base") + F.col("part")).cast("long")).drop("m", "no", "g", "g2", "base", "part")
 
 
@@ -69,15 +68,15 @@ def drilled(shards: DataFrame, hot: DataFrame, touches: DataFrame) -> DataFrame:
 
 def replicas(shards: DataFrame, workers: int, replicate: bool = True) -> DataFrame:
     """shards (shard, work) with replicas: one each, then each spare worker to the shard with most work per replica,
-    ties to fewer replicas, then the lower shard. The k-th spare of a shard is won at work / k, so the spares go to the
-    greatest quotients; a quotient beyond a shard's own spares can't be among them."""
-    n = shards.count()
+    ties to fewer replicas, then the lower shard. The k-th spare of a shard is won at work / k (as doubles), so the
+    spares go to the greatest quotients. The last one that wins is at least all work / workers, which bounds what a
+    shard can win; without any work the spares go round."""
+    n, total = shards.agg(F.count("*"), F.coalesce(F.sum("work"), F.lit(0))).first()
     spare = workers - n if replicate else 0
-    if spare <= 0:
+    if spare <= 0 or not n:
         return shards.withColumn("replicas", F.lit(1).cast("long"))
-    # no shard gets more spares than its share of the work allows, plus what rounding gives: all spares at most
-    offers = shards.select("shard", "work", F.explode(F.sequence(F.lit(1), F.lit(spare))).alias("k"))
-    # exact order of fractions: whole part, then the remainder as a fraction of equal denominators is within a double
+    most = F.floor(F.col("work") * workers / F.lit(total)) + 1 if total > 0 else F.lit(-(-spare // n))
+    offers = shards.select("shard", "work", F.explode(F.sequence(F.lit(1).cast("long"), F.least(most.cast("long"), F.lit(spare)))).alias("k"))
     won = offers.orderBy((F.col("work") / F.col("k")).desc(), "k", "shard").limit(spare).groupBy("shard").agg(F.count("*").alias("more"))
     return shards.join(won, "shard", "left").withColumn("replicas", (1 + F.coalesce("more", F.lit(0))).cast("long")).drop("more")
 
@@ -86,16 +85,28 @@ def uniform_replicas(shards: DataFrame, workers: int) -> DataFrame:
     """Spares dealt round by shard number."""
     n = shards.count()
     spare = max(0, workers - n)
-    no = F.row_number().over(Window.orderBy("shard")) - 1
-    return shards.withColumn("replicas", (1 + spare // max(1, n) + F.when(no < spare % max(1, n), 1).otherwise(0)).cast("long"))
+    ranked = global_row_number(shards, ["shard"], "no", n)
+    return ranked.withColumn("replicas", (1 + spare // max(1, n) + F.when(F.col("no") < spare % max(1, n), 1).otherwise(0)).cast("long")).drop("no")
 
 
 def slots(placed: DataFrame) -> DataFrame:
     """(slot, shard, l1_id, replica_rank, replica_count, set_no): shards in order, replicas after each other; slots
     alternate between two sets."""
     each = placed.select("shard", "l1_id", "replicas", F.explode(F.sequence(F.lit(0), F.col("replicas").cast("int") - 1)).alias("replica_rank"))
-    slot = (F.row_number().over(Window.orderBy("shard", "replica_rank")) - 1).cast("long")
-    return each.withColumn("slot", slot).select("slot", "shard", "l1_id", F.col("replica_rank").cast("long").alias("replica_rank"), F.col("replicas").alias("replica_count"), (F.col("slot") % 2).alias("set_no"))
+    ranked = global_row_number(each, ["shard", "replica_rank"], "slot")
+    return ranked.select("slot", "shard", "l1_id", F.col("replica_rank").cast("long").alias("replica_rank"), F.col("replicas").alias("replica_count"), (F.col("slot") % 2).alias("set_no"))
+
+
+def two_sets(slots_: DataFrame, size_a: int, size_b: int) -> DataFrame:
+    """slots with set_no and place in the set, for sets of size_a and size_b workers: slots alternate, beginning with
+    set 0, until one set is full; the rest goes to the other. More slots than workers is an error."""
+    n = slots_.count()
+    if n > size_a + size_b:
+        raise ValueError(f"{n} slots for {size_a + size_b} workers")
+    both = 2 * min(size_a, size_b)
+    turn, s = F.col("slot") < both, F.col("slot")
+    longer = F.lit(0 if size_a > size_b else 1)
+    return slots_.drop("set_no").withColumn("set_no", F.when(turn, s % 2).otherwise(longer).cast("long")).withColumn("place", F.when(turn, F.floor(s / 2)).otherwise(s - both // 2).cast("long"))
 
 
 def set_estimate(slots_: DataFrame, scored_: DataFrame) -> DataFrame:

@@ -1,36 +1,58 @@
-"""Row numbers over a whole table without sorting it in one task."""
+"""Row numbers and running sums over a whole table without sorting it in one task."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Tables of up to this many rows are numbered by one window; larger ones by ranges.
-ONE_TASK = 1_000_000
+from tessella.storage import stored
+
+#: Tables of up to this many rows are numbered by one window; larger ones by ranges of about as many.
+ONE_TASK = 50_000
+#: Ranges at most, so that their counts stay a small table.
+MOST_RANGES = 10_000
+_AT = "range_at"  # the range's number in the upper bits, the row's number there in the lower 33
+
+
+def _dealt(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """df in order by ranges, with _AT. It is written, so that a lost task can't deal rows out otherwise."""
+    parts = min(MOST_RANGES, max(2, -(-n // ONE_TASK)))
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return stored(ranged.withColumn(_AT, F.monotonically_increasing_id()), "ranks")
+
+
+def _range() -> Column:
+    return F.shiftright(_AT, 33)
+
+
+def _inside() -> Column:
+    return F.col(_AT).bitwiseAND(F.lit((1 << 33) - 1))
 
 
 def global_row_number(df: DataFrame, order: list[str], name: str, rows: int | None = None) -> DataFrame:
-    """df with a number from 0 in order (unique at its last column). Large tables are dealt out by range; each range
-    is numbered for itself, and the ranges' counts give the offsets."""
+    """df with a number from 0 in order (unique at its last column). Large tables are dealt out by range and sorted
+    there; the ranges' counts give the offsets."""
     n = df.count() if rows is None else rows
     if n <= ONE_TASK:
         return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
-    parts = max(2, -(-n // ONE_TASK))
-    # written with the range's number, so that a lost task can't deal rows out otherwise
-    dealt = _written(df.repartitionByRange(parts, *order).withColumn("range_no", F.spark_partition_id()))
+    dealt = _dealt(df, order, n)
     upto = Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = dealt.groupBy("range_no").count().withColumn("before", F.coalesce(F.sum("count").over(upto), F.lit(0))).select("range_no", "before")
-    own = F.row_number().over(Window.partitionBy("range_no").orderBy(*order)) - 1
-    # offsets has a row for each million rows
-    return dealt.withColumn("own_no", own).join(F.broadcast(offsets), "range_no").withColumn(name, (F.col("own_no") + F.col("before")).cast("long")).drop("own_no", "before", "range_no")
-
+    offsets = dealt.groupBy(_range().alias("range_no")).count().select("range_no", F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("before"))
+    # offsets has MOST_RANGES rows at most
+    return dealt.join(F.broadcast(offsets), _range() == offsets["range_no"]).withColumn(name, (F.col("before") + _inside()).cast("long")).drop("before", "range_no", _AT)
 
-def _written(df: DataFrame) -> DataFrame:
-    import tempfile
-    import uuid
 
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessella-")
-    path = f"{folder.rstrip('/')}/ranks-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def global_sums_before(df: DataFrame, order: list[str], sums: dict[str, Column], rows: int | None = None) -> DataFrame:
+    """df with, for each name, the sum of its column over all rows before in order (unique)."""
+    n = df.count() if rows is None else rows
+    if n <= ONE_TASK:
+        before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.select("*", *[F.coalesce(F.sum(c).over(before), F.lit(0)).cast("long").alias(k) for k, c in sums.items()])
+    dealt = _dealt(df, order, n).withColumn("range_no", _range())
+    upto = Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("range_no").agg(*[F.sum(c).alias(f"all_{k}") for k, c in sums.items()])
+    offsets = totals.select("range_no", *[F.coalesce(F.sum(f"all_{k}").over(upto), F.lit(0)).alias(f"off_{k}") for k in sums])
+    own = Window.partitionBy("range_no").orderBy(_AT).rowsBetween(Window.unboundedPreceding, -1)
+    inside = dealt.select("*", *[F.coalesce(F.sum(c).over(own), F.lit(0)).alias(f"in_{k}") for k, c in sums.items()])
+    both = inside.join(F.broadcast(offsets), "range_no")
+    return both.select(*df.columns, *[(F.col(f"off_{k}") + F.col(f"in_{k}")).cast("long").alias(k) for k in sums])

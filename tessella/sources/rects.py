@@ -48,6 +48,22 @@ class Catalogue:
     def query_set(self, spark: SparkSession, name: str, share: str) -> DataFrame:
         return read_rects(spark, self._of(self.queries, (name, share)))
 
+    @classmethod
+    def of_folder(cls, folder: str, names: list[str], shares: list[str]) -> Catalogue:
+        """Sets laid out as folder/name.csv, their query samples as folder/name_share.csv (share: per cent, as "5")."""
+        return cls({n: f"{folder}/{n}.csv" for n in names}, {(n, s): f"{folder}/{n}_{s}.csv" for n in names for s in shares})
+
+    def register(self, spark: SparkSession, factors: dict[str, float] | None = None) -> list[str]:
+        """Temporary views objects_name and queries_name_share of all sets, for SQL; their names."""
+        made = []
+        for name in self.data:
+            self.objects(spark, name, (factors or {}).get(name)).createOrReplaceTempView(f"objects_{name}")
+            made.append(f"objects_{name}")
+        for name, share in self.queries:
+            self.query_set(spark, name, share).createOrReplaceTempView(f"queries_{name}_{share}")
+            made.append(f"queries_{name}_{share}")
+        return made
+
     @staticmethod
     def _of(known: dict, key: object) -> str:
         if key not in known:
@@ -63,6 +79,13 @@ def sampled_queries(objects: DataFrame, every: int, id_column: str = "id") -> Da
     return global_row_number(chosen, [id_column], "qid").select("qid", *SIDES)
 
 
+def query_sets(objects: DataFrame, shares: dict[str, int], id_column: str = "id") -> DataFrame:
+    """(share, queries, ids): how many queries each named sample has, and the sum of their ids. One scan."""
+    names = F.array(*[F.struct(F.lit(s).alias("share"), F.lit(e).alias("every")) for s, e in shares.items()])
+    each = objects.select(F.col(id_column).alias("id"), F.explode(names).alias("s")).filter(F.pmod("id", F.col("s.every")) == 0)
+    return each.groupBy(F.col("s.share").alias("share")).agg(F.count("*").alias("queries"), F.sum("id").alias("ids"))
+
+
 def append_record(spark: SparkSession, path: str, **values: object) -> None:
     """Appends one run's figures as JSON."""
     spark.createDataFrame([{k: v for k, v in values.items()}]).coalesce(1).write.mode("append").json(path)

@@ -77,6 +77,116 @@ def test_index_structure(spark):
     assert index.objects.select("id").distinct().count() == 700
 
 
+def test_large_levels_are_built_as_small_ones(spark, monkeypatch):
+    from tessella.operators import ranks
+
+    want = sorted(ix.build(_grid(spark), 4, 3).nodes.collect())
+    for module in (ix, ranks):
+        monkeypatch.setattr(module, "ONE_TASK", 20)
+    index = ix.build(_grid(spark), 4, 3)
+    assert sorted(index.nodes.collect()) == want
+    monkeypatch.setattr(ranks, "ONE_TASK", 30)
+    flat = sorted(ix.flattened(index).collect())
+    monkeypatch.undo()
+    assert flat == sorted(ix.flattened(ix.build(_grid(spark), 4, 3)).collect())
+
+
+def test_a_written_index_answers_as_the_built_one(spark, tmp_path):
+    objects = _grid(spark)
+    queries = rects.sampled_queries(objects, 7)
+    index = ix.build(objects, 16, 4)
+    index.write(str(tmp_path / "index"))
+    back = ix.Index.read(spark, str(tmp_path / "index"))
+    assert (back.levels, back.leaf, back.fanout) == (index.levels, 16, 4)
+    assert sorted(back.nodes.collect(), key=str) == sorted(index.nodes.collect(), key=str)
+    assert sorted(joins.counts_dense(queries, back).collect()) == sorted(joins.counts_nested(queries, objects).collect())
+
+
+def test_work_does_not_depend_on_the_level_it_starts_from(spark):
+    from tessella.operators import metrics
+
+    objects = _grid(spark)
+    queries, index = rects.sampled_queries(objects, 7), ix.build(objects, 16, 4)
+    rows = [metrics.work(queries, index, k).first() for k in range(len(index.levels))]
+    assert len(set(rows)) == 1
+    equal = verify.counters_equal(metrics.work(queries, index, 0), metrics.work(queries, index, 9)).collect()
+    assert len(equal) == 5 and all(r.equal for r in equal)
+
+
+@pytest.mark.parametrize("change", [{}, {"replicate": False}, {"route": "range", "hot": 0, "work": "combined"}, {"dense_route": True, "dense": False, "check": False}])
+def test_whole_run(spark, tmp_path, change):
+    from tessella.plans.run import Config, run, write_log
+
+    objects = _grid(spark)
+    queries = rects.sampled_queries(objects, 7)
+    config = Config(leaf=16, fanout=4, workers=60, shard_cap=2, block=64, launch=40, logical=7, **change)
+    made = run(queries, objects, config)
+    want = {r.qid: r.cnt for r in joins.counts_nested(queries, objects).collect() if r.cnt or config.dense}
+    assert {r.qid: r.cnt for r in made.counts.collect()} == want
+    if config.check:
+        assert made.check.first()[1:] == (0, 0)
+    summary = made.summary.first()
+    assert summary.overlaps == sum(want.values()) and (summary.slots == 60) == config.replicate
+    batches = made.batches.collect()
+    assert sum(r.queries for r in batches) == 100 and sum(r.overlaps for r in batches) == summary.overlaps and len(batches) == 3
+    write_log(spark, str(tmp_path / "log"), made, data="grid", seconds=1.5)
+    assert spark.read.parquet(str(tmp_path / "log/workers")).count() == summary.slots
+    assert spark.read.json(str(tmp_path / "log/records")).first().data == "grid"
+
+
+def test_run_of_nothing(spark):
+    from tessella.plans.run import Config, run
+
+    objects, queries = spark.createDataFrame([], RECT), spark.createDataFrame([(0, 0, 0, 1, 1)], QUERY)
+    made = run(queries, objects, Config(workers=4))
+    assert [tuple(r) for r in made.counts.collect()] == [(0, 0)] and made.check.first().mismatches == 0
+    assert run(spark.createDataFrame([], QUERY), _grid(spark, 50), Config(leaf=16, fanout=4, workers=4)).counts.count() == 0
+
+
+def test_settings_by_name():
+    from tessella.plans.run import Config
+
+    assert Config.of({"TESSELLA_WORKERS": "64", "TESSELLA_REPLICATE": "0", "TESSELLA_ROUTE": "range", "OTHER": "x"}) == Config(workers=64, replicate=False, route="range")
+    for bad in ({"TESSELLA_NOTHING": "1"}, {"TESSELLA_WORKERS": "x"}, {"TESSELLA_CHECK": "maybe"}):
+        with pytest.raises(ValueError):
+            Config.of(bad)
+
+
+def test_two_sets_of_unequal_size(spark):
+    slots = spark.createDataFrame([(i,) for i in range(9)], "slot long")
+    got = [tuple(r) for r in placement.two_sets(slots, 3, 7).orderBy("slot").collect()]
+    assert got == [(0, 0, 0), (1, 1, 0), (2, 0, 1), (3, 1, 1), (4, 0, 2), (5, 1, 2), (6, 1, 3), (7, 1, 4), (8, 1, 5)]
+    assert [r.set_no for r in placement.two_sets(slots, 8, 1).orderBy("slot").collect()] == [0, 1] + [0] * 7
+    with pytest.raises(ValueError):
+        placement.two_sets(slots, 4, 4)
+
+
+def test_catalogue_of_a_folder(spark, tmp_path):
+    rects.write_csv(spark.createDataFrame([(0, 0, 2, 2), (5, 5, 6, 6)], "xmin int, ymin int, xmax int, ymax int").coalesce(1), str(tmp_path / "a.csv"))
+    rects.write_csv(spark.createDataFrame([(0, 0, 1, 1)], "xmin int, ymin int, xmax int, ymax int").coalesce(1), str(tmp_path / "a_50.csv"))
+    known = rects.Catalogue.of_folder(str(tmp_path), ["a"], ["50"])
+    assert known.objects(spark, "a").count() == 2 and known.query_set(spark, "a", "50").count() == 1
+    assert known.register(spark) == ["objects_a", "queries_a_50"]
+    assert spark.sql("SELECT count(*) FROM queries_a_50 q JOIN objects_a o ON q.xmin <= o.xmax AND q.xmax >= o.xmin AND q.ymin <= o.ymax AND q.ymax >= o.ymin").first()[0] == 1
+    with pytest.raises(KeyError):
+        known.query_set(spark, "a", "75")
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from tessella.storage import shared_folder
+
+    class Nothing:
+        def isDefined(self):
+            return False
+
+    class Fake:
+        conf = type("C", (), {"get": staticmethod(lambda k, d=None: d)})
+        sparkContext = type("S", (), {"master": "spark://x:7077", "_jsc": type("J", (), {"sc": staticmethod(lambda: type("I", (), {"getCheckpointDir": staticmethod(Nothing)}))})})
+
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        shared_folder(Fake)
+
+
 def test_plans_agree(spark):
     objects = _grid(spark)
     queries = rects.sampled_queries(objects, 7)
@@ -85,7 +195,7 @@ def test_plans_agree(spark):
     for k in range(len(index.levels)):
         assert {r.qid: r.cnt for r in joins.counts_dense(queries, index, from_level=k).collect()} == want
     shards = placement.base_shards(joins.leaves_of_regions(index), 2)
-    table = placement.shard_table(shards, joins.region_hits(queries, joins.regions(index)))
+    table = placement.shard_table(shards, joins.region_hits(queries, index))
     for policy in ("uniform", "query", "data", "combined"):
         slots = placement.slots(placement.replicas(placement.scored(table, policy), 60))
         for how in ("block", "range"):
