@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.storage import drop_stored as drop_staged
+from tessella.storage import shared_folder, stored
+from tessella.storage import sized_join as guarded_join
+
+__all__ = ["ARROW_BYTES", "WORD", "drop_staged", "guarded_join", "held_out", "modest_batches", "shared_folder", "staged", "table", "text_key"]
+
 #: A word: bytes other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: A side is broadcast only if its rows, counted first, take no more than this.
-BROADCAST_BYTES = 8 << 20
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -31,41 +31,9 @@ def modest_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            found = current.get()
-        else:
-            found = "file://" + tempfile.mkdtemp(prefix="tessella-")
-            spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
 def staged(df: DataFrame) -> DataFrame:
-    """df, written as a table in the shared folder and read back: lineage ends here and lost executors cost nothing
-    but the tasks they ran. The folder goes when the driver's JVM ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark._jvm
-    jvm.System.gc()  # Spark deletes the shuffle files of finished work when the driver collects its garbage
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._staged_at = path
-    return back
-
-
-def drop_staged(df: DataFrame | None) -> None:
-    """Removes a staged table that nothing will read again."""
-    path = getattr(df, "_staged_at", None)
-    if path:
-        spark = df.sparkSession
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    """df, written in the shared folder and read back."""
+    return stored(df, "staged")
 
 
 def text_key(col: Column | str) -> Column:
@@ -73,13 +41,6 @@ def text_key(col: Column | str) -> Column:
     return F.unhex(F.md5(F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")).cast("binary")))
 
 
-def guarded_join(big: DataFrame, small: DataFrame, on, how: str = "inner", row_bytes: int = 64) -> DataFrame:
-    """big joined with a staged table: by broadcast if its counted rows fit BROADCAST_BYTES, else by a sort-merge
-    join, whose hot partitions adaptive execution splits."""
-    n = small.count()
-    return big.join(F.broadcast(small) if n * row_bytes <= BROADCAST_BYTES else small.hint("merge"), on, how)
-
-
 def held_out(doc_id: Column | str) -> Column:
     """The fold that no model learns from: crc32 of the id's text modulo 5 is 0."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id.cast("string").cast("binary")), F.lit(5)) == 0

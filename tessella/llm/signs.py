@@ -1,8 +1,10 @@
 """Near duplicates of embeddings by random-hyperplane sign hashing in several tables.
 
 Vectors that are equal form one class. A class's signature is the signs of its vector's products with random
-hyperplanes; each table takes some bits of it as its bucket. Classes that share a bucket in any table and whose whole
-signatures differ in few bits become candidates, and the cosine in double precision decides.
+hyperplanes; each table takes some bits of it as its bucket. Classes that share a bucket in any table and whose
+sketches (at most SKETCH bits of the signature, so a row's width doesn't grow with the number of tables) differ in few
+bits become candidates, and the cosine in double precision decides. Vectors are divided by their largest component
+first, so that no finite vector overflows or vanishes.
 
 The number of bits grows with the logarithm of the number of classes, so that buckets stay small, and the number of
 tables follows from it and from MISS, the chance that a pair at exactly the threshold shares no bucket.
@@ -24,26 +26,32 @@ from tessella.llm.components import components
 COSINE = 0.95
 MISS = 1e-4
 SEED = 11
+#: Bits of the signature that a table's rows carry.
+SKETCH = 256
 
 
 def plan(n: int, cosine: float = COSINE, miss: float = MISS) -> tuple[int, int, int]:
-    """(bits of a bucket, tables, most differing bits of a candidate's signature) for n classes."""
+    """(bits of a bucket, tables, most differing bits of a candidate's sketch) for n classes."""
     same = 1 - math.acos(cosine) / math.pi
-    bits = min(24, max(8, math.ceil(math.log2(max(2, n))) - 4))
+    bits = max(8, math.ceil(math.log2(max(2, n))) - 4)
     tables = math.ceil(math.log(miss) / math.log(1 - same**bits))
-    whole = bits * tables
+    whole = min(SKETCH, bits * tables)
     return bits, tables, math.ceil(whole * (1 - same) + 6 * math.sqrt(whole * same * (1 - same)))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
+    """Rows of a list column, each divided by its largest component."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)
+    rows = flat.reshape(len(column), -1)
+    most = np.abs(rows).max(axis=1, keepdims=True, initial=0.0)
+    # a largest component near the least double has no finite inverse, but a quotient
+    return rows / np.where(most > 0, most, 1.0)
 
 
 def _valid(embedding: str) -> Column:
-    """Not null, not zero, and all components finite: null, NaN or infinite ones would show in the sum of squares."""
-    squares = F.aggregate(embedding, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    return F.coalesce(squares.isNotNull() & ~F.isnan(squares) & (squares > 0) & (squares < F.lit(float("inf"))), F.lit(False))
+    """Not null, not empty or zero, and all components finite."""
+    finite = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
+    return F.coalesce(finite & F.exists(embedding, lambda x: x.cast("double") != 0.0), F.lit(False))
 
 
 def classes_of(vectors: DataFrame, vec_id: str, embedding: str) -> tuple[DataFrame, DataFrame]:
@@ -57,7 +65,8 @@ def classes_of(vectors: DataFrame, vec_id: str, embedding: str) -> tuple[DataFra
 def pairs(classes: DataFrame, cosine: float = COSINE, miss: float = MISS, seed: int = SEED) -> DataFrame:
     """(a, b) of classes (cid, v, dim), a < b, whose cosine is at least the threshold."""
     bits, tables, most = plan(classes.count(), cosine, miss)
-    longs = -(-bits * tables // 64)
+    sketch = min(SKETCH, bits * tables)
+    longs = -(-sketch // 64)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -69,7 +78,7 @@ def pairs(classes: DataFrame, cosine: float = COSINE, miss: float = MISS, seed:
                     planes[dim] = np.random.default_rng([seed, int(dim)]).standard_normal((int(dim), bits * tables))
                 on = _matrix(part.column("v")) @ planes[dim] > 0
                 packed = np.zeros((len(on), longs * 64), bool)
-                packed[:, : on.shape[1]] = on
+                packed[:, :sketch] = on[:, :sketch]
                 words = np.packbits(packed, axis=1, bitorder="little").view("<i8")
                 buckets = on.reshape(len(on), tables, bits) @ (1 << np.arange(bits))
                 yield pa.RecordBatch.from_arrays(
@@ -105,7 +114,9 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     Vectors that are null, empty, zero or hold null or non-finite components have no links and are their own
     component; so have vectors of other dimensions than the rest among themselves. Rows that repeat a vector count as
     linked with each other, also under one id. A null id comes back as null, and its component_id is the smallest id
-    that it reaches. An empty table gives no rows.
+    that it reaches; component_id has the type of the ids. An empty table gives no rows. Only vec_id and embedding are
+    read, so further columns, whatever their names, change nothing. A very long vector costs its length times the number
+    of planes, which are held for each dimension that a task meets.
     """
     keyed, classes = classes_of(modest_batches(vectors), vec_id, embedding)
     links = staged(pairs(classes, cosine))
@@ -118,7 +129,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     full = named.join(least.hint("merge"), "root").join(degree.hint("merge"), "cid", "left")
     full = staged(full.select("k1", "k2", (F.col("m") - 1 + F.coalesce("deg", F.lit(0))).alias("n_links"), "component_id"))
     linked = keyed.join(full.hint("merge"), ["k1", "k2"]).select("vec_id", "n_links", "component_id")
-    alone = vectors.filter(~_valid(embedding)).select(F.col(vec_id).alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col(vec_id).cast("long").alias("component_id"))
+    alone = vectors.filter(~_valid(embedding)).select(F.col(vec_id).alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col(vec_id).alias("component_id"))
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 

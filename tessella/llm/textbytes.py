@@ -61,7 +61,8 @@ def release() -> None:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Rows with their texts as UTF-8 (null: empty), about limit bytes of text at a time."""
+    """Rows with their texts as UTF-8 (null: empty), about limit bytes of text at a time. At the end, memory that the
+    task no longer uses goes back to the system."""
     for batch in batches:
         texts = [t or b"" for t in batch.column(column).cast(pa.large_binary()).to_pylist()]
         at = 0
@@ -72,6 +73,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
                 end += 1
             yield batch.slice(at, end - at), texts[at:end]
             at = end
+    batch = texts = None
+    release()
 
 
 def _hash_words(data: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

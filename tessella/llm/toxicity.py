@@ -137,7 +137,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     """A model from documents (doc_id, text) and labels (doc_id, label).
 
     Only rows outside the held-out fold are learnt from. Labels that are null are no labels; repeated ones count once.
-    The prior is the share of positives among the labelled rows outside the fold, between 0.01 and 0.5.
+    Of documents that repeat an id the one with the least list of features counts, so that what reaches the driver is
+    bounded. The prior is the share of positives among the labelled rows outside the fold, between 0.01 and 0.5.
     """
     modest_batches(docs)
     own = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -152,9 +153,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
         for rows, parts in tb.slices(batches):
             found, counts = features(parts)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(found.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([rows.column("p"), lists], names=["p", "f"])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("p"), lists], names=["doc_id", "p", "f"])
 
-    sample = staged(positive.union(unlabelled).select("p", "text").mapInArrow(extract, "p int, f array<long>"))
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    given = positive.union(unlabelled).select("doc_id", "p", "text").mapInArrow(extract, f"doc_id {id_type}, p int, f array<long>")
+    sample = staged(given.groupBy("doc_id", "p").agg(F.min("f").alias("f")).select("p", "f"))
     sizes = {r["p"]: r["n"] for r in sample.groupBy("p").agg(F.count("*").alias("n")).collect()}
     n_p, n_u = sizes.get(1, 0), sizes.get(0, 0)
     counted = sample.select("p", F.explode("f").alias("k")).groupBy("k").agg(F.sum("p").alias("a"), F.sum(1 - F.col("p")).alias("b")).filter(F.col("a") >= MIN_POSITIVE)
@@ -185,7 +188,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
     """docs with a score between 0 and 1, from the whole text alone. Null and empty texts get the bias's score; rows
-    are independent, so ties and repeated rows get equal scores; a column named into is replaced."""
+    are independent, so ties and repeated rows get equal scores; a column named into is replaced. A very long text is
+    read in parts, of which the features' hashes are held. An empty table gives no rows."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     kept = modest_batches(docs).drop(into)

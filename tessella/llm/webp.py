@@ -5,8 +5,13 @@ distance codes and the colour cache, and inverts the predictor, cross-colour, su
 Pixels are rows of (red, green, blue, alpha) bytes.
 
 Prefix codes are decoded for all bit positions of a run at once: tables give, for each position, the symbol that would
-start there and where the next one would; the real path is then followed through these. That is how an image without
-back-references and cache is read; others are read symbol by symbol.
+start there and where the next one would; the real path is then followed through these. Copied pixels and those from
+the cache then point to the pixels that they repeat, and the pointers are shortened by doubling until all end at
+literals. Images with several groups of codes are read symbol by symbol.
+
+The encoder looks for pixels in fours that came before. Where those are a share of the image, it writes back-references
+and a colour cache, after a palette if there are few colours, or else after the one of subtract-green, cross-colour,
+the left or the upper predictor (or none) whose literals have least entropy. Other images are literals alone.
 """
 
 from __future__ import annotations
@@ -155,6 +160,8 @@ def _read_image(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
     codes = [[code_table(_read_lengths(bits, n)) for n in sizes] for _ in range(groups)]
     if groups == 1 and not cache_width and not codes[0][0][1].max() >= LITERALS:
         return _read_literals(bits, width * height, codes[0])
+    if groups == 1:
+        return _read_tokens(bits, width * height, codes[0], width, cache_width)
     return _read_symbols(bits, width, height, codes, which, block, cache_width)
 
 
@@ -227,6 +234,129 @@ def _read_literals(bits: Bits, n: int, codes: list) -> np.ndarray:
     return out
 
 
+#: Extra bits of a length or distance symbol, and the least value of one.
+_EXTRA = np.array([0 if s < 4 else (s - 2) >> 1 for s in range(DISTANCE_SYMBOLS)], np.intp)
+_LEAST = np.array([s + 1 if s < 4 else ((2 + (s & 1)) << ((s - 2) >> 1)) + 1 for s in range(DISTANCE_SYMBOLS)], np.int64)
+_LEAP_X, _LEAP_Y = (np.array([d[k] for d in DISTANCES], np.int64) for k in (0, 1))
+
+
+def _bits_at(data: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """n (up to 24) bits from each bit position; data has 4 bytes to spare."""
+    byte = at >> 3
+    four = data[byte] | data[byte + 1] << 8 | data[byte + 2] << 16 | data[byte + 3] << 24
+    return (four >> (at & 7)) & ((1 << n) - 1)
+
+
+def _read_tokens(bits: Bits, n: int, codes: list, width: int, cache_width: int) -> np.ndarray:
+    """n colours of one group of codes with back-references and cache."""
+    masks = [(1 << c[0]) - 1 for c in codes]
+    (g_symbols, g_used), (r_symbols, r_used), (b_symbols, b_used), (a_symbols, a_used), (d_symbols, d_used) = ((c[1], c[2]) for c in codes)
+    first_cache = LITERALS + LENGTHS
+    greens, colours, sizes, leaps, have = [], [], [], [], 0
+    while have < n:
+        first = bits.at >> 3
+        data = np.frombuffer(bits.data, np.uint8)[first : first + (_RUN >> 3) + 16]
+        whole = first + len(data) >= len(bits.data)
+        data = np.concatenate([data, np.zeros(32, np.uint8)]).astype(np.intp)
+        spots = (len(data) - 24) * 8
+        windows = ((data[:-2] | data[1:-1] << 8 | data[2:] << 16)[:, None] >> np.arange(8)[None, :]).ravel() & 0x7FFF
+        last = spots + 160
+
+        def after(place: np.ndarray, used: np.ndarray, mask: int) -> np.ndarray:
+            return np.minimum(place + used[windows[place] & mask], last) if mask else place
+
+        here = np.arange(spots + 161)
+        green = g_symbols[windows[here] & masks[0]]
+        one = after(here, g_used, masks[0])
+        follows = one.copy()
+        kind = green < LITERALS
+        place = one[kind]
+        for used, mask in ((r_used, masks[1]), (b_used, masks[2]), (a_used, masks[3])):
+            place = after(place, used, mask)
+        follows[kind] = place
+        kind = ~kind & (green < first_cache)
+        place = np.minimum(one[kind] + _EXTRA[green[kind] - LITERALS], last)
+        follows[kind] = np.minimum(after(place, d_used, masks[4]) + _EXTRA[d_symbols[windows[place] & masks[4]]], last)
+        end = spots if whole else spots - 160  # tokens near the end of what was looked at are read again with the next run
+        jump, at, starts, room = memoryview(follows), bits.at & 7, [], n - have
+        stuck = len(bits.data) * 8 + 1
+        while at < end and len(starts) < room:
+            starts.append(at)
+            step = jump[at]
+            if step == at and len(starts) > stuck:
+                break
+            at = step
+        if not starts:
+            raise ValueError("the image ends early")
+        path = np.array(starts, np.intp)
+        green = g_symbols[windows[path] & masks[0]]
+        size, leap, colour = np.ones(len(path), np.int64), np.zeros(len(path), np.int64), np.zeros(len(path), np.uint32)
+        lit = green < LITERALS
+        place = one[path[lit]]
+        value = green[lit].astype(np.uint32) << np.uint32(8)
+        for symbols, used, mask, shift in ((r_symbols, r_used, masks[1], 16), (b_symbols, b_used, masks[2], 0), (a_symbols, a_used, masks[3], 24)):
+            value |= symbols[windows[place] & mask].astype(np.uint32) << np.uint32(shift)
+            place = after(place, used, mask)
+        colour[lit] = value
+        back = ~lit & (green < first_cache)
+        if back.any():
+            place, symbol = one[path[back]], green[back] - LITERALS
+            size[back] = _LEAST[symbol] + _bits_at(data, place, _EXTRA[symbol])
+            place = place + _EXTRA[symbol]
+            symbol = d_symbols[windows[place] & masks[4]]
+            place = after(place, d_used, masks[4])
+            code = _LEAST[symbol] + _bits_at(data, place, _EXTRA[symbol])
+            near = np.minimum(code, len(DISTANCES)) - 1
+            leap[back] = np.where(code > len(DISTANCES), code - len(DISTANCES), np.maximum(1, _LEAP_X[near] + _LEAP_Y[near] * width))
+        upto = np.cumsum(size)
+        keep = int(np.searchsorted(upto, room)) + 1  # the token that reaches the end is the last
+        if keep < len(path):
+            path, green, size, leap, colour = path[:keep], green[:keep], size[:keep], leap[:keep], colour[:keep]
+        have += int(size.sum())
+        bits.at = (first << 3) + int(follows[path[-1]])
+        if bits.at > 8 * len(bits.data):
+            raise ValueError("the image ends early")
+        for whole_list, part in ((greens, green), (colours, colour), (sizes, size), (leaps, leap)):
+            whole_list.append(part)
+    if have > n:
+        raise ValueError("a back-reference that leaves the image")
+    return _resolved(n, *(np.concatenate(x) for x in (greens, colours, sizes, leaps)), cache_width)
+
+
+def _resolved(n: int, green: np.ndarray, colour: np.ndarray, size: np.ndarray, leap: np.ndarray, cache_width: int) -> np.ndarray:
+    """The colours of n pixels from tokens: literals, copies (size, leap) and cache symbols."""
+    out = np.repeat(colour, size)
+    source = np.arange(n + 1)  # the last one is the empty cache's colour
+    copied = np.repeat(leap, size)
+    source[:n] -= copied
+    if (source < 0).any():
+        raise ValueError("a back-reference that leaves the image")
+    first_cache = LITERALS + LENGTHS
+    while True:  # copies of copies
+        further = source[source]
+        if (further == source).all():
+            break
+        source = further
+    if cache_width:
+        token = np.repeat(green, size)
+        cached = (token >= first_cache) & (copied == 0)
+        slot = ((out * np.uint32(CACHE_MULTIPLIER)) >> np.uint32(32 - cache_width)).astype(np.int64)
+        slot = np.where(cached, token - first_cache, slot)[source[:n]]
+        order = np.argsort(slot, kind="stable")
+        before = np.full(n, n)
+        same = slot[order[1:]] == slot[order[:-1]]
+        before[order[1:][same]] = order[:-1][same]
+        source[:n] = np.where(cached, before, source[:n])
+        while True:
+            further = source[source]
+            if (further == source).all():
+                break
+            source = further
+    elif (green >= first_cache).any():
+        raise ValueError("a cache symbol without a cache")
+    return np.append(out, np.uint32(0))[source[:n]]
+
+
 def _read_symbols(bits: Bits, width: int, height: int, codes: list, which: np.ndarray | None, block: int, cache_width: int) -> np.ndarray:
     n = width * height
     out, at = [0] * n, 0
@@ -328,12 +458,33 @@ def _predicted(image: np.ndarray, x: int, y: int, mode: int, width: int) -> np.n
     return _mode(mode, image[y, x - 1], image[y - 1, x], right, image[y - 1, x - 1])
 
 
+#: Modes whose prediction has nothing of the left neighbour.
+_FROM_ABOVE = (0, 2, 3, 4, 8, 9)
+
+
 def undo_predictor(colours: np.ndarray, modes: np.ndarray, width: int, height: int, block: int) -> np.ndarray:
+    """Row by row, and in a row by runs of one mode: those that need only the row above, and the left neighbour's as a
+    running sum, are undone together; others pixel by pixel."""
     image = _bytes_of(colours).reshape(height, width, 4).astype(np.int64)
     mode = _predictors(modes, width, height, block)
-    for y in range(height):
-        for x in range(width):
-            image[y, x] = (image[y, x] + _predicted(image, x, y, int(mode[y, x]), width)) & 255
+    image[0, 0] = (image[0, 0] + np.array([0, 0, 0, 255])) & 255
+    image[0] = np.cumsum(image[0], axis=0) & 255
+    edges = [0, *range(1 << block, width, 1 << block), width]
+    for y in range(1, height):
+        row, above = image[y], image[y - 1]
+        row[0] = (row[0] + above[0]) & 255
+        for begin, end in zip(edges, edges[1:], strict=False):
+            m, x = int(mode[y, begin]), max(begin, 1)
+            if x >= end:
+                continue
+            if m == 1:
+                row[x:end] = (row[x - 1] + np.cumsum(row[x:end], axis=0)) & 255
+            elif m in _FROM_ABOVE:
+                right = above[x + 1 : end + 1] if end < width else np.concatenate([above[x + 1 :], row[:1]])
+                row[x:end] = (row[x:end] + _mode(m, above[x:end], above[x:end], right, above[x - 1 : end - 1])) & 255
+            else:
+                for i in range(x, end):
+                    row[i] = (row[i] + _predicted(image, i, y, m, width)) & 255
     return np.ascontiguousarray(image.astype(np.uint8)).view("<u4").ravel()
 
 
@@ -492,6 +643,7 @@ class Writer:
 
     def __init__(self) -> None:
         self.value, self.size = 0, 0
+        self.total = 0  # bits with those that _put_literals added
 
     def put(self, value: int, n: int) -> None:
         self.value |= value << self.size
@@ -557,28 +709,205 @@ def _put_literals(out: Writer, colours: np.ndarray, one_code: bool, top: bool) -
     for k, lengths in enumerate(own):
         if sum(map(bool, lengths)) > 1:
             words[k], sizes[k] = code_words(lengths) if k in (0, 3) or not one_code else words[0], lengths
-    w, n = words[np.arange(4), planes].ravel(), sizes[np.arange(4), planes].ravel()
-    w, n = w[n > 0], n[n > 0]
-    n = n.astype(np.int32)
+    n = sizes[np.arange(4), planes].ravel()
+    out.total = out.size + int(n.sum())
+    return _bytes_with(out, words[np.arange(4), planes].ravel(), n)
+
+
+#: Pixels of a group that the encoder looks for, and the share of them that must repeat for more than literals.
+_FOUR, _REPEATED = 4, 0.125
+_LONGEST = 4096
+CACHE_BITS = 5
+
+
+def repeats(colours: np.ndarray) -> np.ndarray:
+    """For each pixel the place before at which the same four pixels stand last, or -1."""
+    n = len(colours) - _FOUR + 1
+    if n < 2:
+        return np.zeros(0, np.int64)
+    key = np.zeros(n, np.uint64)
+    for k in range(_FOUR):
+        key = (key ^ colours[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    order = np.argsort(key, kind="stable")
+    before = np.full(n, -1)
+    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    before[order[same + 1]] = order[same]
+    return before
+
+
+def _tokens(colours: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, length, distance) of the tokens: copies where four pixels or more came before, else single pixels."""
+    n = len(colours)
+    places, lengths, distances, at = [], [], [], 0
+    for i in np.flatnonzero(before >= 0).tolist():
+        if i < at:
+            continue
+        p, most = int(before[i]), min(_LONGEST, n - i)
+        length = 0
+        while length < most:  # the match, in growing steps
+            step = min(most - length, max(16, length))
+            differ = np.flatnonzero(colours[i + length : i + length + step] != colours[p + length : p + length + step])
+            length += int(differ[0]) if len(differ) else step
+            if len(differ):
+                break
+        if length < _FOUR:  # another four with the same key
+            continue
+        places.append(i)
+        lengths.append(length)
+        distances.append(i - p)
+        at = i + length
+    copy = np.array(places, np.int64)
+    size = np.array(lengths, np.int64)
+    inside = np.zeros(n + 1, np.int64)
+    np.add.at(inside, copy, 1)
+    np.add.at(inside, copy + size, -1)
+    single = np.flatnonzero(np.cumsum(inside[:n]) == 0)
+    place = np.concatenate([single, copy])
+    length = np.concatenate([np.ones(len(single), np.int64), size])
+    distance = np.concatenate([np.zeros(len(single), np.int64), np.array(distances, np.int64)])
+    order = np.argsort(place)
+    return place[order], length[order], distance[order]
+
+
+def _symbols(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix symbols, extra bits and their number of lengths or distance codes."""
+    symbol = np.searchsorted(_LEAST, values, side="right") - 1
+    return symbol, values - _LEAST[symbol], _EXTRA[symbol]
+
+
+def _put_tokens(out: Writer, colours: np.ndarray, width: int, before: np.ndarray, cache_bits: int, top: bool = True) -> bytes:
+    """The rest of the stream: codes, and the colours as literals, back-references and cache symbols."""
+    place, length, distance = _tokens(colours, before)
+    out.put(1, 1)
+    out.put(cache_bits, 4)
+    if top:
+        out.put(0, 1)  # one group of codes
+    slot = ((colours * np.uint32(CACHE_MULTIPLIER)) >> np.uint32(32 - cache_bits)).astype(np.int64)
+    order = np.argsort(slot, kind="stable")
+    hit = np.zeros(len(colours), bool)
+    hit[order[1:]] = (slot[order[1:]] == slot[order[:-1]]) & (colours[order[1:]] == colours[order[:-1]])
+    copy, cached = distance > 0, hit[place] & (distance == 0)
+    literal = ~copy & ~cached
+    planes = _bytes_of(colours)[place][:, [1, 2, 0, 3]].astype(np.int64)
+    short = {dx + dy * width: k + 1 for k, (dx, dy) in reversed(list(enumerate(DISTANCES))) if dx + dy * width > 0}
+    far = np.array([short.get(d, d + len(DISTANCES)) for d in distance[copy].tolist()], np.int64)
+    l_symbol, l_extra, l_bits = _symbols(length[copy])
+    d_symbol, d_extra, d_bits = _symbols(far)
+    symbols = np.zeros((len(place), 4), np.int64)  # of green, red or none, blue or distance, alpha
+    symbols[literal] = planes[literal]
+    symbols[copy, 0], symbols[copy, 2] = LITERALS + l_symbol, d_symbol
+    symbols[cached, 0] = LITERALS + LENGTHS + slot[place[cached]]
+    counts = [np.bincount(symbols[:, 0], minlength=LITERALS + LENGTHS + (1 << cache_bits))]
+    counts += [np.bincount(symbols[literal, k], minlength=256) for k in (1, 2, 3)]
+    counts.append(np.bincount(d_symbol, minlength=DISTANCE_SYMBOLS))
+    words, sizes = np.zeros((5, len(counts[0])), np.int64), np.zeros((5, len(counts[0])), np.int64)
+    for k, count in enumerate(counts):
+        lengths = code_lengths(count)
+        _put_lengths(out, lengths)
+        if sum(map(bool, lengths)) > 1:
+            words[k, : len(lengths)], sizes[k, : len(lengths)] = code_words(lengths), lengths
+    value, n = np.zeros((len(place), 4), np.int64), np.zeros((len(place), 4), np.int64)
+    value[:, 0], n[:, 0] = words[0, symbols[:, 0]], sizes[0, symbols[:, 0]]
+    for k in (1, 2, 3):
+        value[literal, k], n[literal, k] = words[k, symbols[literal, k]], sizes[k, symbols[literal, k]]
+    value[copy, 1], n[copy, 1] = l_extra, l_bits
+    value[copy, 2], n[copy, 2] = words[4, d_symbol], sizes[4, d_symbol]
+    value[copy, 3], n[copy, 3] = d_extra, d_bits
+    return _bytes_with(out, value.ravel(), n.ravel())
+
+
+def _bytes_with(out: Writer, value: np.ndarray, n: np.ndarray) -> bytes:
+    """What was written and values of n bits each."""
+    value, n = value[n > 0], n[n > 0].astype(np.int32)
     inside = np.arange(n.sum(), dtype=np.int32) - np.repeat(np.cumsum(n, dtype=np.int32) - n, n)
-    body = ((np.repeat(w.astype(np.int32), n) >> inside) & 1).astype(np.uint8)
+    body = ((np.repeat(value.astype(np.int32), n) >> inside) & 1).astype(np.uint8)
     head = np.unpackbits(np.frombuffer(out.value.to_bytes((out.size + 7) // 8, "little"), np.uint8), bitorder="little")[: out.size]
     return np.packbits(np.concatenate([head, body]), bitorder="little").tobytes()
 
 
+def _put_image(out: Writer, colours: np.ndarray) -> None:
+    """An image of a transform as literals, into what is written."""
+    inner = Writer()
+    body = int.from_bytes(_put_literals(inner, colours, False, False), "little")
+    out.put(body, inner.total)
+
+
+def _entropy(colours: np.ndarray) -> float:
+    """Bits that the colours take as literals, about."""
+    bits = 0.0
+    for plane in _bytes_of(colours).T:
+        count = np.bincount(plane)
+        count = count[count > 0]
+        bits += float((count * np.log2(len(plane) / count)).sum()) + 4 * len(count)
+    return bits
+
+
+def _put_rich(out: Writer, colours: np.ndarray, width: int, height: int, before: np.ndarray) -> bytes:
+    """Transforms that pay, then tokens."""
+    palette, index = np.unique(colours, return_inverse=True)
+    if len(palette) <= 256 and 3 * len(palette) <= len(colours):
+        pack = packing(len(palette))
+        across = (width + (1 << pack) - 1) >> pack
+        padded = np.zeros((height, across << pack), np.int64)
+        padded[:, :width] = index.reshape(height, width)
+        packed = sum(padded[:, i :: 1 << pack] << (i * (8 >> pack)) for i in range(1 << pack)) << 8
+        out.put(1, 1)
+        out.put(PALETTE, 2)
+        out.put(len(palette) - 1, 8)
+        entries = _bytes_of(palette)
+        _put_image(out, np.ascontiguousarray(np.diff(entries, axis=0, prepend=np.zeros((1, 4), np.uint8))).view("<u4").ravel())
+        out.put(0, 1)
+        index_image = packed.ravel().astype(np.uint32) | np.uint32(0xFF000000)
+        return _put_tokens(out, index_image, across, repeats(index_image), CACHE_BITS)
+    block, planes = 9, _bytes_of(colours).reshape(height, width, 4)
+    blocks = (height + (1 << block) - 1) >> block
+    left, up = planes.copy(), planes.copy()
+    for moved in (left, up):  # the first row goes by the left, the first column by the row above, whatever the mode
+        moved[0, 1:] -= planes[0, :-1]
+        moved[0, 0, 3] -= 255
+        moved[1:, 0] -= planes[:-1, 0]
+    left[1:, 1:] -= planes[1:, :-1]
+    up[1:, 1:] -= planes[:-1, 1:]
+    half = np.full(blocks, 16 | 16 << 8, np.uint32)  # red and blue less half of green
+    best = min(
+        (
+            (_entropy(colours), None, None, colours),
+            (_entropy(green := green_added(colours, -1)), SUBTRACT_GREEN, None, green),
+            (_entropy(cross := cross_colour(colours, half, width, height, block, -1)), CROSS_COLOUR, half, cross),
+            (_entropy(a := np.ascontiguousarray(left).view("<u4").ravel()), PREDICTOR, np.full(blocks, 1 << 8, np.uint32), a),
+            (_entropy(b := np.ascontiguousarray(up).view("<u4").ravel()), PREDICTOR, np.full(blocks, 2 << 8, np.uint32), b),
+        ),
+        key=lambda x: x[0],
+    )
+    _, kind, inside, changed = best
+    if kind is not None:
+        out.put(1, 1)
+        out.put(kind, 2)
+        if inside is not None:
+            out.put(block - 2, 3)
+            _put_image(out, inside)
+    out.put(0, 1)
+    return _put_tokens(out, changed, width, before if kind is None else repeats(changed), CACHE_BITS)
+
+
 def encode(pixels: np.ndarray, one_code: bool = True) -> bytes:
-    """A lossless WebP file of pixels (height, width, 3 or 4): prefix-coded literals without transforms."""
+    """A lossless WebP file of pixels (height, width, 3 or 4)."""
     height, width, channels = pixels.shape
     whole = np.full((height * width, 4), 255, np.uint8)
     whole[:, [2, 1, 0, 3][:channels]] = pixels.reshape(-1, channels)
+    colours = whole.view("<u4").ravel()
     out = Writer()
     out.put(0x2F, 8)
     out.put(width - 1, 14)
     out.put(height - 1, 14)
     out.put(int(channels == 4), 1)
     out.put(0, 3)
+    before = repeats(colours)
+    if np.count_nonzero(before >= 0) > _REPEATED * len(colours):
+        return riff(_put_rich(out, colours, width, height, before))
     out.put(0, 1)  # no transform
-    return riff(_put_literals(out, whole.view("<u4").ravel(), one_code, True))
+    return riff(_put_literals(out, colours, one_code, True))
 
 
 def riff(stream: bytes) -> bytes:

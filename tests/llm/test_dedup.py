@@ -291,11 +291,19 @@ def test_embeddings(spark):
     assert signs.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_very_large_and_small_embeddings(spark):
+    rows = [(1, [1e200, 2e200, 0.0]), (2, [1e200, 2e200, 1e190]), (3, [1e-200, 0.0, 0.0]), (4, [2e-200, 0.0, 0.0]), (5, [5e-324, 0.0, 0.0]), (6, [0.0, 1.7e308, 0.0])]
+    df = spark.createDataFrame([(str(i), v) for i, v in rows], "vec_id string, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in signs.near_duplicates(df).collect()}
+    assert got == {"1": (1, "1"), "2": (1, "1"), "3": (2, "3"), "4": (2, "3"), "5": (2, "3"), "6": (0, "6")}
+
+
 def test_plan_keeps_its_promise():
-    for n in (2, 500, 10**6, 10**9):
+    for n in (2, 500, 10**6, 10**9, 10**12):
         bits, tables, most = signs.plan(n)
         same = 1 - np.arccos(signs.COSINE) / np.pi
-        assert (1 - same**bits) ** tables <= signs.MISS and most < bits * tables
+        assert (1 - same**bits) ** tables <= signs.MISS and most < min(signs.SKETCH, bits * tables)
+        assert n / 2**bits <= 32
 
 
 def test_kept_hash_of_the_query_is_that_of_the_bytes(spark):

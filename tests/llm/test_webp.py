@@ -1,5 +1,6 @@
 """Operator 3: exact round trips through every part of the format."""
 
+import base64
 import hashlib
 
 import numpy as np
@@ -102,6 +103,79 @@ def test_transforms(kind):
     assert (w.decode(_file(out)) == _pixels(want, width, height)).all()
 
 
+def test_a_file_made_elsewhere():
+    """Fixed value: the one-pixel lossless file that browsers are asked to show to find out if they can."""
+    file = base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==")
+    assert w.decode(file).tolist() == [[[0, 0, 0, 0]]]
+
+
+def _kinds(file):
+    """The transforms of a file, and whether it has a colour cache or back-references."""
+    bits, found = w.Bits(w.chunk_of(file)), []
+    bits.at = 8 + 14 + 14 + 1 + 3
+    if bits.read(1):
+        found.append(bits.read(2))
+    return found
+
+
+PLAIN = RNG.integers(0, 256, (30, 64, 3)).astype(np.uint8)
+
+
+def _rolled(image):
+    """The image twice, the second time moved to the side."""
+    return np.concatenate([image, np.roll(image, 17, axis=1)])
+
+
+@pytest.mark.parametrize(
+    ("image", "kind"),
+    [
+        (np.repeat(np.cumsum(RNG.integers(0, 3, (30, 64, 3)), axis=1), 3, axis=0), w.PREDICTOR),
+        (np.tile(np.cumsum(RNG.integers(0, 3, (64, 3)), axis=0), (90, 1, 1)) + np.arange(90)[:, None, None] // 2, w.PREDICTOR),
+        (_rolled(RNG.integers(0, 200, (20, 64, 1)) + RNG.integers(0, 4, (20, 64, 3))), w.SUBTRACT_GREEN),
+        (_rolled(np.concatenate([9 + (g := RNG.integers(0, 126, (20, 64, 1))) // 2, g, 7 + g // 2], axis=2) + RNG.integers(0, 3, (20, 64, 3))), w.CROSS_COLOUR),
+        (np.repeat(PLAIN, 3, axis=0), None),
+        (np.tile(PLAIN[:1, :2], (40, 32, 1)), w.PALETTE),
+        (np.tile(PLAIN[:1, :13], (40, 5, 1))[:, :64], w.PALETTE),
+        (np.tile(PLAIN[:2, :50], (40, 2, 1))[:, :64], w.PALETTE),
+        (PLAIN[:1, :1].repeat(16_383, 0).repeat(64, 1), w.PALETTE),
+    ],
+)
+def test_encoder_transforms(image, kind):
+    image = image.astype(np.uint8)
+    file = w.encode(image)
+    assert (w.decode(file)[..., :3] == image).all() and (w.decode(file)[..., 3] == 255).all()
+    assert len(file) < 0.7 * image.size
+    if kind is not None:
+        assert _kinds(file) == [kind]
+
+
+@pytest.mark.parametrize("kind", ["passages", "lines", "spaces", "long"])
+def test_repeating_payloads(kind, monkeypatch):
+    monkeypatch.setattr(w, "_RUN", 1 << 14)  # tokens of several runs
+    words = [bytes(RNG.choice(list(b"abcdefghij"), RNG.integers(2, 9))) for _ in range(60)]
+    text = b" ".join(RNG.choice(words) for _ in range(4000))
+    payload = {"passages": text[:3000] * 9 + text, "lines": (text[:71] + b"\n") * 300, "spaces": text[:900] + b" " * 30_000, "long": text * 6}[kind]
+    payload = w.payload_of(payload)
+    media = w.store(payload)
+    assert w.load(media) == payload and len(media) < 0.5 * len(payload)
+
+
+def test_predictors_by_rows_equal_those_by_pixels():
+    width, height, block = 37, 19, 2
+    modes = (RNG.integers(0, 14, 10 * 5).astype(np.uint32)) << 8
+    want = _colours(width * height)
+    assert (w.undo_predictor(w.do_predictor(want, modes, width, height, block), modes, width, height, block) == want).all()
+
+
+def test_broken_streams_raise():
+    file = w.store(w.payload_of(b"a line that repeats\n" * 400))
+    for cut in range(30, len(file) - 2, 3):
+        try:
+            w.decode(file[:cut])
+        except (ValueError, IndexError):
+            pass
+
+
 def _put_code(out, lengths):
     w._put_lengths(out, lengths)
     return w.code_words(lengths), lengths
@@ -187,3 +261,7 @@ def test_columns(spark):
     found = w.pixel_arrays(files).collect()
     assert found[0].width == 64 and found[0].error is None
     assert all(r.pixels is None and r.error for r in found[1:])
+    clash = files.limit(1).selectExpr("media", "1 AS width", "'x' AS error", "2 AS pixels", "3 AS other")
+    assert w.pixel_arrays(clash).columns == ["media", "other", "width", "height", "pixels", "error"]
+    assert w.pixel_arrays(files.limit(0)).count() == 0
+    assert w.media_columns(spark.createDataFrame([], "doc_id long, text string")).count() == 0
