@@ -78,7 +78,7 @@ slots AS (SELECT row_number() OVER (ORDER BY shard, r) - 1 AS slot, shard, l1_id
 
 
 class _Case:
-    """The fixture of one sf_dir. What several steps read is stored when it is first asked for."""
+    """The fixture of one sf_dir. What is made by a shuffle and read by several steps is stored when first asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, leaf: int = LEAF, fanout: int = FANOUT, table=fx.line_items, every: int = EVERY):
         self.spark, self.sf_dir, self.table, self.every = spark, sf_dir, table, every
@@ -86,7 +86,7 @@ class _Case:
 
     @functools.cached_property
     def objects(self) -> DataFrame:
-        return stored(self.table(self.spark, self.sf_dir), "objects")
+        return self.table(self.spark, self.sf_dir)
 
     @functools.cached_property
     def queries(self) -> DataFrame:

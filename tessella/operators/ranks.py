@@ -11,6 +11,8 @@ from tessella.storage import stored
 ONE_TASK = 50_000
 #: Ranges at most, so that their counts stay a small table.
 MOST_RANGES = 10_000
+#: Offsets of so many ranges are a literal; more are joined.
+FEW_RANGES = 64
 _AT = "range_at"  # the range's number in the upper bits, the row's number there in the lower 33
 
 
@@ -36,8 +38,19 @@ def global_row_number(df: DataFrame, order: list[str], name: str, rows: int | No
     if n <= ONE_TASK:
         return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
     dealt = _dealt(df, order, n)
+    counts = dealt.groupBy(_range().alias("range_no")).count()
+    if n <= FEW_RANGES * ONE_TASK:  # a short list, as a literal
+        own = dict(counts.collect())
+        before, upto = [], 0
+        for k in range(max(own, default=-1) + 1):
+            before.append(upto)
+            upto += own.get(k, 0)
+        if not before:
+            return df.withColumn(name, F.lit(0).cast("long"))
+        offset = F.get(F.array(*[F.lit(b).cast("long") for b in before]), _range().cast("int"))
+        return dealt.withColumn(name, offset + _inside()).drop(_AT)
     upto = Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = dealt.groupBy(_range().alias("range_no")).count().select("range_no", F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("before"))
+    offsets = counts.select("range_no", F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("before"))
     # offsets has MOST_RANGES rows at most
     return dealt.join(F.broadcast(offsets), _range() == offsets["range_no"]).withColumn(name, (F.col("before") + _inside()).cast("long")).drop("before", "range_no", _AT)
 

@@ -222,7 +222,9 @@ def test_row_numbers_by_ranges_equal_one_window(spark, monkeypatch):
     df = _grid(spark).select("id", "xmin")
     want = {r.id: r.no for r in ranks.global_row_number(df, ["xmin", "id"], "no").collect()}
     monkeypatch.setattr(ranks, "ONE_TASK", 100)
-    assert {r.id: r.no for r in ranks.global_row_number(df, ["xmin", "id"], "no").collect()} == want
+    for few in (64, 2):
+        monkeypatch.setattr(ranks, "FEW_RANGES", few)
+        assert {r.id: r.no for r in ranks.global_row_number(df, ["xmin", "id"], "no").collect()} == want
 
 
 def test_csv_sources(spark, tmp_path):
