@@ -418,3 +418,23 @@ def near_duplicates(
     linked = owned.join(least.hint("merge"), "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "cid", *more)
     alone = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "cid", *[F.lit(0).cast("long").alias(c) for c in more])
     return linked.union(alone)
+
+
+#: The same by SQL, comparing all texts that share a shingle, which DuckDB affords on small tables.
+ORACLE = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+sets AS MATERIALIZED (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                               ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM worded
+),
+tokens AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
+links AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM tokens a JOIN tokens b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+),
+reach(id, other) AS (SELECT doc_id, doc_id FROM sets UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.other),
+least AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM sets JOIN least ON id = doc_id
+"""

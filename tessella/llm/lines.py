@@ -72,11 +72,11 @@ def remove_boilerplate(docs: DataFrame, text: str = "text", site: str = "source"
     return out.withColumn(text, F.when(F.col("ld_bad").isNull(), F.col(text)).otherwise(F.array_join("ld_left", "\n"))).select(*kept.columns, "n_lines", "n_removed")
 
 
-#: The same by SQL, from ld_docs to ld_kept.
+#: The same by SQL for lines of every length, from ld_docs to ld_kept.
 ORACLE_CTES = """
 ld_bad AS (
   SELECT line FROM (SELECT source, unnest(string_split(text, chr(10))) AS line FROM ld_docs)
-  WHERE length(line) >= 10 AND length(trim(line, ' ')) > 0
+  WHERE length(trim(line, ' ')) > 0
   GROUP BY line HAVING count(DISTINCT coalesce('s' || source, '')) >= 8
 ),
 ld_list AS (SELECT coalesce(list(line), []) AS bad FROM ld_bad),

@@ -87,6 +87,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_quote_threads": _quotes.BODY_ORACLE,
     "op4_line_spread": "WITH ld_docs AS (SELECT doc_id, text, source FROM documents), " + _lines.ORACLE_CTES + "SELECT doc_id, n_lines, n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM ld_kept",
+    "op5_shingle_jaccard": _jaccard.ORACLE,
     "op7_sign_hashing": _signs.ORACLE,
     "op10_source_mix": "WITH mx_docs AS (SELECT * FROM documents), " + _mix.MIX_CTES + "SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken FROM mx_mixed",
 }

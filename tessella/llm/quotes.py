@@ -52,7 +52,8 @@ def linked(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     A quoted line is linked if it, or the passage it stands in, is found in an earlier message of the conversation.
     Quotes that are found nowhere stay in the body, as they may be citations. Rows without a conversation or turn, with
     a null text, or that repeat a turn are kept; the first two have no links, the last share theirs. An empty table
-    gives no rows; other columns are dropped.
+    gives no rows; other columns are dropped. The lines of one text are an array of its row, so a very long text costs
+    a few times its own length.
     """
     base = messages.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
     rows = parsed(base)

@@ -276,8 +276,10 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     wanted = distinct.select(F.col("at.t").alias("t"), F.struct(F.col("at.start").alias("start"), F.col("at.size").alias("size"), "a", "ph", "known").alias("p"))
     wanted = wanted.groupBy("t").agg(F.collect_list("p").alias("ps")).join(texts_at.hint("merge"), "t")
     wanted = staged(wanted)
+    n_texts, n_pieces = wanted.agg(F.count("*"), F.sum(F.size("ps"))).first()
+    width = 64 + -(-48 * (n_pieces or 0) // max(1, n_texts))  # bytes of a row, by its pieces
     sources = rows.select("doc_id", F.col("t").alias("t2"), "text")
-    joined = guarded_join(sources, wanted.select(F.col("t").alias("t2"), "own_id", "ps"), "t2", row_bytes=4096).filter(F.col("doc_id").eqNullSafe(F.col("own_id")))
+    joined = guarded_join(sources, wanted.select(F.col("t").alias("t2"), "own_id", "ps"), "t2", row_bytes=width).filter(F.col("doc_id").eqNullSafe(F.col("own_id")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -334,7 +336,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept (binary: the remaining bytes, joined).
 
     A null text counts as empty; it and texts shorter than length keep all. Rows that repeat a text, also under one id,
-    count as other places, so such texts lose all that a window covers. An empty table gives no rows.
+    count as other places, so such texts lose all that a window covers. An empty table gives no rows. A very long text
+    is hashed in parts that share length - 1 bytes. Only doc_id and text are read, so further columns change nothing.
     """
     spans = staged(repeated_spans(docs, doc_id, text, length, gram, family_bytes, anchor_bytes))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), text_key(text).alias("t"))

@@ -954,8 +954,9 @@ def feature(payload: bytes) -> str:
 def media_columns(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, media.
 
-    A null text counts as empty, whose payload is ROW spaces. Rows are independent, so equal texts get equal values. An
-    empty table gives no rows.
+    A null text counts as empty, whose payload is ROW spaces. Rows are independent, so equal texts get equal values and
+    ties or repeated ids change nothing. A very long text is several images of MAX_ROWS rows, one after the other. An
+    empty table gives no rows. Only doc_id and text are read, so further columns change nothing.
     """
     import zlib
 

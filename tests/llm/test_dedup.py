@@ -240,6 +240,15 @@ def test_repeats(spark, anchor_bytes):
     assert suffixes.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_repeats_in_a_very_long_text(spark):
+    rng = random.Random(12)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(400))
+    long = "".join(rng.choice("ijklmnop ") for _ in range(4_500_000)) + passage + "".join(rng.choice("qrstuvwx ") for _ in range(4_500_000)) + passage[100:]
+    df = spark.createDataFrame([(1, long), (2, "x" + passage[:250])], "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffixes.remove_repeats(df).collect()}
+    assert got == {1: (9_000_700, 700, 2), 2: (251, 250, 1)}
+
+
 def test_family_of_suffix_arrays(monkeypatch):
     monkeypatch.setattr(suffixes, "BLOCK", 50)
     rng = random.Random(2)

@@ -40,7 +40,9 @@ def test_toxicity_on_the_held_out_fold(spark, data):
     model = toxicity.fit(docs, labels)
     score, y = _held_out(toxicity.score(docs, model), labels, "toxic")
     assert (score[y == 1] >= 0.5).mean() > 0.8 and (score[y == 0] >= 0.5).mean() < 0.05
-    rows = toxicity.score(spark.createDataFrame(ODD, "doc_id long, text string"), model).collect()
+    odd = spark.createDataFrame(ODD, "doc_id long, text string").withColumn("score", F.lit("clash"))
+    assert toxicity.score(odd, model).columns == ["doc_id", "text", "score"] and toxicity.score(odd.limit(0), model).count() == 0
+    rows = toxicity.score(odd, model).collect()
     assert len(rows) == len(ODD) and all(0 <= r.score <= 1 for r in rows)
 
 
@@ -51,6 +53,23 @@ def test_without_labels(spark, data):
     assert len({r.score for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}) == 1
 
 
+def test_rows_that_repeat_an_id_count_once(spark, data):
+    docs, labels = data
+    some = docs.join(labels.select("doc_id"), "doc_id").limit(60)
+    again = some.union(some).union(some.withColumn("text", F.concat(F.lit("other words before "), "text")))
+    models = [quality.fit(d, labels) for d in (again, again.repartition(3))]
+    assert np.array_equal(models[0].weights, models[1].weights) and models[0].threshold == models[1].threshold
+    one, two = (toxicity.fit(d, labels) for d in (again, again.repartition(3)))
+    assert np.array_equal(one.keys, two.keys) and one.bias == pytest.approx(two.bias)
+
+
+def test_a_long_text_has_the_same_features_in_parts(monkeypatch):
+    text = b" ".join(b"Word%d!" % (i % 997) + b"\n" * (i % 7 == 0) for i in range(9000)) + " é the the".encode()
+    whole = quality.features([text])
+    monkeypatch.setattr(quality.tb, "SLICE", 5000)
+    assert np.allclose(quality.features([text]), whole)
+
+
 def test_nnpu_beats_positive_against_unlabelled():
     rng = np.random.default_rng(0)
     positive = [np.array([0, *rng.integers(2, 50, 3)]) for _ in range(200)]
