@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from tessella.functions.geometry import SIDES, bounding, overlaps
 from tessella.operators.index import Index
 
-#: A node level is compared with all queries at once (broadcast) if it has no more nodes than this, about 4 MB.
+#: A level of up to so many nodes, about 4 MB, is broadcast.
 BROADCAST_NODES = 1 << 16
-#: ... and the comparisons are no more than this.
-COMPARISONS = 200_000_000
+#: What one more level costs a query, in comparisons: the children of two nodes, and its way through the join.
+_DOWN = 2000
 
 
 def pairs_nested(queries: DataFrame, objects: DataFrame) -> DataFrame:
@@ -25,39 +25,39 @@ def counts_nested(queries: DataFrame, objects: DataFrame) -> DataFrame:
     return joined.groupBy("q.qid").agg(F.count("o.id").alias("cnt"))
 
 
-def start_level(index: Index, n_queries: int) -> int:
-    """The lowest level that may be compared with all queries at once."""
-    for k, have in enumerate(index.levels):
-        if have <= BROADCAST_NODES and have * max(1, n_queries) <= COMPARISONS:
-            return k
-    return len(index.levels) - 1
+def start_level(index: Index) -> int:
+    """The level that is compared with all queries at once: of those small enough, the one from which a query takes
+    fewest comparisons down to the leaves."""
+    top = len(index.levels) - 1
+    small = [k for k, have in enumerate(index.levels) if have <= BROADCAST_NODES] or [top]
+    return min(small, key=lambda k: index.levels[k] + k * (2 * index.fanout + _DOWN))
 
 
-def candidates(queries: DataFrame, index: Index, to_level: int = 0, n_queries: int | None = None, from_level: int | None = None) -> DataFrame:
+def candidates(queries: DataFrame, index: Index, to_level: int = 0, from_level: int | None = None) -> DataFrame:
     """(qid, sides of the query, node_id, cnt) of the overlapping nodes of a level.
 
     One level is compared with all queries by a broadcast join whose size start_level bounds; from there each level
-    joins its children by node id and drops what doesn't overlap."""
-    n = queries.count() if n_queries is None else n_queries
-    k = max(to_level, start_level(index, n) if from_level is None else min(from_level, len(index.levels) - 1))
+    joins its children by node id and drops what doesn't overlap. Levels of at most BROADCAST_NODES are broadcast."""
+    k = max(to_level, start_level(index) if from_level is None else min(from_level, len(index.levels) - 1))
     top = index.level(k).select("node_id", "cnt", *SIDES)
     found = queries.alias("q").join(F.broadcast(top).alias("n"), overlaps("q", "n")).select("q.qid", *[F.col(f"q.{s}") for s in SIDES], "n.node_id", "n.cnt")
     while k > to_level:
         k -= 1
         child = index.level(k).select(F.col("node_id").alias("child_id"), F.col("parent_id").alias("up"), F.col("cnt").alias("child_cnt"), *SIDES)
+        child = F.broadcast(child) if index.levels[k] <= BROADCAST_NODES else child
         joined = found.alias("q").join(child.alias("n"), (F.col("q.node_id") == F.col("n.up")) & overlaps("q", "n"))
         found = joined.select("q.qid", *[F.col(f"q.{s}") for s in SIDES], F.col("n.child_id").alias("node_id"), F.col("n.child_cnt").alias("cnt"))
     return found
 
 
-def leaf_candidates(queries: DataFrame, index: Index, n_queries: int | None = None, from_level: int | None = None) -> DataFrame:
+def leaf_candidates(queries: DataFrame, index: Index, from_level: int | None = None) -> DataFrame:
     """(qid, sides of the query, leaf_id, leaf_cnt) of overlapping leaves."""
-    return candidates(queries, index, 0, n_queries, from_level).withColumnRenamed("node_id", "leaf_id").withColumnRenamed("cnt", "leaf_cnt")
+    return candidates(queries, index, 0, from_level).withColumnRenamed("node_id", "leaf_id").withColumnRenamed("cnt", "leaf_cnt")
 
 
-def pairs_index(queries: DataFrame, index: Index, n_queries: int | None = None, from_level: int | None = None) -> DataFrame:
+def pairs_index(queries: DataFrame, index: Index, from_level: int | None = None) -> DataFrame:
     """(qid, id) of every overlap: an object is in one leaf, so no pair comes twice."""
-    found = leaf_candidates(queries, index, n_queries, from_level)
+    found = leaf_candidates(queries, index, from_level)
     joined = found.alias("q").join(index.objects.alias("o"), (F.col("q.leaf_id") == F.col("o.leaf_id")) & overlaps("q", "o"))
     return joined.select("q.qid", "o.id")
 

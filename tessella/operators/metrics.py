@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.geometry import SIDES, overlaps
 from tessella.operators.index import Index
-from tessella.operators.joins import candidates, leaf_candidates, start_level
+from tessella.operators.joins import BROADCAST_NODES, candidates, leaf_candidates, start_level
 from tessella.operators.placement import even_split
 from tessella.storage import stored
 
@@ -20,7 +20,7 @@ def work(queries: DataFrame, index: Index, from_level: int | None = None) -> Dat
     these. Small upper levels are compared with all queries in one broadcast join; below, each level joins by node id
     what the one above left, which is stored."""
     n = queries.count()
-    base = start_level(index, n) if from_level is None else min(from_level, len(index.levels) - 1)
+    base = start_level(index) if from_level is None else min(from_level, len(index.levels) - 1)
     cnt, leaf = F.col("cnt"), F.col("is_leaf")
     figures = [F.sum(F.when(leaf, 0).otherwise(cnt)).alias("pushes"), F.count_if(leaf).alias("leaves"), F.sum(F.when(leaf, cnt).otherwise(0)).alias("tests")]
     # levels from base up have about as many nodes as base alone
@@ -28,8 +28,9 @@ def work(queries: DataFrame, index: Index, from_level: int | None = None) -> Dat
     parts = [queries.alias("q").join(F.broadcast(above).alias("n"), overlaps("q", "n")).agg(*figures)]
     at = None
     for k in range(base - 1, -1, -1):
-        up = at if at is not None else candidates(queries, index, base, n, base).drop("cnt")
+        up = at if at is not None else candidates(queries, index, base, base).drop("cnt")
         below = index.level(k).select(F.col("node_id").alias("child_id"), "parent_id", "is_leaf", "cnt", *SIDES)
+        below = F.broadcast(below) if index.levels[k] <= BROADCAST_NODES else below
         joined = up.alias("q").join(below.alias("n"), (F.col("q.node_id") == F.col("n.parent_id")) & overlaps("q", "n"))
         here = joined.select("q.qid", *[F.col(f"q.{s}") for s in SIDES], F.col("n.child_id").alias("node_id"), "n.is_leaf", "n.cnt")
         here = stored(here) if k else here

@@ -98,11 +98,11 @@ def run(queries: DataFrame, objects: DataFrame, config: Config = Config(), index
         return _empty(queries, config)
     leaves, shards = placed(queries, index, config)
     slots = stored(placement.slots(shards))
-    found = joins.leaf_candidates(queries, index, n)
+    found = joins.leaf_candidates(queries, index)
     block = batching.block_size(n, config.block, config.launch)
     partial = stored(batching.routed_counts(found, index.objects, leaves, slots, max(1, n), config.route, block, config.dense_route))
     sparse = stored(joins.merged(partial.select("qid", "cnt")))
-    return _reported(queries, sparse, partial, slots, shards, config, joins.counts_sparse(queries, index, n_queries=n) if config.check else None)
+    return _reported(queries, sparse, partial, slots, shards, config, joins.counts_sparse(queries, index) if config.check else None)
 
 
 def _empty(queries: DataFrame, config: Config) -> Run:
