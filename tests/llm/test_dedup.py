@@ -28,7 +28,11 @@ def roots(nodes, edges):
     return {n: top(n) for n in nodes}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [1 << 18, 0])
+def test_components(spark, monkeypatch, one_task):
+    import tessella.llm.components as cc
+
+    monkeypatch.setattr(cc, "ONE_TASK_EDGES", one_task)
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(100, 140)] + [(500, i) for i in range(400, 440)] + [(rng.randint(1000, 1100), rng.randint(1000, 1100)) for _ in range(60)]
     df = spark.createDataFrame([*edges, (7, 7), (None, 3), edges[0]], "a long, b long")
