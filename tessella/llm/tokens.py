@@ -22,6 +22,8 @@ from __future__ import annotations
 import base64
 import contextlib
 import hashlib
+import threading
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +37,11 @@ from tessella.llm.common import modest_batches
 
 #: Distinct matches given to one recursive query: about 8 rows each, and fewer for every round.
 WORDS_AT_ONCE = 20_000
-#: Bytes of words, pieces and ids (with what Python needs to hold them) remembered by a task; beyond that it starts anew.
-REMEMBER = 64 << 20
+#: Bytes of words, pieces and ids (with what Python needs to hold them) that a worker remembers; beyond that it keeps
+#: those which its present slice has, so frequent ones stay.
+REMEMBER = 96 << 20
+#: Seconds after which a worker that encodes and decodes nothing gives up what it remembers.
+IDLE = 4.0
 _HELD = 180  # bytes of a dictionary's entry besides its texts
 #: Bytes of a match that is contracted in one go.
 SHORT = 32
@@ -110,7 +115,7 @@ class Codec:
         self.words_known: dict[str, bytes] = {}
         self.pieces_known: dict[str, bytes] = {}
         self.decoded_known: dict[bytes, bytes] = {}
-        self.held = 0
+        self.held, self.full, self.used, self.busy = 0, False, 0.0, 0
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB"})
         # all ways to put a token together from two tokens: the rank of a pair is that of what it makes
         pairs, made = [], []
@@ -136,13 +141,14 @@ class Codec:
 
     def close(self) -> None:
         self.db.close()
-        self.forget()
-
-    def forget(self) -> None:
         for known in (self.words_known, self.pieces_known, self.decoded_known):
             known.clear()
         self.held = 0
 
+    def _kept(self, known: dict, asked) -> dict:
+        """What is known of what is asked for."""
+        return {k: known[k] for k in asked if k in known}
+
     def _merged(self, words: list[bytes], query: str) -> list[bytes]:
         """Little-endian ids of what merging leaves of each word."""
         found = [b""] * len(words)
@@ -203,11 +209,15 @@ class Codec:
 
     def learn(self, pieces: list[str]) -> list[bytes]:
         """Little-endian ids of each piece, each match of the pattern encoded separately."""
-        if self.held > REMEMBER:
-            self.forget()
+        full = self.held > REMEMBER
+        if full:
+            self.pieces_known = self._kept(self.pieces_known, pieces)
         new = [p for p in pieces if p not in self.pieces_known]
         split = [self.matches(p) for p in new]
-        words = list(set().union(*split) - self.words_known.keys())
+        asked = set().union(*split)
+        if full:
+            self.words_known, self.full = self._kept(self.words_known, asked), True
+        words = list(asked - self.words_known.keys())
         self.words_known.update(zip(words, self.contract([w.encode() for w in words]), strict=True))
         known = self.words_known
         self.pieces_known.update((piece, b"".join([known[w] for w in ws])) for piece, ws in zip(new, split, strict=True))
@@ -216,6 +226,9 @@ class Codec:
 
     def decode(self, coded: list[bytes]) -> list[bytes]:
         """The bytes of each sequence of little-endian ids."""
+        if self.full or self.held > REMEMBER:
+            self.decoded_known, self.full = self._kept(self.decoded_known, set(coded)), False
+            self.held = sum(len(k) + len(v) + _HELD for known in (self.words_known, self.pieces_known, self.decoded_known) for k, v in known.items())
         new = list(set(coded) - self.decoded_known.keys())
         for part in _parts(new, [len(c) // 4 for c in new]):
             lengths = np.array([len(c) // 4 for c in part])
@@ -308,16 +321,39 @@ def cut(text: str) -> list[str]:
     return out
 
 
+_open: dict[tuple[str, str], Codec] = {}
+_lock = threading.Lock()
+
+
 @contextlib.contextmanager
 def codec(path: str, pattern: str) -> Iterator[Codec]:
-    """One for a task: it and all that it remembers go when the task ends, as workers live on."""
-    own = Codec(path, pattern)
+    """One for each Python worker and vocabulary. Workers outlive their tasks, so one that isn't used for IDLE seconds
+    goes with all that it remembers."""
+    with _lock:
+        own = _open.get((path, pattern))
+        if own is None:
+            own = _open[path, pattern] = Codec(path, pattern)
+        own.busy += 1
     try:
         yield own
     finally:
+        with _lock:
+            own.busy -= 1
+            own.used = time.monotonic()
+        timer = threading.Timer(IDLE, _close_idle, (path, pattern))
+        timer.daemon = True
+        timer.start()
+
+
+def _close_idle(path: str, pattern: str) -> None:
+    with _lock:
+        own = _open.get((path, pattern))
+        if own is None or own.busy or time.monotonic() - own.used < 0.9 * IDLE:
+            return
+        del _open[path, pattern]
         own.close()
         del own
-        tb.release()
+    tb.release()
 
 
 #: Bytes of text taken through the codec at once.
@@ -395,8 +431,6 @@ def decode(rows: DataFrame, path: str, pattern: str, ids: str = "ids", into: str
                 given = batch.column(ids).to_pylist()
                 if bad := [i for one in given for i in one or () if i not in own.bytes_of]:
                     raise ValueError(f"ids outside the vocabulary: {bad[:5]}")
-                if own.held > REMEMBER:
-                    own.forget()
                 back = own.decode([np.array(one or [], "<u4").tobytes() for one in given])
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(back, pa.binary())], names=[*batch.schema.names, into])
 

@@ -78,10 +78,26 @@ def test_null_rows_in_columns(spark):
 
 
 def test_memory_is_bounded(monkeypatch):
-    monkeypatch.setattr(tokens, "REMEMBER", 5)
+    monkeypatch.setattr(tokens, "REMEMBER", 4000)
     own = tokens.Codec(PATH, public.PATTERN)
-    for t in ("one two three four five six seven", "eight nine ten", "one two"):
-        pieces, order, ends = tokens.pieces_of([t])
+    rng = random.Random(4)
+    for k in range(40):
+        text = " ".join(["often", "again", *(f"w{rng.randrange(10**9)}" for _ in range(20))])
+        pieces, order, ends = tokens.pieces_of([text])
         coded = own.learn(pieces)
-        assert tokens.Sequences(own.decode(coded), order, ends).joined() == [t.encode()]
-    assert len(own.pieces_known) < 15
+        assert tokens.Sequences(own.decode(coded), order, ends).joined() == [text.encode()]
+        assert k < 3 or " again" in own.pieces_known
+        assert max(map(len, (own.words_known, own.pieces_known, own.decoded_known))) < 120
+    own.close()
+
+
+def test_an_idle_codec_goes(monkeypatch):
+    monkeypatch.setattr(tokens, "IDLE", 0.2)
+    with tokens.codec(PATH, public.PATTERN) as first:
+        pass
+    with tokens.codec(PATH, public.PATTERN) as second:
+        assert second is first
+        time.sleep(0.5)
+        assert second.learn([" still open"])
+    time.sleep(0.6)
+    assert not tokens._open
