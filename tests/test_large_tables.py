@@ -3,7 +3,7 @@
 import pytest
 
 from tessella.operators import index as ix
-from tessella.operators import joins
+from tessella.operators import joins, placement
 
 RECT = "id long, xmin int, ymin int, xmax int, ymax int"
 
@@ -36,3 +36,9 @@ def test_region_runs_as_registered(spark, tmp_path):
     want = con.sql(__spark_entry__.oracle_sql()["region_runs"])
     assert got.columns == want.columns
     assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+def test_two_sets_take_more_slots_than_workers(spark):
+    slots = spark.createDataFrame([(i,) for i in range(9)], "slot long")
+    got = [tuple(r) for r in placement.two_sets(slots, 1, 3, queue=True).orderBy("slot").collect()]
+    assert got == [(0, 0, 0), (1, 1, 0)] + [(i, 1, i - 1) for i in range(2, 9)]
