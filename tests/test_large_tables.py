@@ -3,7 +3,7 @@
 import pytest
 
 from tessella.operators import index as ix
-from tessella.operators import joins, placement
+from tessella.operators import joins, metrics, placement
 
 RECT = "id long, xmin int, ymin int, xmax int, ymax int"
 
@@ -42,3 +42,13 @@ def test_two_sets_take_more_slots_than_workers(spark):
     slots = spark.createDataFrame([(i,) for i in range(9)], "slot long")
     got = [tuple(r) for r in placement.two_sets(slots, 1, 3, queue=True).orderBy("slot").collect()]
     assert got == [(0, 0, 0), (1, 1, 0)] + [(i, 1, i - 1) for i in range(2, 9)]
+
+
+def test_work_goes_up_from_a_level_too_large_to_compare(spark, monkeypatch):
+    index = ix.build(grid(spark), 4, 3)
+    queries = index.objects.filter("id % 7 = 0").selectExpr("id AS qid", "xmin", "ymin", "xmax", "ymax")
+    want = metrics.work(queries, index, 99).first()
+    assert joins.asked_level(index, 1, 100) == 1 and joins.asked_level(index, 99, 100) == len(index.levels) - 1
+    monkeypatch.setattr(joins, "MOST_COMPARED", 100 * index.levels[2])
+    assert joins.asked_level(index, 1, 100) == 2 and joins.asked_level(index, 0, 10**9) == len(index.levels) - 1
+    assert metrics.work(queries, index, 1).first() == want
