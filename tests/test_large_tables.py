@@ -52,3 +52,22 @@ def test_work_goes_up_from_a_level_too_large_to_compare(spark, monkeypatch):
     monkeypatch.setattr(joins, "MOST_COMPARED", 100 * index.levels[2])
     assert joins.asked_level(index, 1, 100) == 2 and joins.asked_level(index, 0, 10**9) == len(index.levels) - 1
     assert metrics.work(queries, index, 1).first() == want
+
+
+def test_trees_of_more_levels_than_the_sql_unrolls(spark):
+    """The registered SQL makes eight levels, as many as 18 million objects take; unrolled further it has the root too."""
+    import duckdb
+
+    from tessella import catalogue as cat
+
+    objects = grid(spark)
+    index = ix.build(objects, 2, 2)
+    assert len(index.levels) > 8
+    con = duckdb.connect()
+    con.register("obj", objects.toArrow())
+    made = {"tree_nodes": index.nodes, "node_headers": ix.headers(index), "tree_statistics": ix.statistics(index), "tree_bytes": ix.bytes_used(index), "breadth_first": ix.breadth_first(index), "depth_first": ix.depth_first(index), "flat_offsets": ix.flattened(index)}
+    for name, got in made.items():
+        want = con.sql(f"WITH RECURSIVE {cat._tree(2, 2, 14)}" + cat.ORACLE_SQL[name].split(cat._tree(), 1)[1])
+        columns = sorted(got.columns)
+        rows = lambda it: sorted(map(str, it))
+        assert rows(map(tuple, got.select(*columns).collect())) == rows(want.select(*columns).fetchall()), name
