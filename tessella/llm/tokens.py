@@ -36,15 +36,17 @@ from tessella.llm import textbytes as tb
 from tessella.llm.common import modest_batches
 
 #: Distinct matches given to one recursive query: about 8 rows each, and fewer for every round.
-WORDS_AT_ONCE = 20_000
+WORDS_AT_ONCE = 10_000
 #: Bytes of words, pieces and ids (with what Python needs to hold them) that a worker remembers; beyond that it keeps
 #: those which its present slice has, so frequent ones stay.
-REMEMBER = 96 << 20
+REMEMBER = 64 << 20
 #: Seconds after which a worker that encodes and decodes nothing gives up what it remembers.
 IDLE = 4.0
 _HELD = 180  # bytes of a dictionary's entry besides its texts
 #: Bytes of a match that is contracted in one go.
 SHORT = 32
+#: Bytes of texts that are put together from pieces at once, which takes about 20 times as many.
+JOINED = 1 << 20
 
 # place is word * 2**32 + position; positions stay dense, so a token's neighbour is at place + 1
 _CONTRACT = """
@@ -116,7 +118,7 @@ class Codec:
         self.pieces_known: dict[str, bytes] = {}
         self.decoded_known: dict[bytes, bytes] = {}
         self.held, self.full, self.used, self.busy = 0, False, 0.0, 0
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB"})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "200MB"})
         # all ways to put a token together from two tokens: the rank of a pair is that of what it makes
         pairs, made = [], []
         for token, rank in self.ranks.items():
@@ -138,6 +140,8 @@ class Codec:
             self.db.register("rows_in", rows)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM rows_in")
             self.db.unregister("rows_in")
+        del pairs, made, pair, rank, part, whole, tables, rows
+        tb.release()
 
     def close(self) -> None:
         self.db.close()
@@ -251,15 +255,24 @@ class Sequences:
         self.pieces, self.order, self.ends = pieces, order, ends
 
     def joined(self) -> list[bytes]:
-        """Each text's pieces, concatenated."""
+        """Each text's pieces, concatenated; at most JOINED bytes are put together at once, or one text."""
         lengths = np.fromiter(map(len, self.pieces), np.int64, len(self.pieces))
         starts = np.cumsum(lengths) - lengths
         every = np.frombuffer(b"".join(self.pieces), np.uint8)
-        own = lengths[self.order]
-        upto = np.cumsum(own)
-        data = every[np.repeat(starts[self.order] - (upto - own), own) + np.arange(upto[-1] if len(upto) else 0)].tobytes()
-        ends = np.concatenate([[0], upto])[self.ends].tolist()
-        return [data[begin:end] for begin, end in zip([0, *ends], ends, strict=False)]
+        upto = np.concatenate([[0], np.cumsum(lengths[self.order])])
+        ends = upto[self.ends]  # in bytes
+        out: list[bytes] = []
+        while len(out) < len(ends):
+            i, first = len(out), self.ends[len(out) - 1] if out else 0
+            j = max(i + 1, int(np.searchsorted(ends, upto[first] + JOINED, side="right")))
+            some = self.order[first : self.ends[j - 1]]
+            own = lengths[some]
+            at = np.repeat(starts[some] - (upto[first : first + len(some)] - upto[first]), own)
+            at += np.arange(len(at))
+            data = every[at].tobytes()
+            cuts = (ends[i:j] - upto[first]).tolist()
+            out += [data[begin:end] for begin, end in zip([0, *cuts], cuts, strict=False)]
+        return out
 
 
 def pieces_of(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:

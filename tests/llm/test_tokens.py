@@ -101,3 +101,13 @@ def test_an_idle_codec_goes(monkeypatch):
         assert second.learn([" still open"])
     time.sleep(0.6)
     assert not tokens._open
+
+
+def test_sequences_are_joined_in_parts(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(tokens, "JOINED", 7)
+    pieces, order, ends = [b"ab", b"", b"cde", b"f" * 20], np.array([0, 2, 1, 3, 0, 0, 2]), np.array([0, 2, 3, 4, 4, 7])
+    assert tokens.Sequences(pieces, order, ends).joined() == [b"", b"abcde", b"", b"f" * 20, b"", b"ababcde"]
+    assert tokens.Sequences([], np.zeros(0, np.int64), np.array([0, 0])).joined() == [b"", b""]
+    assert tokens.Sequences([], np.zeros(0, np.int64), np.zeros(0, np.int64)).joined() == []
