@@ -36,10 +36,10 @@ from tessella.llm import textbytes as tb
 from tessella.llm.common import modest_batches
 
 #: Distinct matches given to one recursive query: about 8 rows each, and fewer for every round.
-WORDS_AT_ONCE = 10_000
+WORDS_AT_ONCE = 20_000
 #: Bytes of words, pieces and ids (with what Python needs to hold them) that a worker remembers; beyond that it keeps
 #: those which its present slice has, so frequent ones stay.
-REMEMBER = 64 << 20
+REMEMBER = 96 << 20
 #: Seconds after which a worker that encodes and decodes nothing gives up what it remembers.
 IDLE = 4.0
 _HELD = 180  # bytes of a dictionary's entry besides its texts
