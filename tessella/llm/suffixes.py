@@ -14,6 +14,9 @@ so windows are dealt out by anchor. The windows of one anchor in a text follow e
    windows are counted by aggregation.
 
 Repeated windows are joined back to the texts they occur in, and their union is cut from each text.
+
+Texts are the largest thing that is dealt out. A Bloom filter of at most 4 MB tells which texts a join can need, so the
+others stay where they are read; what it lets through by mistake costs work, never a result.
 """
 
 from __future__ import annotations
@@ -23,11 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import textbytes as tb
-from tessella.llm.common import guarded_join, modest_batches, staged, text_key
+from tessella.llm.common import drop_staged, guarded_join, modest_batches, staged, text_key
 
 LENGTH = 200
 GRAM = 48
@@ -39,6 +42,9 @@ ANCHOR_BYTES = 1 << 20
 BATCH = 1 << 17
 #: Windows of a level whose bytes are compared at once.
 BLOCK = 1 << 15
+#: log2 of the most bits of a Bloom filter (4 MB), at 16 bits a key or more. Beyond two million keys it lets more through: at
+#: five million about 7 % of what has no key.
+FILTER_BITS = 25
 #: Bytes of one text that are looked at together.
 _PART = 4 << 20
 
@@ -241,11 +247,37 @@ def runs(flags: np.ndarray, length: int) -> tuple[list[int], list[int]]:
     return edges[::2].tolist(), (edges[1::2] + length - 1).tolist()
 
 
+# ---- texts that a join can need ----
+
+
+def _marks(key: Column, width: int) -> list[Column]:
+    """Places of a 64-bit key in a filter of 2**width bits."""
+    return [F.shiftright(key, by).bitwiseAND(F.lit((1 << width) - 1)) for by in (0, 32)]
+
+
+class Filter:
+    """A Bloom filter of a column of 64-bit hashes; a row of its bits is broadcast."""
+
+    def __init__(self, keys: DataFrame, key: Column):
+        self.width = min(FILTER_BITS, max(10, (16 * keys.count()).bit_length()))
+        places = keys.select(F.explode(F.array(*_marks(key, self.width))).alias("at"))
+        words = places.groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("b")).toArrow()
+        bits = np.zeros(1 << (self.width - 6), np.int64)
+        bits[words.column("w").to_numpy()] = words.column("b").to_numpy()
+        offsets = pa.array([0, len(bits)], pa.int32())
+        self.bits = keys.sparkSession.createDataFrame(pa.table({"filter_bits": pa.ListArray.from_arrays(offsets, pa.array(bits))}))
+
+    def split(self, rows: DataFrame, key: Column, how: str = "left_semi") -> DataFrame:
+        """The rows whose key the filter has, or seems to have; with left_anti the others."""
+        first, second = (F.getbit(F.get("filter_bits", F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1 for at in _marks(key, self.width))
+        return rows.join(F.broadcast(self.bits), first & second, how)
+
+
 # ---- the operator ----
 
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, family_bytes: int = FAMILY_BYTES, anchor_bytes: int = ANCHOR_BYTES) -> DataFrame:
-    """(t, spans): for the key of each text that loses bytes, the covered runs (s, e), which may overlap."""
+    """(t, spans), a stored table: for the key of each text that loses bytes, the covered runs (s, e), which may overlap."""
     rows = modest_batches(docs).select(F.col(doc_id).alias("doc_id"), text_key(text).alias("t"), F.col(text).alias("text")).filter(F.octet_length("text") >= length)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,6 +299,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     placed = rows.select("t", "text").mapInArrow(place, "t binary, start long, size int, a long, ph long")
     # copies of a text have the same pieces: uniform or not, the counts above have seen them all
     hits = staged(guarded_join(placed, shared, "a"))
+    drop_staged(shared)
     alike = hits.filter("uniform").select("t", F.col("start").alias("s"), (F.col("start") + F.col("size")).alias("e"))
     mixed = hits.filter("not uniform")
 
@@ -275,11 +308,10 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     texts_at = rows.groupBy("t").agg(F.min("doc_id").alias("own_id"))
     wanted = distinct.select(F.col("at.t").alias("t"), F.struct(F.col("at.start").alias("start"), F.col("at.size").alias("size"), "a", "ph", "known").alias("p"))
     wanted = wanted.groupBy("t").agg(F.collect_list("p").alias("ps")).join(texts_at.hint("merge"), "t")
-    wanted = staged(wanted)
-    n_texts, n_pieces = wanted.agg(F.count("*"), F.sum(F.size("ps"))).first()
-    width = 64 + -(-48 * (n_pieces or 0) // max(1, n_texts))  # bytes of a row, by its pieces
-    sources = rows.select("doc_id", F.col("t").alias("t2"), "text")
-    joined = guarded_join(sources, wanted.select(F.col("t").alias("t2"), "own_id", "ps"), "t2", row_bytes=width).filter(F.col("doc_id").eqNullSafe(F.col("own_id")))
+    wanted = staged(wanted.select(F.col("t").alias("t2"), "own_id", "ps"))
+    # a row of wanted is as long as its list of pieces, so it isn't broadcast, however few there are
+    sources = Filter(wanted, F.xxhash64("t2", "own_id")).split(rows.select("doc_id", F.col("t").alias("t2"), "text"), F.xxhash64("t2", "doc_id"))
+    joined = sources.join(wanted.hint("merge"), "t2").filter(F.col("doc_id").eqNullSafe(F.col("own_id")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,6 +323,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 yield pa.RecordBatch.from_arrays([a, ph, known, pa.array(own, pa.binary())], names=["a", "ph", "known", "piece"])
 
     contents = staged(joined.select("text", "ps").mapInArrow(cut, "a long, ph long, known boolean, piece binary"))
+    drop_staged(wanted)
     sizes = contents.groupBy("a").agg(F.sum(F.length("piece").cast("long")).alias("bytes"))
     hot = staged(sizes.filter(F.col("bytes") > anchor_bytes).select("a"))
     some_hot = hot.limit(1).count() > 0
@@ -312,7 +345,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int32())), pa.array(cols[3], pa.list_(pa.int32()))], names=["a", "ph", "rs", "re"])
 
     schema = "a long, ph long, rs array<int>, re array<int>"
-    found = cool.repartition(max(1, -(-int(total) // family_bytes)), "a").mapInArrow(match, schema)
+    found, done = cool.repartition(max(1, -(-int(total) // family_bytes)), "a").mapInArrow(match, schema), [contents, hot]
     if some_hot:
 
         def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,12 +357,18 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
         each = staged(contents.join(hot.hint("merge"), "a", "left_semi").distinct().mapInArrow(windows, "a long, ph long, i int, known boolean, w binary"))
         twice = staged(each.groupBy("w").agg((F.count("*") > 1).alias("many"), F.max("known").alias("any")).filter("many or any").select("w"))
+        done += [each, twice]
         marked = each.join(twice.hint("merge"), "w").groupBy("a", "ph").agg(F.collect_set("i").alias("rs"))
         found = found.union(marked.select("a", "ph", "rs", F.transform("rs", lambda x: (x + F.lit(length)).cast("int")).alias("re")))
     found = staged(found)
+    for one in done:
+        drop_staged(one)
     back = mixed.join(found.hint("merge"), ["a", "ph"]).select("t", "start", F.explode(F.arrays_zip("rs", "re")).alias("r"))
     back = back.select("t", (F.col("start") + F.col("r.rs")).alias("s"), (F.col("start") + F.col("r.re")).alias("e"))
-    return alike.union(back).groupBy("t").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    spans = staged(alike.union(back).groupBy("t").agg(F.collect_set(F.struct("s", "e")).alias("spans")))
+    for one in (hits, found):
+        drop_staged(one)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, family_bytes: int = FAMILY_BYTES, anchor_bytes: int = ANCHOR_BYTES) -> DataFrame:
@@ -338,10 +377,13 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     A null text counts as empty; it and texts shorter than length keep all. Rows that repeat a text, also under one id,
     count as other places, so such texts lose all that a window covers. An empty table gives no rows. A very long text
     is hashed in parts that share length - 1 bytes. Only doc_id and text are read, so further columns change nothing.
+    docs is read several times and has to give the same rows each time.
     """
-    spans = staged(repeated_spans(docs, doc_id, text, length, gram, family_bytes, anchor_bytes))
+    spans = repeated_spans(docs, doc_id, text, length, gram, family_bytes, anchor_bytes)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), text_key(text).alias("t"))
-    joined = rows.join(spans.hint("merge"), "t", "left").select("doc_id", "text", "spans")
+    losing, key = Filter(spans, F.xxhash64("t")), F.xxhash64("t")
+    joined = losing.split(rows, key).join(spans.hint("merge"), "t", "left").select("doc_id", "text", "spans")
+    joined = joined.union(losing.split(rows, key, "left_anti").select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")))
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
