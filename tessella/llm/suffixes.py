@@ -298,7 +298,9 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     placed = rows.select("t", "text").mapInArrow(place, "t binary, start long, size int, a long, ph long")
     # copies of a text have the same pieces: uniform or not, the counts above have seen them all
-    hits = staged(guarded_join(placed, shared, "a"))
+    placed = guarded_join(placed, shared, "a")
+    docs.sparkSession._jvm.System.gc()  # the shuffle files of the counts go before those of the places are written
+    hits = staged(placed)
     drop_staged(shared)
     alike = hits.filter("uniform").select("t", F.col("start").alias("s"), (F.col("start") + F.col("size")).alias("e"))
     mixed = hits.filter("not uniform")
@@ -328,7 +330,8 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     hot = staged(sizes.filter(F.col("bytes") > anchor_bytes).select("a"))
     some_hot = hot.limit(1).count() > 0
     total = contents.agg(F.sum(F.length("piece").cast("long"))).first()[0] or 0
-    cool = contents.join(hot.hint("merge"), "a", "left_anti") if some_hot else contents
+    # each hot anchor stands for anchor_bytes, so there are few, and contents stay where they are
+    cool = guarded_join(contents, hot, "a", "left_anti") if some_hot else contents
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family, seen, places = Family(length), set(), []
@@ -355,7 +358,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     own = [hashlib.blake2b(piece[i : i + length], digest_size=16).digest() for i in range(n)]
                     yield pa.RecordBatch.from_arrays([pa.array([a] * n, pa.int64()), pa.array([ph] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([known] * n, pa.bool_()), pa.array(own, pa.binary())], names=["a", "ph", "i", "known", "w"])
 
-        each = staged(contents.join(hot.hint("merge"), "a", "left_semi").distinct().mapInArrow(windows, "a long, ph long, i int, known boolean, w binary"))
+        each = staged(guarded_join(contents, hot, "a", "left_semi").distinct().mapInArrow(windows, "a long, ph long, i int, known boolean, w binary"))
         twice = staged(each.groupBy("w").agg((F.count("*") > 1).alias("many"), F.max("known").alias("any")).filter("many or any").select("w"))
         done += [each, twice]
         marked = each.join(twice.hint("merge"), "w").groupBy("a", "ph").agg(F.collect_set("i").alias("rs"))

@@ -43,6 +43,14 @@ def test_lists_of_pieces_are_not_broadcast(spark, monkeypatch):
     assert sized == [["a", "uniform"]]  # rows of bounded width alone
 
 
+def test_pieces_are_not_dealt_out_to_find_those_of_hot_anchors(spark, monkeypatch):
+    sized, plain = [], suffixes.guarded_join
+    monkeypatch.setattr(suffixes, "guarded_join", lambda big, small, on, *how: sized.append((small.columns, *how)) or plain(big, small, on, *how))
+    df = spark.createDataFrame(texts(8, 900, 4), "doc_id long, text string")
+    assert suffixes.remove_repeats(df, anchor_bytes=300).filter("n_removed > 0").count() == 4
+    assert sized[1:] == [(["a"], "left_anti"), (["a"], "left_semi")]
+
+
 @pytest.mark.parametrize("anchor_bytes", [1 << 20, 300])
 def test_tables_go_when_they_have_been_read(spark, anchor_bytes):
     folder = shared_folder(spark).removeprefix("file://").removeprefix("file:")
