@@ -1,11 +1,11 @@
 """Byte-level BPE encoding and decoding by DuckDB recursive queries in each partition.
 
 A text is split at places where no match of the pattern can cross: between a character that isn't white space and a
-space before another such character. A partition meets few distinct pieces, so each piece is encoded once and
-remembered, up to REMEMBER bytes. New pieces go, some thousands at a time, to a DuckDB table of (piece, position, token)
-rows. A recursive query joins neighbouring tokens with the merge table, contracts each piece's leftmost pair of least
-rank and repeats until no pair merges. Decoding joins ids with the vocabulary and concatenates in order by an ordered
-aggregate.
+space before another such character. A partition meets few distinct matches, so each is encoded once and remembered, up
+to REMEMBER bytes: in two generations, of which the older one goes when the younger one is full, and what is used moves
+to the younger one. New matches go, some thousands at a time, to a DuckDB table of (match, position, token) rows. A
+recursive query joins neighbouring tokens with the merge table, contracts each match's leftmost pair of least rank and
+repeats until no pair merges. Decoding joins ids with the vocabulary and puts the bytes together in the ids' order.
 
 A match of more than SHORT bytes is contracted in parts, which are then joined two and two: the tokens next to the seam
 are contracted anew, and where the outermost two of them come out as they were, the rest stays as it is, since a row of
@@ -21,10 +21,11 @@ from __future__ import annotations
 
 import base64
 import contextlib
+import gc
 import hashlib
 import threading
 import time
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,8 @@ from tessella.llm.common import modest_batches
 
 #: Distinct matches given to one recursive query: about 8 rows each, and fewer for every round.
 WORDS_AT_ONCE = 20_000
-#: Bytes of words, pieces and ids (with what Python needs to hold them) that a worker remembers; beyond that it keeps
-#: those which its present slice has, so frequent ones stay.
+#: Bytes of matches and ids (with what Python needs to hold them) that a worker remembers, half in either generation; what
+#: the present slice has comes on top.
 REMEMBER = 96 << 20
 #: Seconds after which a worker that encodes and decodes nothing gives up what it remembers.
 IDLE = 4.0
@@ -95,7 +96,7 @@ SELECT step.place, step.token FROM step JOIN ended ON step.round = ended.round A
 
 _SPACES = [c for c in map(chr, range(0x3001)) if c.isspace()]
 
-_DECODE = "SELECT given.word, string_agg(v.hex, '' ORDER BY given.pos) AS hex FROM given JOIN vocabulary v ON v.id = given.id GROUP BY given.word"
+_DECODE = "SELECT v.token FROM given JOIN vocabulary v ON v.id = given.id ORDER BY given.pos"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -103,6 +104,18 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in file if line.strip())}
 
 
+@contextlib.contextmanager
+def _uncollected() -> Iterator[None]:
+    """Without searches for cycles of garbage, which many lists made at once would set off again and again."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 class Codec:
     """Encodes and decodes with one DuckDB connection. Ranks must be below 2**31 and hold every single byte."""
 
@@ -114,10 +127,14 @@ class Codec:
         self.bytes_of = {rank: token for token, rank in self.ranks.items()}
         self.matches = regex.compile(pattern).findall
         self.rank_of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-        self.words_known: dict[str, bytes] = {}
+        # ids of pieces that are one match, and of other matches: those of the younger generation, and before them
         self.pieces_known: dict[str, bytes] = {}
+        self.words_known: dict[str, bytes] = {}
+        self.pieces_before: dict[str, bytes] = {}
+        self.words_before: dict[str, bytes] = {}
+        #: What a call of decode() has decoded, while it lasts.
         self.decoded_known: dict[bytes, bytes] = {}
-        self.held, self.full, self.used, self.busy = 0, False, 0.0, 0
+        self.held, self.used, self.busy = 0, 0.0, 0
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "200MB"})
         # all ways to put a token together from two tokens: the rank of a pair is that of what it makes
         pairs, made = [], []
@@ -134,7 +151,7 @@ class Codec:
         part, whole = np.concatenate([pair >> 16, pair & 65535]), np.concatenate([rank, rank])
         tables = {
             "merges": pa.table({"pair": pair, "rank": rank, "alone": np.isin(rank, part[whole < part]).astype(np.int64)}),
-            "vocabulary": pa.table({"id": pa.array(list(self.bytes_of), pa.int64()), "hex": pa.array([t.hex() for t in self.bytes_of.values()])}),
+            "vocabulary": pa.table({"id": pa.array(list(self.bytes_of), pa.int64()), "token": pa.array(list(self.bytes_of.values()), pa.binary())}),
         }
         for name, rows in tables.items():
             self.db.register("rows_in", rows)
@@ -145,13 +162,20 @@ class Codec:
 
     def close(self) -> None:
         self.db.close()
-        for known in (self.words_known, self.pieces_known, self.decoded_known):
+        for known in (self.words_known, self.pieces_known, self.words_before, self.pieces_before, self.decoded_known):
             known.clear()
         self.held = 0
 
-    def _kept(self, known: dict, asked) -> dict:
-        """What is known of what is asked for."""
-        return {k: known[k] for k in asked if k in known}
+    def _remember(self, known: dict[str, bytes], new: list[str], ids: list[bytes]) -> None:
+        known.update(zip(new, ids, strict=True))
+        self.held += sum(map(len, new)) + sum(map(len, ids)) + _HELD * len(new)
+
+    def _unknown(self, known: dict[str, bytes], before: dict[str, bytes], asked: Iterable[str]) -> list[str]:
+        """What neither generation has of what is asked for; what the older one has moves to the younger one."""
+        rest = [a for a in asked if a not in known]
+        again = [a for a in rest if a in before]
+        self._remember(known, again, [before[a] for a in again])
+        return [a for a in rest if a not in before]
 
     def _merged(self, words: list[bytes], query: str) -> list[bytes]:
         """Little-endian ids of what merging leaves of each word."""
@@ -213,39 +237,51 @@ class Codec:
 
     def learn(self, pieces: list[str]) -> list[bytes]:
         """Little-endian ids of each piece, each match of the pattern encoded separately."""
-        full = self.held > REMEMBER
-        if full:
-            self.pieces_known = self._kept(self.pieces_known, pieces)
-        new = [p for p in pieces if p not in self.pieces_known]
-        split = [self.matches(p) for p in new]
-        asked = set().union(*split)
-        if full:
-            self.words_known, self.full = self._kept(self.words_known, asked), True
-        words = list(asked - self.words_known.keys())
-        self.words_known.update(zip(words, self.contract([w.encode() for w in words]), strict=True))
-        known = self.words_known
-        self.pieces_known.update((piece, b"".join([known[w] for w in ws])) for piece, ws in zip(new, split, strict=True))
-        self.held += sum(len(w) + len(known[w]) for w in words) + sum(len(p) + len(self.pieces_known[p]) for p in new) + _HELD * (len(words) + len(new))
-        return [self.pieces_known[p] for p in pieces]
-
-    def decode(self, coded: list[bytes]) -> list[bytes]:
-        """The bytes of each sequence of little-endian ids."""
-        if self.full or self.held > REMEMBER:
-            self.decoded_known, self.full = self._kept(self.decoded_known, set(coded)), False
-            self.held = sum(len(k) + len(v) + _HELD for known in (self.words_known, self.pieces_known, self.decoded_known) for k, v in known.items())
-        new = list(set(coded) - self.decoded_known.keys())
-        for part in _parts(new, [len(c) // 4 for c in new]):
-            lengths = np.array([len(c) // 4 for c in part])
+        if self.held > REMEMBER // 2:
+            self.pieces_before, self.words_before = self.pieces_known, self.words_known
+            self.pieces_known, self.words_known, self.held = {}, {}, 0
+        known, words = self.pieces_known, self.words_known
+        single, several = [], {}
+        with _uncollected():
+            for piece in self._unknown(known, self.pieces_before, pieces):
+                found = self.matches(piece)
+                if len(found) == 1 and found[0] == piece:
+                    single.append(piece)
+                else:
+                    several[piece] = found
+        # a piece that is one match has the ids of that match
+        asked = set().union(*several.values()).difference(single)
+        other = self._unknown(words, self.words_before, self._unknown(known, self.pieces_before, asked))
+        ids = self.contract([w.encode() for w in single + other])
+        self._remember(known, single, ids[: len(single)])
+        self._remember(words, other, ids[len(single) :])
+        made = {piece: b"".join([known[w] if w in known else words[w] for w in found]) for piece, found in several.items()}
+        return [known[p] if p in known else made[p] for p in pieces]
+
+    def decode(self, coded: list[bytes], distinct: bool = False) -> list[bytes]:
+        """The bytes of each sequence of little-endian ids; those that repeat are decoded once, unless all are distinct."""
+        if not distinct:
+            known = self.decoded_known
+            known.update(dict.fromkeys(coded, b""))
+            known.update(zip(known, self.decode(list(known), True), strict=True))
+            found = [known[c] for c in coded]
+            known.clear()
+            return found
+        out: list[bytes] = []
+        lengths = [len(c) // 4 for c in coded]
+        for part, own in zip(_parts(coded, lengths), _parts(lengths, lengths), strict=True):
             ids = np.frombuffer(b"".join(part), "<u4").astype(np.int64)
-            word = np.repeat(np.arange(len(part)), lengths)
-            self.db.register("given", pa.table({"word": word, "pos": np.arange(len(ids)), "id": ids}))
-            self.decoded_known.update(dict.fromkeys(part, b""))
-            got = self.db.execute(_DECODE).fetchnumpy()
+            self.db.register("given", pa.table({"pos": np.arange(len(ids)), "id": ids}))
+            found = self.db.sql(_DECODE).to_arrow_table().column("token").cast(pa.large_binary()).combine_chunks()
             self.db.unregister("given")
-            for i, text in zip(got["word"].tolist(), got["hex"].tolist(), strict=True):
-                self.decoded_known[part[i]] = bytes.fromhex(text)
-        self.held += sum(len(c) + len(self.decoded_known[c]) + _HELD for c in new)
-        return [self.decoded_known[c] for c in coded]
+            if len(found) != len(ids):
+                raise ValueError("ids outside the vocabulary")
+            _, offsets, data = found.buffers()
+            upto = np.frombuffer(offsets, np.int64)[found.offset :] if len(ids) else np.zeros(1, np.int64)
+            ends = upto[np.cumsum(own)].tolist()
+            every = data.to_pybytes() if data else b""
+            out += [every[begin:end] for begin, end in zip([int(upto[0]), *ends], ends, strict=False)]
+        return out
 
 
 class Sequences:
@@ -287,7 +323,7 @@ def pieces_of(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     odd = [cut(t) for t, ok in zip(texts, plain, strict=True) if not ok]
     strange = pa.array([p for ps in odd for p in ps], pa.large_string()).dictionary_encode()
     a, b = len(firsts.dictionary), len(firsts.dictionary) + len(rests.dictionary)
-    distinct = [*firsts.dictionary.to_pylist(), *[" " + p for p in rests.dictionary.to_pylist()], *strange.dictionary.to_pylist()]
+    distinct = [*_strings(firsts.dictionary), *[" " + p for p in _strings(rests.dictionary)], *strange.dictionary.to_pylist()]
     order = np.empty(len(flat), np.int64)
     order[first] = firsts.indices.to_numpy()
     order[~first] = rests.indices.to_numpy() + a
@@ -304,6 +340,14 @@ def pieces_of(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     return distinct, order, np.cumsum(counts)
 
 
+def _strings(words: pa.Array) -> list[str]:
+    """words, which have no spaces, as a list: by one long string, which is faster than one by one."""
+    if not len(words):
+        return []
+    own = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+    return pc.binary_join(own, pa.scalar(" ", pa.large_string()))[0].as_py().split(" ")
+
+
 def _parts(items: list, sizes: list[int]) -> Iterator[list]:
     """items in runs of WORDS_AT_ONCE and 12 times as many tokens at most, but of one item at least."""
     at = size = 0
@@ -402,7 +446,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id",
                 pieces, order, ends = pieces_of(texts)
                 coded = own.learn(pieces)
                 ids = Sequences(coded, order, ends).joined()
-                back = Sequences(own.decode(coded), order, ends).joined()
+                back = Sequences(own.decode(coded, distinct=True), order, ends).joined()
                 yield pa.RecordBatch.from_arrays(
                     [rows.column("doc_id"), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i in ids]), pa.array([hashlib.sha256(b).hexdigest() for b in back])],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],

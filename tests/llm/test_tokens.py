@@ -91,6 +91,19 @@ def test_memory_is_bounded(monkeypatch):
     own.close()
 
 
+def test_matches_of_earlier_slices_are_not_merged_again(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBER", 25_000)
+    own, merged = tokens.Codec(PATH, public.PATTERN), []
+    contract = own.contract
+    monkeypatch.setattr(own, "contract", lambda words: merged.append(len(words)) or contract(words))
+    for k in range(8):
+        text = " ".join(f"{'eo'[k % 2]}{n:c}word," for n in range(0x4E00, 0x4E32))
+        pieces, order, ends = tokens.pieces_of([text])
+        assert tokens.Sequences(own.decode(own.learn(pieces)), order, ends).joined() == [text.encode()]
+    assert merged[0] and merged[1] and not any(merged[2:])
+    own.close()
+
+
 def test_an_idle_codec_goes(monkeypatch):
     monkeypatch.setattr(tokens, "IDLE", 0.2)
     with tokens.codec(PATH, public.PATTERN) as first:
