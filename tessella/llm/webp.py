@@ -18,8 +18,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import heapq
-import itertools
 import struct
 from collections.abc import Iterator
 
@@ -58,6 +56,7 @@ class Bits:
 
     def __init__(self, data: bytes):
         self.data, self.at = data, 0
+        self.ended = -1  # lengths of the last code that was read, if it gave their number, else -1
 
     def read(self, n: int) -> int:
         begin = self.at >> 3
@@ -82,17 +81,47 @@ def code_table(lengths: tuple[int, ...]) -> tuple[int, np.ndarray, np.ndarray]:
     symbols = np.flatnonzero(used)
     if len(symbols) == 1:
         return 0, symbols.astype(np.intp), np.zeros(1, np.intp)
-    if not len(symbols) or (2.0 ** -used[symbols]).sum() != 1:
+    if not len(symbols):
         raise ValueError("a prefix code that is not complete")
     width = int(used.max())
     order = symbols[np.argsort(used[symbols], kind="stable")]
     spans = 1 << (width - used[order])
-    back = _reversals(width)
-    return width, np.repeat(order, spans)[back].astype(np.intp), np.repeat(used[order], spans)[back].astype(np.intp)
+    if spans.sum() != 1 << width:
+        raise ValueError("a prefix code that is not complete")
+    found = np.repeat(order, spans)[_reversals(width)]
+    return width, found, used[found]
+
+
+#: Extra bits and least number of repeats of the symbols for runs of code lengths.
+_RUNS = {16: (2, 3), 17: (3, 3), 18: (7, 11)}
+
+
+def _read_codes(bits: Bits, sizes: tuple[int, ...]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Tables of codes of these sizes, one after the other; one whose bits are those of the code before isn't read again."""
+    codes, size, raw, n = [], -1, 0, 0
+    for own in sizes:
+        # what ended before its alphabet did is the same code in any alphabet that holds it
+        if (own == size or 0 <= bits.ended <= own) and codes and _raw(bits, n) == raw:
+            bits.at += n
+            codes.append(codes[-1])
+            continue
+        begin = bits.at
+        codes.append(code_table(_read_lengths(bits, own)))
+        size, n, bits.at = own, bits.at - begin, begin
+        raw = _raw(bits, n)
+        bits.at += n
+    return codes
+
+
+def _raw(bits: Bits, n: int) -> int:
+    """The next n bits, which aren't passed over."""
+    begin = bits.at >> 3
+    return (int.from_bytes(bits.data[begin : begin + (n >> 3) + 2], "little") >> (bits.at & 7)) & ((1 << n) - 1)
 
 
 def _read_lengths(bits: Bits, size: int) -> tuple[int, ...]:
     lengths = [0] * size
+    bits.ended = -1
     if bits.read(1):  # simple: one or two symbols
         two = bits.read(1)
         lengths[bits.read(8 if bits.read(1) else 1)] = 1
@@ -106,26 +135,33 @@ def _read_lengths(bits: Bits, size: int) -> tuple[int, ...]:
     width, symbols, used = code_table(tuple(first))
     symbols, used = symbols.tolist(), used.tolist()
     at, before, data, place = 0, 8, bits.data, bits.at
-    mask = (1 << width) - 1
+    mask, window, seen = (1 << width) - 1, 0, 0
     while at < size and most > 0:
         most -= 1
-        window = int.from_bytes(data[place >> 3 : (place >> 3) + 4], "little") >> (place & 7)
+        if seen < 16:  # bits of the window; a symbol takes 14 with its extra bits
+            window, seen = int.from_bytes(data[place >> 3 : (place >> 3) + 64], "little") >> (place & 7), 504
         symbol, n = symbols[window & mask], used[window & mask]
-        place += n
         if symbol < 16:
-            lengths[at] = symbol
-            before = symbol or before
+            window >>= n
+            place += n
+            seen -= n
+            if symbol:
+                lengths[at] = before = symbol
             at += 1
             continue
-        extra, least = {16: (2, 3), 17: (3, 3), 18: (7, 11)}[symbol]
+        extra, least = _RUNS[symbol]
         times = least + ((window >> n) & ((1 << extra) - 1))
-        place += extra
+        n += extra
+        window >>= n
+        place += n
+        seen -= n
         if at + times > size:
             raise ValueError("code lengths run over")
         if symbol == 16:
             lengths[at : at + times] = [before] * times
         at += times
     bits.at = place
+    bits.ended = at if most <= 0 and at < size else -1
     return tuple(lengths)
 
 
@@ -157,7 +193,7 @@ def _read_image(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
         which = (_read_image(bits, across, (height + (1 << block) - 1) >> block, False) >> 8) & 0xFFFF
         groups = int(which.max()) + 1
     sizes = (LITERALS + LENGTHS + (1 << cache_width if cache_width else 0), 256, 256, 256, DISTANCE_SYMBOLS)
-    codes = [[code_table(_read_lengths(bits, n)) for n in sizes] for _ in range(groups)]
+    codes = [_read_codes(bits, sizes) for _ in range(groups)]
     if groups == 1 and not cache_width and not codes[0][0][1].max() >= LITERALS:
         return _read_literals(bits, width * height, codes[0])
     if groups == 1:
@@ -608,33 +644,48 @@ def code_lengths(counts: np.ndarray, most: int = 15) -> list[int]:
         return lengths
     weights = counts[used].tolist()
     while True:
-        heap = [(w, i, None) for i, w in enumerate(weights)]
-        heapq.heapify(heap)
-        number = len(heap)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            heapq.heappush(heap, (a[0] + b[0], number, (a, b)))
-            number += 1
-        stack, deepest = [(heap[0], 0)], 0
-        while stack:
-            (_, i, pair), depth = stack.pop()
-            if pair is None:
+        order = sorted(range(len(used)), key=weights.__getitem__)
+        depths = _depths([weights[i] for i in order])
+        if depths[0] <= most:
+            for i, depth in zip(order, depths, strict=True):
                 lengths[used[i]] = depth
-                deepest = max(deepest, depth)
-            else:
-                stack += [(pair[0], depth + 1), (pair[1], depth + 1)]
-        if deepest <= most:
             return lengths
         weights = [(w >> 1) + 1 for w in weights]  # flatter counts give a shallower tree
 
 
+def _depths(weights: list[int]) -> list[int]:
+    """Depths in a Huffman tree of two or more ascending weights; the first is a deepest one."""
+    n = len(weights)
+    leaf = inner = 0
+    # weights of inner nodes, which ascend as well, and each node's parent: leaves, then inner nodes
+    made, parent = [], [0] * (2 * n - 1)
+    for k in range(n, 2 * n - 1):
+        total = 0
+        for _ in (0, 1):
+            if leaf < n and (inner == len(made) or weights[leaf] <= made[inner]):
+                total += weights[leaf]
+                parent[leaf] = k
+                leaf += 1
+            else:
+                total += made[inner]
+                parent[n + inner] = k
+                inner += 1
+        made.append(total)
+    depths = [0] * (2 * n - 1)
+    for k in range(2 * n - 3, -1, -1):
+        depths[k] = depths[parent[k]] + 1
+    return depths[:n]
+
+
 def code_words(lengths: list[int]) -> np.ndarray:
     """Canonical code words, bit-reversed as the format stores them."""
-    out, code, before = np.zeros(len(lengths), np.int64), 0, 0
-    for n, s in sorted((n, s) for s, n in enumerate(lengths) if n):
-        code <<= n - before
-        out[s] = int(f"{code:0{n}b}"[::-1], 2)
-        code, before = code + 1, n
+    sizes = np.array(lengths, np.int64)
+    out, used = np.zeros(len(sizes), np.int64), np.flatnonzero(sizes)
+    if len(used):
+        order = used[np.argsort(sizes[used], kind="stable")]
+        width = int(sizes[order[-1]])
+        spans = 1 << (width - sizes[order])
+        out[order] = _reversals(width)[np.cumsum(spans) - spans]  # a word is the first that many bits of its place
     return out
 
 
@@ -651,13 +702,16 @@ class Writer:
 
 
 def _put_lengths(out: Writer, lengths: list[int]) -> None:
-    out.put(*_length_bits(tuple(lengths)))
+    upto = len(lengths)
+    while upto and not lengths[upto - 1]:
+        upto -= 1
+    out.put(*_length_bits(tuple(lengths[:upto])))
 
 
 @functools.lru_cache(maxsize=64)
 def _length_bits(lengths: tuple[int, ...]) -> tuple[int, int]:
     """A prefix code's bits and their number: simple if it has one small symbol, else with runs of zeros as 17 and 18
-    and the rest as it is."""
+    and the rest as it is, up to the last symbol, so that alphabets of any size have the same bits for the same code."""
     out = Writer()
     used = [s for s, n in enumerate(lengths) if n]
     if len(used) <= 1 and (not used or used[0] < 256):
@@ -665,13 +719,16 @@ def _length_bits(lengths: tuple[int, ...]) -> tuple[int, int]:
         out.put(used[0] if used else 0, 8)
         return out.value, out.size
     tokens: list[tuple[int, int, int]] = []
-    for n, same in itertools.groupby(lengths):
-        run = sum(1 for _ in same)
-        while not n and run >= 3:
+    begin = 0
+    for s in used:
+        run = s - begin
+        while run >= 3:
             some = min(run, 138)
             tokens.append((18, some - 11, 7) if some >= 11 else (17, some - 3, 3))
             run -= some
-        tokens += [(n, 0, 0)] * run
+        tokens += [(0, 0, 0)] * run
+        tokens.append((lengths[s], 0, 0))
+        begin = s + 1
     counts = np.bincount([t[0] for t in tokens], minlength=19)
     inner = code_lengths(counts, 7)
     if np.count_nonzero(counts) == 1:
@@ -682,7 +739,9 @@ def _length_bits(lengths: tuple[int, ...]) -> tuple[int, int]:
     out.put(max(0, last - 3), 4)
     for i in range(max(4, last + 1)):
         out.put(inner[LENGTH_ORDER[i]], 3)
-    out.put(0, 1)
+    pairs = max(0, (len(tokens) - 2).bit_length() - 1) >> 1  # two tokens at least, as one symbol alone is simple or after zeros
+    out.put(1 | pairs << 1, 4)
+    out.put(len(tokens) - 2, 2 + 2 * pairs)
     value = at = 0
     for symbol, extra, n in tokens:
         value |= (words[symbol] | extra << inner[symbol]) << at
@@ -707,7 +766,7 @@ def _put_literals(out: Writer, colours: np.ndarray, one_code: bool, top: bool) -
     _put_lengths(out, [0] * DISTANCE_SYMBOLS)
     words, sizes = np.zeros((4, 256), np.int64), np.zeros((4, 256), np.int64)
     for k, lengths in enumerate(own):
-        if sum(map(bool, lengths)) > 1:
+        if len(lengths) - lengths.count(0) > 1:
             words[k], sizes[k] = code_words(lengths) if k in (0, 3) or not one_code else words[0], lengths
     n = sizes[np.arange(4), planes].ravel()
     out.total = out.size + int(n.sum())
@@ -817,7 +876,7 @@ def _put_tokens(out: Writer, colours: np.ndarray, width: int, before: np.ndarray
     for k, count in enumerate(counts):
         lengths = code_lengths(count)
         _put_lengths(out, lengths)
-        if sum(map(bool, lengths)) > 1:
+        if len(lengths) - lengths.count(0) > 1:
             words[k, : len(lengths)], sizes[k, : len(lengths)] = code_words(lengths), lengths
     value, n = np.zeros((len(place), 4), np.int64), np.zeros((len(place), 4), np.int64)
     value[:, 0], n[:, 0] = words[0, symbols[:, 0]], sizes[0, symbols[:, 0]]

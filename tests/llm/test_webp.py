@@ -265,3 +265,23 @@ def test_columns(spark):
     assert w.pixel_arrays(clash).columns == ["media", "other", "width", "height", "pixels", "error"]
     assert w.pixel_arrays(files.limit(0)).count() == 0
     assert w.media_columns(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_green_red_and_blue_of_one_code_are_read_once(monkeypatch):
+    read, of = [], w._read_lengths
+    monkeypatch.setattr(w, "_read_lengths", lambda bits, size: read.append(size) or of(bits, size))
+    rng = np.random.default_rng(8)
+    payload = rng.integers(32, 127, 192 * 40, np.uint8).tobytes()
+    assert w.load(w.store(payload)) == payload
+    assert read == [w.LITERALS + w.LENGTHS, 256, w.DISTANCE_SYMBOLS]
+
+
+@pytest.mark.parametrize("most", [7, 15])
+def test_code_lengths_are_complete_and_bounded(most):
+    rng = np.random.default_rng(9)
+    for n in (2, 3, 19, 100):
+        for counts in (rng.integers(0, 50, n), np.array([1 << min(i, 40) for i in range(n)]), np.ones(n, np.int64)):
+            lengths = w.code_lengths(counts, most)
+            if np.count_nonzero(counts) > 1:
+                assert sum(2.0**-k for k in lengths if k) == 1 and max(lengths) <= most
+            assert [bool(k) for k in lengths] == [bool(c) for c in counts]
